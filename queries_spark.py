@@ -301,7 +301,7 @@ def small_order_fee(spark, sf):
 
 def delivery_fee_paid(spark, sf):
     entities = wh.entity_platforms(fx.fx_entities(spark, sf), fx.SCOPE).select("entity_id", F.col("region").alias("fee_region"))
-    s = wh.join_dimension(fx.fx_sessions(spark, sf), entities, ["entity_id"], wh.fits_broadcast(entities))
+    s = wh.join_dimension(fx.fx_sessions(spark, sf), entities, ["entity_id"], wh.fits_broadcast(entities), spread=("order_id",))
     fees = fx.fx_paid_fees(spark, sf).select(
         F.col("global_entity_id").alias("entity_id"), F.col("code").alias("platform_order_code"),
         F.col("created_date_utc").alias("created_date"), F.col("delivery_fee_local").alias("table_fee"))

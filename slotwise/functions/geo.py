@@ -46,30 +46,60 @@ def shape_bounds(shape: Column) -> Column:
     )
 
 
-def zone_contains(edges: Column, bounds: Column, lon: Column, lat: Column) -> Column:
-    """Point-in-zone: box test first, then the edges that the point's latitude touches."""
+# A band holds about this many edges of a shape, besides those that pass through.
+_EDGES_PER_BAND = 4
+_MAX_BANDS = 64
+
+
+def _band_of(lat: Column, bounds: Column, bands: Column) -> Column:
+    """Number of the latitude band; never falls as the latitude rises, so rounding cannot skip an edge."""
+    step = (bounds["max_lat"] - bounds["min_lat"]) / bands.cast("double")
+    raw = F.floor(F.try_divide(lat - bounds["min_lat"], step))
+    return F.coalesce(F.least(raw, (bands - 1).cast("bigint")), F.lit(0).cast("bigint")).cast("int")
+
+
+def _band_count(edges: Column) -> Column:
+    return F.least(F.greatest(F.floor(F.size(edges) / _EDGES_PER_BAND), F.lit(1)), F.lit(_MAX_BANDS)).cast("int")
+
+
+def edge_bands(edges: Column, bounds: Column) -> Column:
+    """Edges by latitude band; an edge is in every band that it touches."""
+    count = _band_count(edges)
+    ranged = F.transform(
+        edges, lambda e: F.struct(
+            e.alias("edge"),
+            _band_of(F.least(e["y1"], e["y2"]), bounds, count).alias("low"),
+            _band_of(F.greatest(e["y1"], e["y2"]), bounds, count).alias("high")))
+    return F.transform(
+        F.sequence(F.lit(0), count - 1),
+        lambda b: F.transform(
+            F.filter(ranged, lambda r: (r["low"] <= b) & (b <= r["high"])), lambda r: r["edge"]))
+
+
+def zone_contains(bands: Column, bounds: Column, lon: Column, lat: Column) -> Column:
+    """Point-in-zone: box test first, then only the edges of the point's latitude band."""
     in_box = lon.between(bounds["min_lon"], bounds["max_lon"]) & lat.between(bounds["min_lat"], bounds["max_lat"])
+    edges = F.get(bands, _band_of(lat, bounds, F.size(bands)))
 
     def side(e: Column) -> Column:
         return (e["x2"] - e["x1"]) * (lat - e["y1"]) - (e["y2"] - e["y1"]) * (lon - e["x1"])
 
-    touched = F.filter(
-        edges, lambda e: (F.least(e["y1"], e["y2"]) <= lat) & (lat <= F.greatest(e["y1"], e["y2"])))
-    # Twice the number of edges on which the point lies is not needed: one hit spoils containment.
-    outcome = F.aggregate(
-        touched,
-        F.lit(0),
-        lambda acc, e: F.when(
-            (acc < 0)
-            | ((side(e) == 0) & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))),
-            F.lit(-1),
-        ).when(
-            ((e["y1"] > lat) != (e["y2"] > lat))
-            & (lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]),
-            acc + 1,
-        ).otherwise(acc),
-    )
-    return in_box & (outcome > 0) & (outcome % 2 == 1)
+    def on_edge(e: Column) -> Column:
+        return (
+            lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+            & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+            & (side(e) == 0)
+        )
+
+    def crossed(e: Column) -> Column:
+        return ((e["y1"] > lat) != (e["y2"] > lat)) & (
+            lon < F.try_divide((e["x2"] - e["x1"]) * (lat - e["y1"]), e["y2"] - e["y1"]) + e["x1"])
+
+    # Crossings so far; -1 for good once the point lies on an edge.
+    crossings = F.aggregate(
+        edges, F.lit(0),
+        lambda acc, e: F.when((acc < 0) | on_edge(e), F.lit(-1)).when(crossed(e), acc + 1).otherwise(acc))
+    return in_box & (crossings > 0) & (crossings % 2 == 1)
 
 
 def shape_from_wkt(wkt: Column) -> Column:

@@ -25,17 +25,17 @@ def fits_broadcast(dim: DataFrame, row_bytes: Column | int = 64) -> bool:
 
 
 def join_dimension(
-    big: DataFrame, dim: DataFrame, on: Sequence[str], small: bool, how: str = "inner", spread: str | None = None
+    big: DataFrame, dim: DataFrame, on: Sequence[str], small: bool, how: str = "inner", *,
+    spread: Sequence[str],
 ) -> DataFrame:
     """Equi-join: broadcast when the dimension is known to be small, else a shuffle on salted keys.
 
-    `spread` is a column of `big` by whose hash the rows of a hot key are dealt out; the
-    dimension is repeated once per salt, so no row is lost or doubled. Valid for inner,
-    left and left_semi joins.
+    `spread` are columns of `big` by whose hash the rows of a hot key are dealt out (order
+    code and time, say); the dimension is repeated once per salt, so no row is lost or
+    doubled. Valid for inner, left and left_semi joins.
     """
     if small:
         return big.join(F.broadcast(dim), list(on), how)
-    source = F.xxhash64(F.col(spread)) if spread else F.xxhash64(*[F.col(c) for c in big.columns])
-    salted = big.withColumn("_salt", F.pmod(source, F.lit(SALTS)).cast("int"))
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

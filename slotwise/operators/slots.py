@@ -132,8 +132,7 @@ def _per_window(df: DataFrame, grid: StudyGrid) -> DataFrame:
 def _per_length(df: DataFrame, grid: StudyGrid) -> DataFrame:
     """One copy of a row per experiment length that covers it."""
     lengths = F.array(*[F.lit(n).cast("bigint") for n in grid.exp_lengths])
-    return df.withColumn(
-        "exp_length", F.explode(F.filter(lengths, lambda n: n >= F.col("first_length"))))
+    return df.withColumn("exp_length", F.explode(lengths)).where(F.col("exp_length") >= F.col("first_length"))
 
 
 def slot_order_counts(prepared: DataFrame, grid: StudyGrid) -> DataFrame:

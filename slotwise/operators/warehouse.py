@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import OrderScope
-from slotwise.functions.geo import geo_point, shape_bounds, shape_edges, zone_contains
+from slotwise.functions.geo import edge_bands, geo_point, shape_bounds, shape_edges, zone_contains
 from slotwise.functions.scalars import day_number, weekday_name
 from slotwise.operators.joins import fits_broadcast, join_dimension
 
@@ -63,7 +65,7 @@ def entity_region(entities: DataFrame, sessions: DataFrame, scope: OrderScope) -
 def semi_join_entities(sessions: DataFrame, zones: DataFrame) -> DataFrame:
     """Sessions of entities that have a geo zone."""
     ids = zones.select("entity_id").distinct()
-    return join_dimension(sessions, ids, ["entity_id"], fits_broadcast(ids), "left_semi")
+    return join_dimension(sessions, ids, ["entity_id"], fits_broadcast(ids), "left_semi", spread=("order_id",))
 
 
 def small_order_fee(gfv: Column, minimum: Column, fee: Column) -> Column:
@@ -93,26 +95,31 @@ def sessions_in_scope(sessions: DataFrame, scope: OrderScope) -> DataFrame:
         & F.col("entity_id").isin(*scope.entity_ids))
 
 
-def zone_boxes(zones: DataFrame) -> DataFrame:
-    """Zones with edges and box, computed once per zone."""
-    return zones.select(
-        *ZONE_KEYS, "zone_shape",
-        shape_edges(F.col("zone_shape")).alias("zone_edges"), shape_bounds(F.col("zone_shape")).alias("zone_box"))
+def zone_edges(zones: DataFrame) -> DataFrame:
+    """Zones with box and banded edges, computed once per zone."""
+    return (
+        zones.select(*ZONE_KEYS, "zone_shape", shape_bounds(F.col("zone_shape")).alias("zone_box"),
+                     shape_edges(F.col("zone_shape")).alias("edges"))
+        .withColumn("zone_bands", edge_bands(F.col("edges"), F.col("zone_box"))).drop("edges")
+    )
 
 
 def zones_fit_broadcast(zones: DataFrame) -> bool:
-    return fits_broadcast(zones, F.size(F.flatten("zone_shape")) * 64 + 128)
+    """Whether all shapes, with their edges in about three bands each, may go to every executor."""
+    return fits_broadcast(zones, F.size(F.flatten("zone_shape")) * 192 + 256)
 
 
-def points_in_zones(points: DataFrame, zones: DataFrame, lon: Column, lat: Column, small: bool) -> DataFrame:
+def points_in_zones(
+    points: DataFrame, zones: DataFrame, lon: Column, lat: Column, small: bool, spread: Sequence[str] = ("order_id",)
+) -> DataFrame:
     """Rows whose point lies inside the zone they name, with the zone's shape.
 
-    Equi-join on the zone first, then the box, then the edges. A zone listed twice
-    gives a row twice. Zones go to every executor if their shapes are small enough
-    (zones_fit_broadcast); otherwise a hot zone is spread over salted keys.
+    Equi-join on the zone first, then the box, then the edges near the point. A zone listed
+    twice gives a row twice. Zones go to every executor if their shapes are small enough
+    (zones_fit_broadcast); otherwise a hot zone is dealt out over salted keys by `spread`.
     """
-    joined = join_dimension(points, zone_boxes(zones), ZONE_KEYS, small)
-    return joined.where(zone_contains(F.col("zone_edges"), F.col("zone_box"), lon, lat)).drop("zone_edges", "zone_box")
+    joined = join_dimension(points, zone_edges(zones), ZONE_KEYS, small, spread=spread)
+    return joined.where(zone_contains(F.col("zone_bands"), F.col("zone_box"), lon, lat)).drop("zone_bands", "zone_box")
 
 
 def order_kpis(
@@ -128,7 +135,8 @@ def order_kpis(
     """
     small_zones = zones_fit_broadcast(zones)
     a = join_dimension(
-        sessions_in_scope(sessions, scope), zones.select(*ZONE_KEYS).distinct(), ZONE_KEYS, small_zones, "left_semi")
+        sessions_in_scope(sessions, scope), zones.select(*ZONE_KEYS).distinct(), ZONE_KEYS, small_zones, "left_semi",
+        spread=("order_id",))
     located = a.join(
         locations.select(
             F.col("global_entity_id").alias("entity_id"), F.col("order_id").alias("platform_order_code"),
@@ -141,7 +149,7 @@ def order_kpis(
     priced = located.join(fees, ["entity_id", "platform_order_code", "created_date"], "left")
     # An order proves by itself that its entity has sessions, so the plain entity list is enough.
     ent = entity_platforms(entities, scope).select("entity_id", F.col("region").alias("_entity_region"))
-    priced = join_dimension(priced, ent, ["entity_id"], fits_broadcast(ent))
+    priced = join_dimension(priced, ent, ["entity_id"], fits_broadcast(ent), spread=("order_id",))
     inside = points_in_zones(priced, zones, F.col("customer_location.lon"), F.col("customer_location.lat"), small_zones)
     start = F.lit(scope.start_date)
     return inside.select(

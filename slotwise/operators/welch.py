@@ -22,11 +22,15 @@ from slotwise.operators.slots import _per_length, _per_window, logistics_mean, p
 RUN_KEYS = ("zone_group", "window_s", "num_variants", "exp_length")
 # A standard deviation below this share of the mean is rounding noise of a constant KPI.
 _NOISE = 1e-12
+_MAX_TASKS = 64
 
 
 def moments(df: DataFrame, keys: Sequence[str], kpis: Sequence[str], variant: str = "variant") -> DataFrame:
-    """Count, mean and sample variance of every KPI per key and variant (wide rows in, long rows out)."""
-    long = df.where(F.col(variant).isNotNull()).select(
+    """Count, mean and sample variance of every KPI per key and variant (wide rows in, long rows out).
+
+    Rows without a variant must have been left out, as the slot frames do.
+    """
+    long = df.select(
         *keys, variant, *[F.col(k).cast("double").alias(k) for k in kpis]
     ).unpivot([*keys, variant], list(kpis), "kpi", "value")
     return long.groupBy(*keys, variant, "kpi").agg(
@@ -52,7 +56,10 @@ def welch_statistics(moments_df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     k = F.col("k")
     valid = (k >= 2) & (F.col("k_usable") == k)
-    tested = sums.withColumns({
+    # A few thousand rows, each with costly arithmetic: deal them out anew, or a small shuffle
+    # would leave them all to one task.
+    tasks = min(sums.sparkSession.sparkContext.defaultParallelism, _MAX_TASKS)
+    tested = sums.repartition(tasks).withColumns({
         "f_stat": F.when(valid, F.try_divide(
             F.try_divide(F.col("between"), k - 1.0),
             1.0 + F.try_divide(2.0 * (k - 2.0) * F.col("lam"), k * k - 1.0))),
@@ -94,7 +101,9 @@ def order_level_moments(facts: DataFrame, grid: StudyGrid, kpis: Sequence[str] =
     centres = facts.groupBy("zone_group").agg(
         *[F.coalesce(F.try_divide(F.sum(f"s_{k}"), F.sum(f"n_{k}").cast("double")), F.lit(0.0)).alias(f"c_{k}")
           for k in kpis])
-    centred = join_dimension(facts, centres, ["zone_group"], fits_broadcast(centres, 8 * len(kpis) + 32))
+    centred = join_dimension(
+        facts, centres, ["zone_group"], fits_broadcast(centres, 8 * len(kpis) + 32),
+        spread=("zone_id", "granule"))
     spread = {}
     for k in kpis:
         n, s, c = F.col(f"n_{k}").cast("double"), F.col(f"s_{k}"), F.col(f"c_{k}")

@@ -14,6 +14,8 @@ from slotwise.sources.tables import zone_group_table
 
 SESSION_TS = "dps_sessionid_created_at_utc"
 GROUP = "zone_group_identifier"
+# Deals out the orders of a hot zone when a dimension is too large to broadcast.
+SPREAD = ("platform_order_code", SESSION_TS)
 
 
 def tag_zone_groups(orders: DataFrame, groups: Sequence[ZoneGroup]) -> DataFrame:
@@ -24,7 +26,7 @@ def tag_zone_groups(orders: DataFrame, groups: Sequence[ZoneGroup]) -> DataFrame
         .withColumn("zone_name", F.explode(F.array_distinct("zone_names"))).drop("zone_names")
     )
     small = sum(len(g.zone_names) for g in groups) <= MAX_BROADCAST_ROWS
-    return join_dimension(orders, zones, ["entity_id", "asa_id", "zone_name"], small)
+    return join_dimension(orders, zones, ["entity_id", "asa_id", "zone_name"], small, spread=SPREAD)
 
 
 def group_start_times(tagged: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def group_starts(tagged: DataFrame) -> DataFrame:
 
 def with_group_start(tagged: DataFrame, n_groups: int) -> DataFrame:
     """Add each group's start. The start table has at most one row per configured group."""
-    return join_dimension(tagged, group_starts(tagged), [GROUP], n_groups <= MAX_BROADCAST_ROWS)
+    return join_dimension(tagged, group_starts(tagged), [GROUP], n_groups <= MAX_BROADCAST_ROWS, spread=SPREAD)
 
 
 def prepare_orders(orders: DataFrame, groups: Sequence[ZoneGroup]) -> DataFrame:
@@ -76,4 +78,4 @@ def within_exp_length(df: DataFrame, exp_length: int) -> DataFrame:
 def per_exp_length(df: DataFrame, exp_lengths: Sequence[int]) -> DataFrame:
     """One copy of a row for every experiment length that still covers its day."""
     lengths = F.array(*[F.lit(n).cast("bigint") for n in exp_lengths])
-    return df.withColumn("exp_length", F.explode(F.filter(lengths, lambda n: F.col("day_num") <= n)))
+    return df.withColumn("exp_length", F.explode(lengths)).where(F.col("day_num") <= F.col("exp_length"))
