@@ -132,16 +132,20 @@ def run_keys(spark, sf):
 # --- slots and tests ------------------------------------------------------------------
 
 
+def _design_rows(spark, sf):
+    return zo.within_exp_length(prepared(spark, sf), 28)
+
+
 def slot_totals(spark, sf):
-    return sl.slot_totals(zo.within_exp_length(allocated(spark, sf), 28))
+    return sl.slot_totals(sl.design_sums(_design_rows(spark, sf), DESIGN, with_logistics=False))
 
 
 def slot_per_order(spark, sf):
-    return sl.slot_per_order(zo.within_exp_length(allocated(spark, sf), 28))
+    return sl.slot_per_order(sl.design_sums(_design_rows(spark, sf), DESIGN))
 
 
 def variant_moments(spark, sf):
-    per_order = sl.slot_per_order(zo.within_exp_length(allocated(spark, sf), 28))
+    per_order = sl.slot_per_order(sl.design_sums(_design_rows(spark, sf), DESIGN))
     kpis = [*CUSTOMER_KPIS, "order_count", *LOGISTICS_KPIS]
     return we.moments(per_order, [GROUP], kpis).select(
         GROUP, "variant", "kpi", "n", single("mean"), single("variance"))

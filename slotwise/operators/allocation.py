@@ -49,9 +49,14 @@ def allocate(prepared: DataFrame, allocation: Allocation) -> DataFrame:
     Row-wise and deterministic in key and salt: no shuffle, and the order of rows does
     not matter. Needs a `start_s` column (the group's start, or a literal).
     """
+    return attach_slot_variant(assign_slots(prepared, allocation.window_hours), allocation)
+
+
+def attach_slot_variant(df: DataFrame, allocation: Allocation) -> DataFrame:
+    """Add variant and slot identifier to rows with zone and slot number (orders or slots)."""
     key, salt = F.lit(allocation.key), F.lit(allocation.salt)
     zone, idx = F.col("zone_id"), F.col("slot_idx")
-    return assign_slots(prepared, allocation.window_hours).withColumns({
+    return df.withColumns({
         "variant": slot_variant(key, salt, zone, idx, F.lit(allocation.num_variants)),
         "time_zone_unit_id": slot_uid(key, salt, zone, idx),
     })

@@ -8,24 +8,22 @@ their own narrow path, so that KPI values are never shuffled per order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.config import ALL_KPIS, CUSTOMER_KPIS, LOGISTICS_KPIS, StudyGrid
+from slotwise.config import ALL_KPIS, CUSTOMER_KPIS, LOGISTICS_KPIS, Allocation, StudyGrid, window_seconds
 from slotwise.functions.scalars import epoch_seconds, round_half_even
-from slotwise.operators.allocation import add_runs, slot_index, slot_uid, slot_variant, window_label
+from slotwise.operators.allocation import (
+    add_runs, attach_slot_variant, slot_index, slot_uid, slot_variant, window_label,
+)
 from slotwise.operators.zones import GROUP, SESSION_TS, with_numeric_kpis
 
 UNIT_KEYS = (GROUP, "time_zone_unit_id", "variant")
 
 
-def _total(kpi: str) -> Column:
-    """Sum of a KPI; zero where every value is missing."""
-    return F.coalesce(F.sum(kpi), F.lit(0.0))
-
-
 def _merge_counts(sums: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the distinct order counts to the sums of the same keys."""
     columns = [c for c in sums.columns if c not in keys]
@@ -36,9 +34,9 @@ def _merge_counts(sums: DataFrame, counts: DataFrame, keys: Sequence[str]) -> Da
     )
 
 
-def _unit_sums(allocated: DataFrame, with_logistics: bool) -> DataFrame:
-    keys = list(UNIT_KEYS)
-    rows = with_numeric_kpis(allocated.where(F.col("time_zone_unit_id").isNotNull() & F.col("variant").isNotNull()))
+def _slot_sums(rows: DataFrame, keys: Sequence[str], with_logistics: bool) -> DataFrame:
+    """KPI sums and distinct orders per slot; KPI sums and order codes are shuffled apart."""
+    rows = with_numeric_kpis(rows)
     measures = [F.sum(k).alias(f"s_{k}") for k in CUSTOMER_KPIS]
     if with_logistics:
         measures += [F.sum(k).alias(f"s_{k}") for k in LOGISTICS_KPIS]
@@ -51,16 +49,38 @@ def _unit_sums(allocated: DataFrame, with_logistics: bool) -> DataFrame:
     return _merge_counts(rows.groupBy(*keys).agg(*measures), orders, keys)
 
 
-def rounded_totals(sums: DataFrame) -> dict[str, Column]:
+def allocated_sums(allocated: DataFrame, with_logistics: bool = True) -> DataFrame:
+    """Sums per slot and variant of orders that carry them, say from an imported allocation.
+
+    Orders without a slot or variant are left out.
+    """
+    rows = allocated.where(F.col("time_zone_unit_id").isNotNull() & F.col("variant").isNotNull())
+    return _slot_sums(rows, UNIT_KEYS, with_logistics)
+
+
+def design_sums(prepared: DataFrame, allocation: Allocation, with_logistics: bool = True) -> DataFrame:
+    """Sums per slot and variant of one design.
+
+    All orders of a zone's slot share its variant, so the orders are summed by zone and slot
+    number, and the hashes are taken once per slot instead of once per order.
+    """
+    keys = [GROUP, "zone_id", "slot_idx"]
+    idx = slot_index(
+        epoch_seconds(F.col(SESSION_TS)), F.col("start_s"), window_seconds(allocation.window_hours))
+    rows = prepared.withColumn("slot_idx", idx).where(F.col("zone_id").isNotNull() & F.col("slot_idx").isNotNull())
+    sums = _slot_sums(rows, keys, with_logistics)
+    return attach_slot_variant(sums, allocation).drop("zone_id", "slot_idx")
+
+
+def rounded_totals() -> dict[str, Column]:
     """Customer KPI totals, rounded to 2."""
     return {k: round_half_even(F.coalesce(F.col(f"s_{k}"), F.lit(0.0)), 2) for k in CUSTOMER_KPIS}
 
 
-def slot_totals(allocated: DataFrame) -> DataFrame:
-    """Customer KPI totals and distinct orders per slot and variant; rows without a slot are left out."""
-    sums = _unit_sums(allocated, with_logistics=False)
+def slot_totals(sums: DataFrame) -> DataFrame:
+    """Customer KPI totals and distinct orders per slot and variant."""
     return sums.select(
-        *UNIT_KEYS, *[c.alias(k) for k, c in rounded_totals(sums).items()], "order_count")
+        *UNIT_KEYS, *[c.alias(k) for k, c in rounded_totals().items()], "order_count")
 
 
 def per_order_value(total: Column, order_count: Column) -> Column:
@@ -73,12 +93,11 @@ def logistics_mean(kpi: str) -> Column:
     return round_half_even(F.try_divide(F.col(f"s_{kpi}"), F.col(f"n_{kpi}").cast("double")), 2)
 
 
-def slot_per_order(allocated: DataFrame) -> DataFrame:
+def slot_per_order(sums: DataFrame) -> DataFrame:
     """Per-order customer KPIs (from the rounded totals), distinct orders and logistics means per slot."""
-    sums = _unit_sums(allocated, with_logistics=True)
     return sums.select(
         *UNIT_KEYS,
-        *[per_order_value(c, F.col("order_count")).alias(k) for k, c in rounded_totals(sums).items()],
+        *[per_order_value(c, F.col("order_count")).alias(k) for k, c in rounded_totals().items()],
         "order_count",
         *[logistics_mean(k).alias(k) for k in LOGISTICS_KPIS],
     )
@@ -135,21 +154,65 @@ def _per_length(df: DataFrame, grid: StudyGrid) -> DataFrame:
     return df.withColumn("exp_length", F.explode(lengths)).where(F.col("exp_length") >= F.col("first_length"))
 
 
+# Granules in one bit mask, and counters in one aggregation, at most.
+_MAX_BITS = 62
+_MAX_COUNTERS = 80
+
+
 def slot_order_counts(prepared: DataFrame, grid: StudyGrid) -> DataFrame:
-    """Distinct orders per zone, window, slot and first covering length.
+    """Distinct orders per zone, window, slot and experiment length.
 
     An order code that repeats in a slot counts once, from the shortest length that
-    covers one of its rows. Repeats are merged before the shuffle.
+    covers one of its rows. Rows of the result with equal keys add up.
     """
     rows = _grid_rows(prepared, grid).where(F.col("platform_order_code").isNotNull())
     narrow = rows.select("zone_group", "zone_id", "granule", "first_length", "platform_order_code")
-    return (
-        _per_window(narrow, grid)
-        .groupBy("zone_group", "zone_id", "window_s", "slot_idx", "platform_order_code")
+    span = math.lcm(*grid.windows_s) // grid.granule_s
+    slots = sum(span * grid.granule_s // w for w in grid.windows_s)
+    if span <= _MAX_BITS and slots * len(grid.exp_lengths) <= _MAX_COUNTERS:
+        return _masked_order_counts(narrow, grid, span)
+    return _windowed_order_counts(narrow, grid)
+
+
+def _windowed_order_counts(narrow: DataFrame, grid: StudyGrid) -> DataFrame:
+    """For any grid: every order goes once per window through a shuffle by slot and order code."""
+    keys = ["zone_group", "zone_id", "window_s", "slot_idx"]
+    first = (
+        _per_window(narrow, grid).groupBy(*keys, "platform_order_code")
         .agg(F.min("first_length").alias("first_length"))
-        .groupBy("zone_group", "zone_id", "window_s", "slot_idx", "first_length")
-        .agg(F.count(F.lit(1)).alias("order_count"))
     )
+    counts = first.groupBy(*keys, "first_length").agg(F.count(F.lit(1)).alias("order_count"))
+    return _per_length(counts, grid).select(*keys, "exp_length", "order_count")
+
+
+def _masked_order_counts(narrow: DataFrame, grid: StudyGrid, span: int) -> DataFrame:
+    """One shuffle of the order codes for all windows.
+
+    Slots of all windows start together every `span` granules. Per order code and such
+    block, one bit mask per length notes the granules that hold the order; it was in a slot if one
+    of the slot's bits is set. Masks combine before the shuffle, so repeats of a code cost nothing.
+    """
+    lengths = sorted(grid.exp_lengths)
+    bit = F.expr("shiftleft(1L, CAST(position AS INT))")
+    masks = (
+        narrow.withColumn("position", F.pmod("granule", F.lit(span)))
+        .withColumn("block", ((F.col("granule") - F.col("position")) / span).cast("bigint"))
+        .groupBy("zone_group", "zone_id", "block", "platform_order_code")
+        .agg(*[F.bit_or(F.when(F.col("first_length") <= n, bit)).alias(f"mask_{n}") for n in lengths])
+    )
+    counters = {}
+    for w in grid.windows_s:
+        granules = w // grid.granule_s
+        for j in range(span // granules):
+            slot_bits = ((1 << granules) - 1) << (j * granules)
+            for n in lengths:
+                counters[w, span // granules, j, n] = f"count_if((mask_{n} & {slot_bits}L) != 0)"
+    wide = masks.groupBy("zone_group", "zone_id", "block").agg(
+        *[F.expr(e).alias(f"c{i}") for i, e in enumerate(counters.values())])
+    cells = ", ".join(
+        f"struct({w}L AS window_s, block * {per_block}L + {j}L AS slot_idx, {n}L AS exp_length, c{i} AS order_count)"
+        for i, (w, per_block, j, n) in enumerate(counters))
+    return wide.select("zone_group", "zone_id", F.expr(f"inline(array({cells}))")).where("order_count > 0")
 
 
 def grid_slots(facts: DataFrame, order_counts: DataFrame, grid: StudyGrid) -> DataFrame:
@@ -158,8 +221,7 @@ def grid_slots(facts: DataFrame, order_counts: DataFrame, grid: StudyGrid) -> Da
     sums = [f"s_{k}" for k in ALL_KPIS] + [f"n_{k}" for k in LOGISTICS_KPIS]
     # Windows and lengths expand inside the scan of the facts; the sums combine before the shuffle.
     expanded = _per_length(_per_window(facts, grid), grid).select(*keys, *sums)
-    counts = _per_length(order_counts, grid).select(*keys, "order_count")
-    return _merge_counts(expanded, counts, keys)
+    return _merge_counts(expanded, order_counts.select(*keys, "order_count"), keys)
 
 
 def with_variants(slots: DataFrame, grid: StudyGrid) -> DataFrame:

@@ -75,7 +75,7 @@ def welch_statistics(moments_df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def slot_level_moments(slots: DataFrame, grid: StudyGrid) -> DataFrame:
     """Moments over slots of every run: totals ("tot") and per-order KPIs ("per_order")."""
     runs = with_variants(slots, grid)
-    totals = rounded_totals(runs)
+    totals = rounded_totals()
     orders = F.col("order_count")
     columns: dict[str, Column] = {f"tot/{k}": c for k, c in totals.items()}
     columns["tot/order_count"] = orders
