@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.config import ALL_KPIS, LOGISTICS_KPIS, CUSTOMER_KPIS, OrderScope, StudyGrid, ZoneGroup
@@ -32,197 +32,156 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cents(c: Column) -> Column:
-    return F.rint(c * F.lit(100.0)) / F.lit(100.0)
+ZONE = "floor(o_custkey / 15)"
+COUNTRY = f"floor({ZONE} / 25)"
 
 
-def text(prefix: str, c: Column) -> Column:
-    return F.concat(F.lit(prefix), c.cast("string"))
+def cents(e: str) -> str:
+    return f"rint(({e}) * 100D) / 100D"
 
 
 def fx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-level KPI table from `events`."""
-    e = table(spark, sf_dir, "events").select(
-        "event_id", "ts", (F.col("user_id") % 12).alias("zone_id"), F.col("value").alias("v"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-    )
-    ts_local = F.col("ts") + F.expr("INTERVAL 8 HOURS")
-    v, k = F.col("v"), F.col("k").cast("double")
-    known = F.col("event_id") % 17 != 0
-    entity = F.col("zone_id") % 3
-    base = e.select(
-        F.col("event_id").cast("string").alias("platform_order_code"),
+    base = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "ts", "user_id % 12 AS zone_id", "value AS v",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
+    ).selectExpr(
+        "CAST(event_id AS STRING) AS platform_order_code",
         "zone_id",
-        text("zone_", F.col("zone_id")).alias("zone_name"),
-        text("E", entity).alias("entity_id"),
-        (F.lit(400) + entity).alias("asa_id"),
-        F.col("ts").alias("dps_sessionid_created_at_utc"),
-        ts_local.alias("order_placed_at_local"),
-        (F.datediff(F.to_date(ts_local), F.lit(dt.date(2024, 1, 1))) + 1).cast("bigint").alias("day_num"),
-        ((F.col("k") % 5).cast("double") * 0.5).alias("actual_df_paid_by_customer"),
-        v.alias("gfv_local"),
-        cents(v * 1.1).alias("gmv_local"),
-        cents(v * 0.15).alias("commission_local"),
-        ((F.col("k") % 7).cast("double") * 0.25).alias("joker_vendor_fee_local"),
-        F.when(v < 10.0, cents(F.lit(10.0) - v)).otherwise(F.lit(0.0)).alias("sof_local"),
-        F.lit(0.0).alias("service_fee_local"),
-        (F.lit(2.0) + (F.col("k") % 11).cast("double") * 0.5).alias("delivery_costs_local"),
-        F.when(known, (F.col("k") % 40).cast("double") * 0.25).alias("dps_mean_delay"),
-        F.when(known, F.lit(500.0) + k * 16.0).alias("delivery_distance_m"),
-        F.when(known, F.lit(20.0) + (F.col("k") % 30).cast("double") * 0.5).alias("actual_DT"),
+        "concat('zone_', zone_id) AS zone_name",
+        "concat('E', zone_id % 3) AS entity_id",
+        "400 + zone_id % 3 AS asa_id",
+        "ts AS dps_sessionid_created_at_utc",
+        "ts + INTERVAL 8 HOURS AS order_placed_at_local",
+        "CAST(datediff(to_date(ts + INTERVAL 8 HOURS), DATE'2024-01-01') + 1 AS BIGINT) AS day_num",
+        "CAST(k % 5 AS DOUBLE) * 0.5D AS actual_df_paid_by_customer",
+        "v AS gfv_local",
+        f"{cents('v * 1.1D')} AS gmv_local",
+        f"{cents('v * 0.15D')} AS commission_local",
+        "CAST(k % 7 AS DOUBLE) * 0.25D AS joker_vendor_fee_local",
+        f"CASE WHEN v < 10D THEN {cents('10D - v')} ELSE 0D END AS sof_local",
+        "0D AS service_fee_local",
+        "2D + CAST(k % 11 AS DOUBLE) * 0.5D AS delivery_costs_local",
+        "CASE WHEN event_id % 17 != 0 THEN CAST(k % 40 AS DOUBLE) * 0.25D END AS dps_mean_delay",
+        "CASE WHEN event_id % 17 != 0 THEN 500D + CAST(k AS DOUBLE) * 16D END AS delivery_distance_m",
+        "CASE WHEN event_id % 17 != 0 THEN 20D + CAST(k % 30 AS DOUBLE) * 0.5D END AS actual_DT",
     )
-    revenue = sum((F.col(c) for c in ("commission_local", "joker_vendor_fee_local", "service_fee_local", "sof_local")),
-                  F.col("actual_df_paid_by_customer"))
-    return base.withColumn("revenue_local", revenue).withColumn(
-        "gross_profit_local", F.col("revenue_local") - F.col("delivery_costs_local"))
-
+    return base.selectExpr(
+        "*", "actual_df_paid_by_customer + commission_local + joker_vendor_fee_local + service_fee_local + sof_local"
+        " AS revenue_local",
+    ).selectExpr("*", "revenue_local - delivery_costs_local AS gross_profit_local")
 
-def zone_square(lon: Column, lat: Column, half: float) -> Column:
-    def at(dx: float, dy: float) -> Column:
-        return F.struct((lon + F.lit(dx)).alias("lon"), (lat + F.lit(dy)).alias("lat"))
 
-    return F.array(at(-half, -half), at(half, -half), at(half, half), at(-half, half), at(-half, -half))
+def ring(corners: list[tuple[float, float]]) -> str:
+    return "array(" + ", ".join(
+        f"struct(lon + ({dx}D) AS lon, lat + ({dy}D) AS lat)" for dx, dy in corners) + ")"
 
 
-def zone_shape(zone: Column) -> Column:
-    """A square, an L or a square with a hole, by zone id."""
-    lon = (zone % 100).cast("double") * 0.5
-    lat = (F.floor(zone / 100) % 100).cast("double") * 0.5
+def square(half: float) -> list[tuple[float, float]]:
+    return [(-half, -half), (half, -half), (half, half), (-half, half), (-half, -half)]
 
-    def at(dx: float, dy: float) -> Column:
-        return F.struct((lon + F.lit(dx)).alias("lon"), (lat + F.lit(dy)).alias("lat"))
 
-    ell = F.array(at(-0.2, -0.2), at(0.2, -0.2), at(0.2, 0.0), at(0.0, 0.0), at(0.0, 0.2), at(-0.2, 0.2), at(-0.2, -0.2))
-    return (
-        F.when(zone % 3 == 0, F.array(zone_square(lon, lat, 0.2), zone_square(lon, lat, 0.0625)))
-        .when(zone % 3 == 1, F.array(ell))
-        .otherwise(F.array(zone_square(lon, lat, 0.2)))
-    )
+ELL = [(-0.2, -0.2), (0.2, -0.2), (0.2, 0.0), (0.0, 0.0), (0.0, 0.2), (-0.2, 0.2), (-0.2, -0.2)]
 
 
 def fx_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat zones from `supplier`: five zones per city, five cities per country."""
-    zone = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(
-        zone.alias("zone_id"), F.col("s_name").alias("zone_name"), (zone % 7 != 3).alias("zone_active"),
-        F.floor(zone / 5).alias("city_id"), F.floor(zone / 25).alias("country_no"), zone_shape(zone).alias("shape"),
+    """Flat zones from `supplier`: five zones per city, five cities per country.
+
+    The shape is a square with a hole, an L or a square, by zone id.
+    """
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS zone_id", "s_name AS zone_name", "s_suppkey % 7 != 3 AS zone_active",
+        "floor(s_suppkey / 5) AS city_id", "floor(s_suppkey / 25) AS country_no",
+        "CAST(s_suppkey % 100 AS DOUBLE) * 0.5D AS lon", "CAST(floor(s_suppkey / 100) % 100 AS DOUBLE) * 0.5D AS lat",
+    ).selectExpr(
+        "zone_id", "zone_name", "zone_active", "city_id", "country_no",
+        f"CASE WHEN zone_id % 3 = 0 THEN array({ring(square(0.2))}, {ring(square(0.0625))}) "
+        f"WHEN zone_id % 3 = 1 THEN array({ring(ELL)}) ELSE array({ring(square(0.2))}) END AS shape",
     )
 
 
 def fx_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested countries; at most 5 cities and 5 zones in an array, whatever the scale."""
-    cities = (
-        fx_zones(spark, sf_dir)
-        .groupBy("country_no", "city_id")
-        .agg(F.array_sort(F.collect_list(F.struct(
-            F.col("zone_id").alias("id"), F.col("zone_name").alias("name"),
-            F.col("zone_active").alias("is_active"), "shape"))).alias("zones"))
-    )
-    country = F.col("country_no")
-    return (
-        cities.groupBy("country_no")
-        .agg(F.array_sort(F.collect_list(F.struct(
-            F.col("city_id").alias("id"), text("city_", F.col("city_id")).alias("name"),
-            (F.col("city_id") % 6 != 4).alias("is_active"), "zones"))).alias("cities"))
-        .select(
-            text("c", country).alias("country_code"),
-            F.array(F.struct(text("E", country % 5).alias("entity_id")),
-                    F.struct(text("X", country % 5).alias("entity_id"))).alias("platforms"),
-            "cities",
-        )
+    cities = fx_zones(spark, sf_dir).groupBy("country_no", "city_id").agg(F.expr(
+        "array_sort(collect_list(struct(zone_id AS id, zone_name AS name, zone_active AS is_active, shape)))"
+    ).alias("zones"))
+    return cities.groupBy("country_no").agg(F.expr(
+        "array_sort(collect_list(struct(city_id AS id, concat('city_', city_id) AS name, "
+        "city_id % 6 != 4 AS is_active, zones)))").alias("cities")
+    ).selectExpr(
+        "concat('c', country_no) AS country_code",
+        "array(struct(concat('E', country_no % 5) AS entity_id), struct(concat('X', country_no % 5) AS entity_id)) AS platforms",
+        "cities",
     )
 
 
 def fx_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested entities from `region`; one region is unknown."""
-    key = F.col("r_regionkey")
-    return table(spark, sf_dir, "region").select(
-        F.when(key != 4, F.initcap("r_name")).alias("region"),
-        text("R", key).alias("country_iso"), F.col("r_name").alias("country_name"),
-        F.array(F.struct(text("E", key).alias("entity_id")), F.struct(text("X", key).alias("entity_id"))).alias("platforms"),
+    return table(spark, sf_dir, "region").selectExpr(
+        "CASE WHEN r_regionkey != 4 THEN initcap(r_name) END AS region",
+        "concat('R', r_regionkey) AS country_iso", "r_name AS country_name",
+        "array(struct(concat('E', r_regionkey) AS entity_id), struct(concat('X', r_regionkey) AS entity_id)) AS platforms",
     )
 
 
 def fx_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions mapped to orders, from `orders`."""
-    key = F.col("o_orderkey")
-    zone = F.floor(F.col("o_custkey") / 15)
-    country = F.floor(zone / 25)
-    gfv = cents(F.col("o_totalprice") / 100.0)
-    placed = F.col("o_orderdate") + F.make_dt_interval(secs=(key * 7 % 86400).cast("decimal(18,6)"))
-
-    def unless(modulus: int, value: Column) -> Column:
-        return F.when(key % modulus != 0, value)
-
-    o = table(spark, sf_dir, "orders")
-    return o.select(
-        F.to_date("o_orderdate").alias("created_date"),
-        placed.alias("order_placed_at"),
-        (placed + F.expr("INTERVAL 8 HOURS")).alias("order_placed_at_local"),
-        (placed - F.expr("INTERVAL 5 MINUTES")).alias("dps_sessionid_created_at"),
-        text("region_", country % 5).alias("region"),
-        text("E", country % 5).alias("entity_id"),
-        text("c", country).alias("country_code"),
-        text("city_", F.floor(zone / 5)).alias("city_name"),
-        F.floor(zone / 5).alias("city_id"),
-        text("zone_", zone).alias("zone_name"),
-        zone.alias("zone_id"),
-        key.cast("string").alias("order_id"),
-        unless(101, text("P", key)).alias("platform_order_code"),
-        F.when(key % 10 == 0, "Manual").otherwise("Automatic scheme").alias("vendor_price_scheme_type"),
-        (F.lit(400) + country % 4).cast("string").alias("assignment_id"),
-        text("v", key % 37).alias("vendor_id"),
-        F.col("o_orderpriority").alias("vertical_type"),
-        (F.lit(1.0) + (key % 4).cast("double") * 0.25).alias("exchange_rate"),
-        ((key % 9).cast("double") * 0.5).alias("dps_delivery_fee_local"),
-        ((key % 4).cast("double") * 0.25).alias("dps_surge_fee_local"),
-        ((key % 6).cast("double") * 0.5).alias("dps_travel_time_fee_local"),
-        unless(13, (key % 8).cast("double") * 0.5).alias("delivery_fee_local"),
-        cents(gfv * 0.25).alias("commission_local"),
-        unless(29, (key % 3).cast("double")).alias("joker_vendor_fee_local"),
-        unless(5, (key % 7).cast("double") * 0.1).alias("service_fee_local"),
-        unless(3, (key % 11).cast("double")).alias("mov_customer_fee_local"),
-        unless(7, (key % 5).cast("double") * 500.0).alias("dps_minimum_order_value_local"),
-        ((key % 10).cast("double") + 1.0).alias("delivery_costs_local"),
-        gfv.alias("gfv_local"),
-        cents(gfv * 1.1).alias("gmv_local"),
-        unless(2, (key % 15).cast("double")).alias("mean_delay"),
-        (key % 12).cast("double").alias("dps_mean_delay"),
-        (key % 25).cast("double").alias("travel_time"),
-        (key % 26).cast("double").alias("dps_travel_time"),
-        ((key % 50).cast("double") * 64.0).alias("delivery_distance_m"),
-        ((key % 45).cast("double") + 10.0).alias("actual_DT"),
-        unless(50, F.col("o_orderstatus") != "P").alias("is_sent"),
-        F.when(key % 6 == 0, True).when(key % 7 == 0, None).otherwise(False).alias("is_delivery_fee_covered_by_discount"),
-        F.when(key % 8 == 0, True).when(key % 9 == 0, None).otherwise(False).alias("is_delivery_fee_covered_by_voucher"),
+
+    def unless(modulus: int, value: str) -> str:
+        return f"CASE WHEN key % {modulus} != 0 THEN {value} END"
+
+    keyed = table(spark, sf_dir, "orders").selectExpr(
+        "*", "o_orderkey AS key", f"{ZONE} AS zone", f"{COUNTRY} AS country",
+        f"{cents('o_totalprice / 100D')} AS gfv",
+        "o_orderdate + make_dt_interval(0, 0, 0, CAST(o_orderkey * 7 % 86400 AS DECIMAL(18, 6))) AS placed",
+    )
+    return keyed.selectExpr(
+        "to_date(o_orderdate) AS created_date", "placed AS order_placed_at",
+        "placed + INTERVAL 8 HOURS AS order_placed_at_local",
+        "placed - INTERVAL 5 MINUTES AS dps_sessionid_created_at",
+        "concat('region_', country % 5) AS region", "concat('E', country % 5) AS entity_id",
+        "concat('c', country) AS country_code", "concat('city_', floor(zone / 5)) AS city_name",
+        "floor(zone / 5) AS city_id", "concat('zone_', zone) AS zone_name", "zone AS zone_id",
+        "CAST(key AS STRING) AS order_id", f"{unless(101, 'concat(\'P\', key)')} AS platform_order_code",
+        "CASE WHEN key % 10 = 0 THEN 'Manual' ELSE 'Automatic scheme' END AS vendor_price_scheme_type",
+        "CAST(400 + country % 4 AS STRING) AS assignment_id", "concat('v', key % 37) AS vendor_id",
+        "o_orderpriority AS vertical_type", "1D + CAST(key % 4 AS DOUBLE) * 0.25D AS exchange_rate",
+        "CAST(key % 9 AS DOUBLE) * 0.5D AS dps_delivery_fee_local",
+        "CAST(key % 4 AS DOUBLE) * 0.25D AS dps_surge_fee_local",
+        "CAST(key % 6 AS DOUBLE) * 0.5D AS dps_travel_time_fee_local",
+        f"{unless(13, 'CAST(key % 8 AS DOUBLE) * 0.5D')} AS delivery_fee_local",
+        f"{cents('gfv * 0.25D')} AS commission_local",
+        f"{unless(29, 'CAST(key % 3 AS DOUBLE)')} AS joker_vendor_fee_local",
+        f"{unless(5, 'CAST(key % 7 AS DOUBLE) * 0.1D')} AS service_fee_local",
+        f"{unless(3, 'CAST(key % 11 AS DOUBLE)')} AS mov_customer_fee_local",
+        f"{unless(7, 'CAST(key % 5 AS DOUBLE) * 500D')} AS dps_minimum_order_value_local",
+        "CAST(key % 10 AS DOUBLE) + 1D AS delivery_costs_local", "gfv AS gfv_local",
+        f"{cents('gfv * 1.1D')} AS gmv_local", f"{unless(2, 'CAST(key % 15 AS DOUBLE)')} AS mean_delay",
+        "CAST(key % 12 AS DOUBLE) AS dps_mean_delay", "CAST(key % 25 AS DOUBLE) AS travel_time",
+        "CAST(key % 26 AS DOUBLE) AS dps_travel_time", "CAST(key % 50 AS DOUBLE) * 64D AS delivery_distance_m",
+        "CAST(key % 45 AS DOUBLE) + 10D AS actual_DT", "CASE WHEN key % 50 != 0 THEN o_orderstatus != 'P' END AS is_sent",
+        "CASE WHEN key % 6 = 0 THEN true WHEN key % 7 = 0 THEN NULL ELSE false END AS is_delivery_fee_covered_by_discount",
+        "CASE WHEN key % 8 = 0 THEN true WHEN key % 9 = 0 THEN NULL ELSE false END AS is_delivery_fee_covered_by_voucher",
     )
 
 
 def fx_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery points around the zone centres, from `orders`: inside, outside, on edges, missing."""
-    key = F.col("o_orderkey")
-    zone = F.floor(F.col("o_custkey") / 15)
-    lon = (zone % 100).cast("double") * 0.5
-    lat = (F.floor(zone / 100) % 100).cast("double") * 0.5
-    return table(spark, sf_dir, "orders").select(
-        text("E", F.floor(zone / 25) % 5).alias("global_entity_id"),
-        text("P", key).alias("order_id"),
-        F.struct(
-            F.when(key % 41 != 0, lon + (key * 37 % 81 - 40).cast("double") / 160.0).alias("longitude"),
-            (lat + (key * 53 % 73 - 36).cast("double") / 160.0).alias("latitude"),
-        ).alias("delivery_location"),
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS key", f"{ZONE} AS zone").selectExpr(
+        "concat('E', floor(zone / 25) % 5) AS global_entity_id", "concat('P', key) AS order_id",
+        "struct(CASE WHEN key % 41 != 0 THEN CAST(zone % 100 AS DOUBLE) * 0.5D + CAST(key * 37 % 81 - 40 AS DOUBLE) / 160D END"
+        " AS longitude, CAST(floor(zone / 100) % 100 AS DOUBLE) * 0.5D + CAST(key * 53 % 73 - 36 AS DOUBLE) / 160D"
+        " AS latitude) AS delivery_location",
     )
 
 
 def fx_paid_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paid delivery fees from `orders`; every third order has none."""
-    key = F.col("o_orderkey")
-    zone = F.floor(F.col("o_custkey") / 15)
-    return table(spark, sf_dir, "orders").select(
-        text("E", F.floor(zone / 25) % 5).alias("global_entity_id"),
-        F.when(key % 3 != 0, text("P", key)).alias("code"),
-        F.to_date("o_orderdate").alias("created_date_utc"),
-        F.when(key % 4 != 0, (key % 16).cast("double") * 0.25).alias("delivery_fee_local"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"concat('E', {COUNTRY} % 5) AS global_entity_id",
+        "CASE WHEN o_orderkey % 3 != 0 THEN concat('P', o_orderkey) END AS code",
+        "to_date(o_orderdate) AS created_date_utc",
+        "CASE WHEN o_orderkey % 4 != 0 THEN CAST(o_orderkey % 16 AS DOUBLE) * 0.25D END AS delivery_fee_local",
     )
 
 
@@ -233,27 +192,21 @@ RESULT_KPIS = (
 
 
 def _result_rows(spark: SparkSession, sf_dir: str, kpis: list[tuple[str, str]]) -> DataFrame:
-    e = F.col("event_id")
-    run = F.floor(e / len(kpis)) % 648
-    kpi_no = (e % len(kpis)).cast("int")
-    names = F.array(*[F.struct(F.lit(t).alias("kpi_type"), F.lit(k).alias("kpi")) for t, k in kpis])
-    p = F.when(e % 97 != 0, (e * 7919 % 10001).cast("double") / 10000.0)
-    rows = table(spark, sf_dir, "events").select(
-        text("zg_", F.floor(run / 72) + 1).alias("zone_group"),
-        (F.floor(run / 24) % 3 + 2).cast("bigint").alias("sb_window_size"),
-        (F.floor(run / 4) % 6 + 2).cast("bigint").alias("num_variants"),
-        ((run % 4 + 1) * 7).cast("bigint").alias("exp_length"),
-        F.get(names, kpi_no).alias("named"),
-        p.alias("anova_pval"),
+    names = ", ".join(f"struct('{t}' AS kpi_type, '{k}' AS kpi)" for t, k in kpis)
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id", f"floor(event_id / {len(kpis)}) % 648 AS run",
+        f"element_at(array({names}), CAST(event_id % {len(kpis)} AS INT) + 1) AS named",
+        "CASE WHEN event_id % 97 != 0 THEN CAST(event_id * 7919 % 10001 AS DOUBLE) / 10000D END AS anova_pval",
+    ).selectExpr(
+        "concat('zg_', floor(run / 72) + 1) AS zone_group", "floor(run / 24) % 3 + 2 AS sb_window_size",
+        "floor(run / 4) % 6 + 2 AS num_variants", "(run % 4 + 1) * 7 AS exp_length", "named", "anova_pval",
     )
-    return rows.select(
-        F.concat_ws("-", "zone_group", F.col("sb_window_size").cast("string"), F.lit("window_size"),
-                    F.col("num_variants").cast("string"), F.lit("var_num"),
-                    F.col("exp_length").cast("string"), F.lit("exp_length")).alias("sim_run_id"),
-        "zone_group", "sb_window_size", "num_variants", "exp_length", F.col("named.kpi").alias("kpi"),
-        "anova_pval",
-        F.when(F.col("anova_pval") <= 0.1, "significant").otherwise("insignificant").alias("anova_sig"),
-        F.col("named.kpi_type").alias("kpi_type"),
+    return rows.selectExpr(
+        "concat(zone_group, '-', sb_window_size, '-window_size-', num_variants, '-var_num-', exp_length, '-exp_length')"
+        " AS sim_run_id",
+        "zone_group", "sb_window_size", "num_variants", "exp_length", "named.kpi AS kpi", "anova_pval",
+        "CASE WHEN anova_pval <= 0.1D THEN 'significant' ELSE 'insignificant' END AS anova_sig",
+        "named.kpi_type AS kpi_type",
     )
 
 

@@ -1,8 +1,8 @@
 """Upper tail of the F distribution as a native Column.
 
 p = I_x(d2/2, d1/2) with x = d2/(d2 + d1 f), by the continued fraction of the
-regularized incomplete beta function. All logarithms are
-taken in forms that keep their accuracy for very large d2.
+regularized incomplete beta function. All logarithms are taken in forms that keep their
+accuracy for very large d2.
 """
 
 from __future__ import annotations
@@ -17,63 +17,55 @@ _PAIRS = 50
 _SHIFT = 8
 
 
-def _stirling_tail(z: Column) -> Column:
-    z2 = z * z
-    return (1.0 / 12 - (1.0 / 360 - (1.0 / 1260 - 1.0 / 1680 / z2) / z2) / z2) / z
+def _stirling_tail(z: str) -> str:
+    return f"(1D/12 - (1D/360 - (1D/1260 - 1D/1680/({z}*{z}))/({z}*{z}))/({z}*{z}))/{z}"
 
 
-def log_gamma(z: Column) -> Column:
+def _log_gamma(z: str) -> str:
     """ln Gamma(z) for z > 0: Stirling's series at z + 8, brought back by the recurrence."""
-    y = z + F.lit(float(_SHIFT))
-    steps = z
-    for j in range(1, _SHIFT):
-        steps = steps * (z + F.lit(float(j)))
-    return (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + _stirling_tail(y) - F.log(steps)
+    y = f"({z} + {_SHIFT}D)"
+    back = " * ".join(f"({z} + {j}D)" for j in range(_SHIFT))
+    return f"({y} - 0.5D)*ln({y}) - {y} + {0.5 * math.log(2 * math.pi)!r}D + {_stirling_tail(y)} - ln({back})"
 
 
-def log_gamma_step(a: Column, b: Column) -> Column:
+def _log_gamma_step(a: str, b: str) -> str:
     """ln Gamma(a + b) - ln Gamma(a), without cancellation when a is much larger than b."""
-    y = a + F.lit(float(_SHIFT))
-    out = (y - 0.5) * F.log1p(b / y) + b * F.log(y + b) - b + _stirling_tail(y + b) - _stirling_tail(y)
-    for j in range(_SHIFT):
-        out = out - F.log1p(b / (a + F.lit(float(j))))
-    return out
-
-
-def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    """Continued fraction of I_x(a, b), evaluated from its last term to its first."""
-
-    def value(v: Column) -> Column:
-        def odd(m: Column) -> Column:
-            pole = v["a"] + 2.0 * m
-            return (v["a"] + m) * (v["a"] + v["b"] + m) * v["x"] / ((-1.0 - pole) * pole)
-
-        def pair(rest: Column, m: Column) -> Column:
-            pole = v["a"] + 2.0 * m
-            even = m * (v["b"] - m) * v["x"] / ((pole - 1.0) * pole)
-            return 1.0 + F.try_divide(even, 1.0 + F.try_divide(odd(m), rest))
-
-        terms = F.sequence(F.lit(_PAIRS), F.lit(1), F.lit(-1))
-        tail = F.aggregate(terms, F.lit(1.0), pair)
-        return F.try_divide(F.lit(1.0), 1.0 + F.try_divide(odd(F.lit(0.0)), tail))
-
-    # A one-element array binds the arguments, so that they are computed once and not in every term.
-    bound = F.array(F.struct(a.alias("a"), b.alias("b"), x.alias("x")))
-    return F.get(F.transform(bound, value), F.lit(0))
-
-
-def f_survival(f: Column, d1: Column, d2: Column) -> Column:
-    """P(F(d1, d2) > f); NULL when an argument is NULL."""
-    f, d1, d2 = (c.cast("double") for c in (f, d1, d2))
-    a, b = d2 / 2.0, d1 / 2.0
-    r = d1 * f / d2
-    x, y = 1.0 / (1.0 + r), r / (1.0 + r)
-    mirrored = x > (a + 1.0) / (a + b + 2.0)
-    aa = F.when(mirrored, b).otherwise(a)
-    bb = F.when(mirrored, a).otherwise(b)
-    xx = F.when(mirrored, y).otherwise(x)
-    log_front = -a * F.log1p(r) + b * (F.log(r) - F.log1p(r)) + log_gamma_step(a, b) - log_gamma(b)
-    part = F.exp(log_front) * _beta_fraction(aa, bb, xx) / aa
-    tail = F.when(mirrored, 1.0 - part).otherwise(part)
-    known = f.isNotNull() & d1.isNotNull() & d2.isNotNull()
-    return F.when(known & (f <= 0), F.lit(1.0)).when(known, F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
+    y, yb = f"({a} + {_SHIFT}D)", f"({a} + {b} + {_SHIFT}D)"
+    back = " - ".join(f"log1p({b}/({a} + {j}D))" for j in range(_SHIFT))
+    return (f"({y} - 0.5D)*log1p({b}/{y}) + {b}*ln({yb}) - {b} + {_stirling_tail(yb)} - {_stirling_tail(y)} - {back}")
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """Compute `value` once per row and use it under a name (a one-element transform)."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _odd(m: str) -> str:
+    return f"(v.a + {m})*(v.a + v.b + {m})*v.x / ((-1D - v.a - 2D*{m})*(v.a + 2D*{m}))"
+
+
+def _beta_fraction() -> str:
+    """Continued fraction of I_x(a, b) for v = (a, b, x), evaluated from its last term to its first."""
+    even = "m*(v.b - m)*v.x / ((v.a + 2D*m - 1D)*(v.a + 2D*m))"
+    tail = (
+        f"aggregate(sequence({_PAIRS}, 1, -1), 1D, "
+        f"(rest, m) -> 1D + try_divide({even}, 1D + try_divide({_odd('m')}, rest)))")
+    return f"try_divide(1D, 1D + try_divide({_odd('0D')}, {tail}))"
+
+
+def f_survival(f: str, d1: str, d2: str) -> Column:
+    """P(F(d1, d2) > f) for double columns; NULL when an argument is NULL."""
+    # s = (a, b, r): half the degrees of freedom and the ratio d1 f / d2.
+    x, y = "(1D/(1D + s.r))", "(s.r/(1D + s.r))"
+    # The fraction converges fast on one side of this line; on the other, I_x(a, b) = 1 - I_y(b, a).
+    mirrored = f"({x} > (s.a + 1D)/(s.a + s.b + 2D))"
+    arguments = (
+        f"IF({mirrored}, named_struct('a', s.b, 'b', s.a, 'x', {y}), named_struct('a', s.a, 'b', s.b, 'x', {x}))")
+    log_front = (
+        f"s.b*(ln(s.r) - log1p(s.r)) - s.a*log1p(s.r) + {_log_gamma_step('s.a', 's.b')} - ({_log_gamma('s.b')})")
+    part = _let("v", arguments, f"exp({log_front})*{_beta_fraction()}/v.a")
+    tail = _let("part", part, f"IF({mirrored}, 1D - part, part)")
+    p = _let("s", f"named_struct('a', {d2}/2D, 'b', {d1}/2D, 'r', {d1}*{f}/{d2})", tail)
+    return F.expr(
+        f"CASE WHEN {f} IS NOT NULL AND {d1} IS NOT NULL AND {d2} IS NOT NULL "
+        f"THEN IF({f} <= 0D, 1D, least(greatest({p}, 0D), 1D)) END")

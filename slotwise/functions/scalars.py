@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from slotwise.config import LOGISTICS_KPIS
 
 
-def round_half_even(c: Column, digits: int) -> Column:
-    """Round the scaled double half to even, as numpy does (F.round rounds half up)."""
-    scale = float(10 ** digits)
-    return F.rint(c * F.lit(scale)) / F.lit(scale)
+def half_even(e: str, digits: int) -> str:
+    """SQL text that rounds the scaled double half to even, as numpy does (round() rounds half up)."""
+    scale = f"{10 ** digits}D"
+    return f"rint(({e}) * {scale}) / {scale}"
 
 
 def epoch_seconds(ts: Column) -> Column:

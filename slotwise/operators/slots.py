@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import ALL_KPIS, CUSTOMER_KPIS, LOGISTICS_KPIS, Allocation, StudyGrid, window_seconds
-from slotwise.functions.scalars import epoch_seconds, round_half_even
+from slotwise.functions.scalars import epoch_seconds, half_even
 from slotwise.operators.allocation import (
     add_runs, attach_slot_variant, slot_index, slot_uid, slot_variant, window_label,
 )
@@ -29,24 +29,23 @@ def _merge_counts(sums: DataFrame, counts: DataFrame, keys: Sequence[str]) -> Da
     columns = [c for c in sums.columns if c not in keys]
     both = sums.unionByName(counts, allowMissingColumns=True)
     return both.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in columns],
-        F.coalesce(F.sum("order_count"), F.lit(0)).cast("bigint").alias("order_count"),
+        *[F.expr(f"sum({c}) AS {c}") for c in columns],
+        F.expr("coalesce(sum(order_count), 0L) AS order_count"),
     )
 
 
 def _slot_sums(rows: DataFrame, keys: Sequence[str], with_logistics: bool) -> DataFrame:
     """KPI sums and distinct orders per slot; KPI sums and order codes are shuffled apart."""
     rows = with_numeric_kpis(rows)
-    measures = [F.sum(k).alias(f"s_{k}") for k in CUSTOMER_KPIS]
+    measures = [f"sum({k}) AS s_{k}" for k in (ALL_KPIS if with_logistics else CUSTOMER_KPIS)]
     if with_logistics:
-        measures += [F.sum(k).alias(f"s_{k}") for k in LOGISTICS_KPIS]
-        measures += [F.count(k).alias(f"n_{k}") for k in LOGISTICS_KPIS]
+        measures += [f"count({k}) AS n_{k}" for k in LOGISTICS_KPIS]
     orders = (
         rows.where(F.col("platform_order_code").isNotNull())
         .select(*keys, "platform_order_code").distinct()
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("order_count"))
     )
-    return _merge_counts(rows.groupBy(*keys).agg(*measures), orders, keys)
+    return _merge_counts(rows.groupBy(*keys).agg(*map(F.expr, measures)), orders, keys)
 
 
 def allocated_sums(allocated: DataFrame, with_logistics: bool = True) -> DataFrame:
@@ -72,34 +71,36 @@ def design_sums(prepared: DataFrame, allocation: Allocation, with_logistics: boo
     return attach_slot_variant(sums, allocation).drop("zone_id", "slot_idx")
 
 
-def rounded_totals() -> dict[str, Column]:
-    """Customer KPI totals, rounded to 2."""
-    return {k: round_half_even(F.coalesce(F.col(f"s_{k}"), F.lit(0.0)), 2) for k in CUSTOMER_KPIS}
+# SQL text of the slot KPIs over the sums.
 
 
-def slot_totals(sums: DataFrame) -> DataFrame:
-    """Customer KPI totals and distinct orders per slot and variant."""
-    return sums.select(
-        *UNIT_KEYS, *[c.alias(k) for k, c in rounded_totals().items()], "order_count")
+def rounded_totals() -> dict[str, str]:
+    """Customer KPI totals, rounded to 2; zero where every value is missing."""
+    return {k: half_even(f"coalesce(s_{k}, 0D)", 2) for k in CUSTOMER_KPIS}
 
 
-def per_order_value(total: Column, order_count: Column) -> Column:
+def per_order_value(total: str) -> str:
     """The rounded total per order, rounded to 4."""
-    return round_half_even(F.try_divide(total, order_count.cast("double")), 4)
+    return half_even(f"try_divide({total}, CAST(order_count AS DOUBLE))", 4)
 
 
-def logistics_mean(kpi: str) -> Column:
+def logistics_mean(kpi: str) -> str:
     """Mean over the known values, rounded to 2; NULL where none is known."""
-    return round_half_even(F.try_divide(F.col(f"s_{kpi}"), F.col(f"n_{kpi}").cast("double")), 2)
+    return half_even(f"try_divide(s_{kpi}, CAST(n_{kpi} AS DOUBLE))", 2)
+
+
+def slot_totals(sums: DataFrame) -> DataFrame:
+    """Customer KPI totals and distinct orders per slot and variant."""
+    return sums.selectExpr(*UNIT_KEYS, *[f"{e} AS {k}" for k, e in rounded_totals().items()], "order_count")
 
 
 def slot_per_order(sums: DataFrame) -> DataFrame:
     """Per-order customer KPIs (from the rounded totals), distinct orders and logistics means per slot."""
-    return sums.select(
+    return sums.selectExpr(
         *UNIT_KEYS,
-        *[per_order_value(c, F.col("order_count")).alias(k) for k, c in rounded_totals().items()],
+        *[f"{per_order_value(e)} AS {k}" for k, e in rounded_totals().items()],
         "order_count",
-        *[logistics_mean(k).alias(k) for k in LOGISTICS_KPIS],
+        *[f"{logistics_mean(k)} AS {k}" for k in LOGISTICS_KPIS],
     )
 
 
@@ -133,12 +134,8 @@ def granule_facts(prepared: DataFrame, grid: StudyGrid, kpis: Sequence[str] = AL
     rows = with_numeric_kpis(_grid_rows(prepared, grid), kpis)
     measures = []
     for k in kpis:
-        measures += [
-            F.count(k).alias(f"n_{k}"),
-            F.sum(k).alias(f"s_{k}"),
-            (F.var_pop(k) * F.count(k)).alias(f"q_{k}"),
-        ]
-    return rows.groupBy("zone_group", "zone_id", "granule", "first_length").agg(*measures)
+        measures += [f"count({k}) AS n_{k}", f"sum({k}) AS s_{k}", f"var_pop({k}) * count({k}) AS q_{k}"]
+    return rows.groupBy("zone_group", "zone_id", "granule", "first_length").agg(*map(F.expr, measures))
 
 
 def _per_window(df: DataFrame, grid: StudyGrid) -> DataFrame:

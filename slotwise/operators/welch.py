@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import ALL_KPIS, CUSTOMER_KPIS, LOGISTICS_KPIS, StudyGrid
 from slotwise.functions.fdist import f_survival
-from slotwise.functions.scalars import round_half_even, significance
+from slotwise.functions.scalars import half_even, significance
 from slotwise.operators.allocation import run_id, window_label
 from slotwise.operators.joins import fits_broadcast, join_dimension
 from slotwise.operators.slots import _per_length, _per_window, logistics_mean, per_order_value, rounded_totals, with_variants
@@ -30,8 +30,8 @@ def moments(df: DataFrame, keys: Sequence[str], kpis: Sequence[str], variant: st
 
     Rows without a variant must have been left out, as the slot frames do.
     """
-    long = df.select(
-        *keys, variant, *[F.col(k).cast("double").alias(k) for k in kpis]
+    long = df.selectExpr(
+        *keys, variant, *[f"CAST(`{k}` AS DOUBLE) AS `{k}`" for k in kpis]
     ).unpivot([*keys, variant], list(kpis), "kpi", "value")
     return long.groupBy(*keys, variant, "kpi").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
@@ -39,50 +39,43 @@ def moments(df: DataFrame, keys: Sequence[str], kpis: Sequence[str], variant: st
 
 def welch_statistics(moments_df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """F statistic, degrees of freedom and p-value (rounded to 4) per key."""
-    n, mean, variance = F.col("n").cast("double"), F.col("mean"), F.col("variance")
-    usable = (n >= 2) & (variance > F.pow(mean * F.lit(_NOISE), F.lit(2.0)))
-    across = Window.partitionBy(*keys)
+    usable = f"n >= 2 AND variance > pow(mean * {_NOISE!r}D, 2)"
+    over = f"OVER (PARTITION BY {', '.join(keys)})"
     # A partition holds one row per variant, so the window is as small as the variant count.
     weighted = (
-        moments_df.withColumn("w", F.when(usable, n / variance))
-        .withColumn("w_sum", F.sum("w").over(across))
-        .withColumn("centre", F.try_divide(F.sum(F.col("w") * mean).over(across), F.col("w_sum")))
+        moments_df.selectExpr("*", f"CASE WHEN {usable} THEN n / variance END AS w")
+        .selectExpr("*", f"sum(w) {over} AS w_sum", f"try_divide(sum(w * mean) {over}, sum(w) {over}) AS centre")
     )
-    sums = weighted.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("k"),
-        F.count("w").cast("double").alias("k_usable"),
-        F.sum(F.col("w") * F.pow(mean - F.col("centre"), F.lit(2.0))).alias("between"),
-        F.sum(F.when(usable, F.pow(1.0 - F.col("w") / F.col("w_sum"), F.lit(2.0)) / (n - 1.0))).alias("lam"),
-    )
-    k = F.col("k")
-    valid = (k >= 2) & (F.col("k_usable") == k)
+    sums = weighted.groupBy(*keys).agg(*map(F.expr, (
+        "CAST(count(1) AS DOUBLE) AS k", "CAST(count(w) AS DOUBLE) AS k_usable",
+        "sum(w * pow(mean - centre, 2)) AS between_ss",
+        "sum(CASE WHEN w IS NOT NULL THEN pow(1 - w / w_sum, 2) / (n - 1) END) AS lam")))
+    valid = "k >= 2 AND k_usable = k"
     # A few thousand rows, each with costly arithmetic: deal them out anew, or a small shuffle
     # would leave them all to one task.
     tasks = min(sums.sparkSession.sparkContext.defaultParallelism, _MAX_TASKS)
-    tested = sums.repartition(tasks).withColumns({
-        "f_stat": F.when(valid, F.try_divide(
-            F.try_divide(F.col("between"), k - 1.0),
-            1.0 + F.try_divide(2.0 * (k - 2.0) * F.col("lam"), k * k - 1.0))),
-        "df1": F.when(valid, k - 1.0),
-        "df2": F.when(valid, F.try_divide(k * k - 1.0, 3.0 * F.col("lam"))),
-    })
-    return tested.select(
-        *keys, "f_stat", "df1", "df2",
-        round_half_even(f_survival(F.col("f_stat"), F.col("df1"), F.col("df2")), 4).alias("anova_pval"),
+    tested = sums.repartition(tasks).selectExpr(
+        *keys,
+        f"CASE WHEN {valid} THEN try_divide(try_divide(between_ss, k - 1), "
+        "1 + try_divide(2 * (k - 2) * lam, k * k - 1)) END AS f_stat",
+        f"CASE WHEN {valid} THEN k - 1 END AS df1",
+        f"CASE WHEN {valid} THEN try_divide(k * k - 1, 3 * lam) END AS df2",
     )
+    return tested.select(
+        "*", f_survival("f_stat", "df1", "df2").alias("p")
+    ).selectExpr(*keys, "f_stat", "df1", "df2", f"{half_even('p', 4)} AS anova_pval")
 
 
 def slot_level_moments(slots: DataFrame, grid: StudyGrid) -> DataFrame:
     """Moments over slots of every run: totals ("tot") and per-order KPIs ("per_order")."""
     runs = with_variants(slots, grid)
     totals = rounded_totals()
-    orders = F.col("order_count")
-    columns: dict[str, Column] = {f"tot/{k}": c for k, c in totals.items()}
-    columns["tot/order_count"] = orders
-    columns |= {f"per_order/{k}": per_order_value(c, orders) for k, c in totals.items()}
-    columns["per_order/order_count"] = orders
+    columns = {f"tot/{k}": e for k, e in totals.items()}
+    columns["tot/order_count"] = "order_count"
+    columns |= {f"per_order/{k}": per_order_value(e) for k, e in totals.items()}
+    columns["per_order/order_count"] = "order_count"
     columns |= {f"per_order/{k}": logistics_mean(k) for k in LOGISTICS_KPIS}
-    wide = runs.select(*RUN_KEYS, "variant", *[c.alias(name) for name, c in columns.items()])
+    wide = runs.selectExpr(*RUN_KEYS, "variant", *[f"{e} AS `{name}`" for name, e in columns.items()])
     return _split_kpi(moments(wide, RUN_KEYS, list(columns)))
 
 
@@ -98,40 +91,24 @@ def order_level_moments(facts: DataFrame, grid: StudyGrid, kpis: Sequence[str] =
     Sums are taken around the zone group's mean, so that they add up without loss of
     digits. `facts` is read twice: pass a staged table.
     """
-    centres = facts.groupBy("zone_group").agg(
-        *[F.coalesce(F.try_divide(F.sum(f"s_{k}"), F.sum(f"n_{k}").cast("double")), F.lit(0.0)).alias(f"c_{k}")
-          for k in kpis])
+    centres = facts.groupBy("zone_group").agg(*[
+        F.expr(f"coalesce(try_divide(sum(s_{k}), CAST(sum(n_{k}) AS DOUBLE)), 0D) AS c_{k}") for k in kpis])
     centred = join_dimension(
         facts, centres, ["zone_group"], fits_broadcast(centres, 8 * len(kpis) + 32),
         spread=("zone_id", "granule"))
     spread = {}
     for k in kpis:
-        n, s, c = F.col(f"n_{k}").cast("double"), F.col(f"s_{k}"), F.col(f"c_{k}")
-        shift = F.try_divide(s, n) - c
-        spread[f"d_{k}"] = F.coalesce(n * shift, F.lit(0.0))
-        spread[f"q_{k}"] = F.coalesce(F.col(f"q_{k}") + n * shift * shift, F.lit(0.0))
-    sums = [f"{p}_{k}" for k in kpis for p in ("n", "d", "q")]
-    centre_columns = [f"c_{k}" for k in kpis]
+        shift = f"(try_divide(s_{k}, CAST(n_{k} AS DOUBLE)) - c_{k})"
+        spread[f"d_{k}"] = F.expr(f"coalesce(n_{k} * {shift}, 0D)")
+        spread[f"q_{k}"] = F.expr(f"coalesce(q_{k} + n_{k} * {shift} * {shift}, 0D)")
+    combine = [f"sum({p}_{k}) AS {p}_{k}" for k in kpis for p in ("n", "d", "q")] + [f"max(c_{k}) AS c_{k}" for k in kpis]
     keys = ["zone_group", "zone_id", "window_s", "slot_idx", "exp_length"]
-    slots = (
-        _per_length(_per_window(centred.withColumns(spread), grid), grid)
-        .groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in centre_columns])
-    )
-    merged = (
-        with_variants(slots, grid).groupBy(*RUN_KEYS, "variant")
-        .agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in centre_columns])
-    )
-    per_kpi = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("kpi"), F.col(f"n_{k}").alias("n"), F.col(f"d_{k}").alias("d"),
-                 F.col(f"q_{k}").alias("q"), F.col(f"c_{k}").alias("c"))
-        for k in kpis]))
-    v = merged.select(*RUN_KEYS, "variant", per_kpi.alias("m")).select(*RUN_KEYS, "variant", "m.*")
-    n = F.col("n").cast("double")
-    mean_shift = F.try_divide(F.col("d"), n)
-    return v.select(
-        *RUN_KEYS, "variant", F.lit("order_level").alias("kpi_type"), "kpi", F.col("n"),
-        (F.col("c") + mean_shift).alias("mean"),
-        F.try_divide(F.greatest(F.col("q") - F.col("d") * mean_shift, F.lit(0.0)), n - 1.0).alias("variance"),
+    slots = _per_length(_per_window(centred.withColumns(spread), grid), grid).groupBy(*keys).agg(*map(F.expr, combine))
+    merged = with_variants(slots, grid).groupBy(*RUN_KEYS, "variant").agg(*map(F.expr, combine))
+    per_kpi = ", ".join(f"struct('{k}' AS kpi, n_{k} AS n, d_{k} AS d, q_{k} AS q, c_{k} AS c)" for k in kpis)
+    return merged.selectExpr(*RUN_KEYS, "variant", f"inline(array({per_kpi}))").selectExpr(
+        *RUN_KEYS, "variant", "'order_level' AS kpi_type", "kpi", "n", "c + try_divide(d, CAST(n AS DOUBLE)) AS mean",
+        "try_divide(greatest(q - d * try_divide(d, CAST(n AS DOUBLE)), 0D), CAST(n AS DOUBLE) - 1D) AS variance",
     )
 
 

@@ -59,7 +59,7 @@ def prepare_orders(orders: DataFrame, groups: Sequence[ZoneGroup]) -> DataFrame:
 
 def with_numeric_kpis(df: DataFrame, kpis: Sequence[str] = ALL_KPIS) -> DataFrame:
     """Cast the KPI columns to double; text that is no number is an error."""
-    return df.withColumns({k: F.col(k).cast("double") for k in kpis})
+    return df.withColumns({k: F.expr(f"CAST({k} AS DOUBLE)") for k in kpis})
 
 
 def with_week(prepared: DataFrame) -> DataFrame:
