@@ -336,7 +336,7 @@ def point_in_zone(spark, sf):
             F.substring(F.col("order_id"), 2, 20).alias("order_id"),
             geo_point(F.col("delivery_location.longitude"), F.col("delivery_location.latitude")).alias("point")),
         "order_id")
-    inside = wh.points_in_zones(points, zones, F.col("point.lon"), F.col("point.lat"), wh.zones_fit_broadcast(zones))
+    inside = wh.points_in_zones(points, zones, "point", wh.zones_fit_broadcast(zones))
     return inside.select("order_id", "zone_id", F.col("point.lon").alias("lon"), F.col("point.lat").alias("lat"))
 
 

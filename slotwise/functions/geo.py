@@ -2,7 +2,8 @@
 
 A zone shape is ARRAY<ARRAY<STRUCT<lon, lat>>>: a list of rings (outer rings and holes
 alike, open or closed). A point lies inside when its ray crosses an odd number of edges
-and it is on no edge.
+and it is on no edge. Edges are kept by latitude band, so that a point meets only
+the few edges near its latitude.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SHAPE_TYPE = "array<array<struct<lon:double,lat:double>>>"
+# A band holds about this many edges of a shape, besides those that pass through.
+_EDGES_PER_BAND = 4
+_MAX_BANDS = 64
 
 
 def geo_point(lon: Column, lat: Column) -> Column:
@@ -18,96 +21,59 @@ def geo_point(lon: Column, lat: Column) -> Column:
     return F.when(lon.isNotNull() & lat.isNotNull(), F.struct(lon.alias("lon"), lat.alias("lat")))
 
 
-def shape_edges(shape: Column) -> Column:
-    """All ring edges of a shape as one flat array."""
-
-    def ring_edges(ring: Column) -> Column:
-        n = F.size(ring)
-        return F.transform(
-            ring,
-            lambda p, i: F.struct(
-                p["lon"].alias("x1"), p["lat"].alias("y1"),
-                F.get(ring, (i + 1) % n)["lon"].alias("x2"),
-                F.get(ring, (i + 1) % n)["lat"].alias("y2"),
-            ),
-        )
-
-    return F.flatten(F.transform(shape, ring_edges))
-
-
-def shape_bounds(shape: Column) -> Column:
-    """Bounding box of a shape."""
-    points = F.flatten(shape)
-    lon = F.transform(points, lambda p: p["lon"])
-    lat = F.transform(points, lambda p: p["lat"])
-    return F.struct(
-        F.array_min(lon).alias("min_lon"), F.array_max(lon).alias("max_lon"),
-        F.array_min(lat).alias("min_lat"), F.array_max(lat).alias("max_lat"),
-    )
+def _let(name: str, value: str, body: str) -> str:
+    """Compute `value` once per row and use it under a name (a one-element transform)."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-# A band holds about this many edges of a shape, besides those that pass through.
-_EDGES_PER_BAND = 4
-_MAX_BANDS = 64
-
-
-def _band_of(lat: Column, bounds: Column, bands: Column) -> Column:
+def _band(lat: str, box: str, bands: str) -> str:
     """Number of the latitude band; never falls as the latitude rises, so rounding cannot skip an edge."""
-    step = (bounds["max_lat"] - bounds["min_lat"]) / bands.cast("double")
-    raw = F.floor(F.try_divide(lat - bounds["min_lat"], step))
-    return F.coalesce(F.least(raw, (bands - 1).cast("bigint")), F.lit(0).cast("bigint")).cast("int")
-
-
-def _band_count(edges: Column) -> Column:
-    return F.least(F.greatest(F.floor(F.size(edges) / _EDGES_PER_BAND), F.lit(1)), F.lit(_MAX_BANDS)).cast("int")
-
-
-def edge_bands(edges: Column, bounds: Column) -> Column:
-    """Edges by latitude band; an edge is in every band that it touches."""
-    count = _band_count(edges)
-    ranged = F.transform(
-        edges, lambda e: F.struct(
-            e.alias("edge"),
-            _band_of(F.least(e["y1"], e["y2"]), bounds, count).alias("low"),
-            _band_of(F.greatest(e["y1"], e["y2"]), bounds, count).alias("high")))
-    return F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda b: F.transform(
-            F.filter(ranged, lambda r: (r["low"] <= b) & (b <= r["high"])), lambda r: r["edge"]))
-
-
-def zone_contains(bands: Column, bounds: Column, lon: Column, lat: Column) -> Column:
+    return (
+        f"CAST(coalesce(least(floor(try_divide({lat} - {box}.min_lat, ({box}.max_lat - {box}.min_lat) / {bands})), "
+        f"CAST({bands} - 1 AS BIGINT)), 0L) AS INT)")
+
+
+def zone_index(shape: str) -> Column:
+    """Box and banded edges of a shape column: STRUCT<box, bands>. An edge is in every band that it touches."""
+    edges = (
+        f"flatten(transform({shape}, ring -> transform(ring, (p, i) -> struct(p.lon AS x1, p.lat AS y1, "
+        "get(ring, (i + 1) % size(ring)).lon AS x2, get(ring, (i + 1) % size(ring)).lat AS y2))))")
+    box = (
+        "struct(array_min(transform(e.edges, k -> k.x1)) AS min_lon, array_max(transform(e.edges, k -> k.x1)) AS max_lon, "
+        "array_min(transform(e.edges, k -> k.y1)) AS min_lat, array_max(transform(e.edges, k -> k.y1)) AS max_lat)")
+    bands = f"least(greatest(floor(size(e.edges) / {_EDGES_PER_BAND}), 1L), {_MAX_BANDS}L)"
+    ranged = (
+        f"transform(z.edges, k -> struct(k AS edge, {_band('least(k.y1, k.y2)', 'z.box', 'z.n')} AS low, "
+        f"{_band('greatest(k.y1, k.y2)', 'z.box', 'z.n')} AS high))")
+    banded = (
+        "transform(sequence(0, CAST(z.n AS INT) - 1), "
+        "b -> transform(filter(r.edges, q -> q.low <= b AND b <= q.high), q -> q.edge))")
+    index = _let("r", f"struct({ranged} AS edges)", f"struct(z.box AS box, {banded} AS bands)")
+    boxed = _let("z", f"struct(e.edges AS edges, {box} AS box, {bands} AS n)", index)
+    return F.expr(_let("e", f"struct({edges} AS edges)", boxed))
+
+
+def zone_contains(index: str, lon: str, lat: str) -> Column:
     """Point-in-zone: box test first, then only the edges of the point's latitude band."""
-    in_box = lon.between(bounds["min_lon"], bounds["max_lon"]) & lat.between(bounds["min_lat"], bounds["max_lat"])
-    edges = F.get(bands, _band_of(lat, bounds, F.size(bands)))
-
-    def side(e: Column) -> Column:
-        return (e["x2"] - e["x1"]) * (lat - e["y1"]) - (e["y2"] - e["y1"]) * (lon - e["x1"])
-
-    def on_edge(e: Column) -> Column:
-        return (
-            lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-            & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & (side(e) == 0)
-        )
-
-    def crossed(e: Column) -> Column:
-        return ((e["y1"] > lat) != (e["y2"] > lat)) & (
-            lon < F.try_divide((e["x2"] - e["x1"]) * (lat - e["y1"]), e["y2"] - e["y1"]) + e["x1"])
-
-    # Crossings so far; -1 for good once the point lies on an edge.
-    crossings = F.aggregate(
-        edges, F.lit(0),
-        lambda acc, e: F.when((acc < 0) | on_edge(e), F.lit(-1)).when(crossed(e), acc + 1).otherwise(acc))
-    return in_box & (crossings > 0) & (crossings % 2 == 1)
-
-
-def shape_from_wkt(wkt: Column) -> Column:
-    """Rings of a WKT POLYGON or MULTIPOLYGON text."""
-    rings = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
-
-    def vertex(text: Column) -> Column:
-        xy = F.split(F.trim(text), r"\s+")
-        return F.struct(F.get(xy, F.lit(0)).cast("double").alias("lon"), F.get(xy, F.lit(1)).cast("double").alias("lat"))
-
-    return F.transform(rings, lambda ring: F.transform(F.split(ring, ","), vertex))
+    box = f"{index}.box"
+    in_box = f"{lon} BETWEEN {box}.min_lon AND {box}.max_lon AND {lat} BETWEEN {box}.min_lat AND {box}.max_lat"
+    edges = f"get({index}.bands, {_band(lat, box, f'size({index}.bands)')})"
+    on_edge = (
+        f"{lat} BETWEEN least(k.y1, k.y2) AND greatest(k.y1, k.y2) AND {lon} BETWEEN least(k.x1, k.x2) AND greatest(k.x1, k.x2) "
+        f"AND (k.x2 - k.x1) * ({lat} - k.y1) - (k.y2 - k.y1) * ({lon} - k.x1) = 0")
+    crossed = (
+        f"(k.y1 > {lat}) != (k.y2 > {lat}) "
+        f"AND {lon} < try_divide((k.x2 - k.x1) * ({lat} - k.y1), k.y2 - k.y1) + k.x1")
+    # Parity of the crossings so far; -1 for good once the point lies on an edge.
+    parity = (
+        f"aggregate({edges}, 0, (acc, k) -> CASE WHEN acc < 0 OR ({on_edge}) THEN -1 "
+        f"WHEN {crossed} THEN 1 - acc ELSE acc END)")
+    return F.expr(f"({in_box}) AND {parity} = 1")
+
+
+def shape_from_wkt(wkt: str) -> Column:
+    """Rings of a WKT POLYGON or MULTIPOLYGON text column."""
+    vertex = _let(
+        "xy", r"split(trim(t), '\\s+')", "struct(CAST(get(xy, 0) AS DOUBLE) AS lon, CAST(get(xy, 1) AS DOUBLE) AS lat)")
+    return F.expr(
+        rf"transform(regexp_extract_all({wkt}, '\\(([^()]+)\\)', 1), ring -> transform(split(ring, ','), t -> {vertex}))")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import OrderScope
-from slotwise.functions.geo import edge_bands, geo_point, shape_bounds, shape_edges, zone_contains
+from slotwise.functions.geo import geo_point, zone_contains, zone_index
 from slotwise.functions.scalars import day_number, weekday_name
 from slotwise.operators.joins import fits_broadcast, join_dimension
 
@@ -95,31 +95,23 @@ def sessions_in_scope(sessions: DataFrame, scope: OrderScope) -> DataFrame:
         & F.col("entity_id").isin(*scope.entity_ids))
 
 
-def zone_edges(zones: DataFrame) -> DataFrame:
-    """Zones with box and banded edges, computed once per zone."""
-    return (
-        zones.select(*ZONE_KEYS, "zone_shape", shape_bounds(F.col("zone_shape")).alias("zone_box"),
-                     shape_edges(F.col("zone_shape")).alias("edges"))
-        .withColumn("zone_bands", edge_bands(F.col("edges"), F.col("zone_box"))).drop("edges")
-    )
-
-
 def zones_fit_broadcast(zones: DataFrame) -> bool:
     """Whether all shapes, with their edges in about three bands each, may go to every executor."""
     return fits_broadcast(zones, F.size(F.flatten("zone_shape")) * 192 + 256)
 
 
 def points_in_zones(
-    points: DataFrame, zones: DataFrame, lon: Column, lat: Column, small: bool, spread: Sequence[str] = ("order_id",)
+    points: DataFrame, zones: DataFrame, point: str, small: bool, spread: Sequence[str] = ("order_id",)
 ) -> DataFrame:
-    """Rows whose point lies inside the zone they name, with the zone's shape.
+    """Rows whose point (a STRUCT<lon, lat> column) lies inside the zone they name, with the zone's shape.
 
     Equi-join on the zone first, then the box, then the edges near the point. A zone listed
     twice gives a row twice. Zones go to every executor if their shapes are small enough
     (zones_fit_broadcast); otherwise a hot zone is dealt out over salted keys by `spread`.
     """
-    joined = join_dimension(points, zone_edges(zones), ZONE_KEYS, small, spread=spread)
-    return joined.where(zone_contains(F.col("zone_bands"), F.col("zone_box"), lon, lat)).drop("zone_bands", "zone_box")
+    indexed = zones.select(*ZONE_KEYS, "zone_shape", zone_index("zone_shape").alias("_zone_index"))
+    joined = join_dimension(points, indexed, ZONE_KEYS, small, spread=spread)
+    return joined.where(zone_contains("_zone_index", f"{point}.lon", f"{point}.lat")).drop("_zone_index")
 
 
 def order_kpis(
@@ -150,7 +142,7 @@ def order_kpis(
     # An order proves by itself that its entity has sessions, so the plain entity list is enough.
     ent = entity_platforms(entities, scope).select("entity_id", F.col("region").alias("_entity_region"))
     priced = join_dimension(priced, ent, ["entity_id"], fits_broadcast(ent), spread=("order_id",))
-    inside = points_in_zones(priced, zones, F.col("customer_location.lon"), F.col("customer_location.lat"), small_zones)
+    inside = points_in_zones(priced, zones, "customer_location", small_zones)
     start = F.lit(scope.start_date)
     return inside.select(
         F.col("created_date").alias("created_date_utc"),
