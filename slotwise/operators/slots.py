@@ -126,7 +126,7 @@ def _grid_rows(prepared: DataFrame, grid: StudyGrid) -> DataFrame:
 
 
 def granule_facts(prepared: DataFrame, grid: StudyGrid, kpis: Sequence[str] = ALL_KPIS) -> DataFrame:
-    """Per zone, granule and first covering length: count, sum and squared deviations of every KPI.
+    """Per zone, granule and first covering length: count, sum, squared deviations and range of every KPI.
 
     The one pass over the KPI values; partial sums leave the scan, so a hot zone costs no
     more shuffle than any other.
@@ -134,7 +134,10 @@ def granule_facts(prepared: DataFrame, grid: StudyGrid, kpis: Sequence[str] = AL
     rows = with_numeric_kpis(_grid_rows(prepared, grid), kpis)
     measures = []
     for k in kpis:
-        measures += [f"count({k}) AS n_{k}", f"sum({k}) AS s_{k}", f"var_pop({k}) * count({k}) AS q_{k}"]
+        measures += [
+            f"count({k}) AS n_{k}", f"sum({k}) AS s_{k}", f"var_pop({k}) * count({k}) AS q_{k}",
+            f"min({k}) AS lo_{k}", f"max({k}) AS hi_{k}",
+        ]
     return rows.groupBy("zone_group", "zone_id", "granule", "first_length").agg(*map(F.expr, measures))
 
 

@@ -88,8 +88,8 @@ def _split_kpi(df: DataFrame) -> DataFrame:
 def order_level_moments(facts: DataFrame, grid: StudyGrid, kpis: Sequence[str] = ALL_KPIS) -> DataFrame:
     """Moments over orders of every run, merged from the granule facts.
 
-    Sums are taken around the zone group's mean, so that they add up without loss of
-    digits. `facts` is read twice: pass a staged table.
+    Sums are taken around the zone group's mean, so that they add up with little loss of
+    digits; the range tells a constant KPI exactly. `facts` is read twice: pass a staged table.
     """
     centres = facts.groupBy("zone_group").agg(*[
         F.expr(f"coalesce(try_divide(sum(s_{k}), CAST(sum(n_{k}) AS DOUBLE)), 0D) AS c_{k}") for k in kpis])
@@ -101,14 +101,20 @@ def order_level_moments(facts: DataFrame, grid: StudyGrid, kpis: Sequence[str] =
         shift = f"(try_divide(s_{k}, CAST(n_{k} AS DOUBLE)) - c_{k})"
         spread[f"d_{k}"] = F.expr(f"coalesce(n_{k} * {shift}, 0D)")
         spread[f"q_{k}"] = F.expr(f"coalesce(q_{k} + n_{k} * {shift} * {shift}, 0D)")
-    combine = [f"sum({p}_{k}) AS {p}_{k}" for k in kpis for p in ("n", "d", "q")] + [f"max(c_{k}) AS c_{k}" for k in kpis]
+    combine = [
+        f"{f}({p}_{k}) AS {p}_{k}" for k in kpis
+        for p, f in (("n", "sum"), ("d", "sum"), ("q", "sum"), ("lo", "min"), ("hi", "max"), ("c", "max"))]
     keys = ["zone_group", "zone_id", "window_s", "slot_idx", "exp_length"]
     slots = _per_length(_per_window(centred.withColumns(spread), grid), grid).groupBy(*keys).agg(*map(F.expr, combine))
     merged = with_variants(slots, grid).groupBy(*RUN_KEYS, "variant").agg(*map(F.expr, combine))
-    per_kpi = ", ".join(f"struct('{k}' AS kpi, n_{k} AS n, d_{k} AS d, q_{k} AS q, c_{k} AS c)" for k in kpis)
+    per_kpi = ", ".join(
+        f"struct('{k}' AS kpi, n_{k} AS n, d_{k} AS d, q_{k} AS q, lo_{k} AS lo, hi_{k} AS hi, c_{k} AS c)"
+        for k in kpis)
     return merged.selectExpr(*RUN_KEYS, "variant", f"inline(array({per_kpi}))").selectExpr(
-        *RUN_KEYS, "variant", "'order_level' AS kpi_type", "kpi", "n", "c + try_divide(d, CAST(n AS DOUBLE)) AS mean",
-        "try_divide(greatest(q - d * try_divide(d, CAST(n AS DOUBLE)), 0D), CAST(n AS DOUBLE) - 1D) AS variance",
+        *RUN_KEYS, "variant", "'order_level' AS kpi_type", "kpi", "n",
+        "IF(lo = hi, lo, c + try_divide(d, CAST(n AS DOUBLE))) AS mean",
+        "try_divide(IF(lo = hi, 0D, greatest(q - d * try_divide(d, CAST(n AS DOUBLE)), 0D)), CAST(n AS DOUBLE) - 1D)"
+        " AS variance",
     )
 
 

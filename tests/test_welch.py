@@ -88,6 +88,22 @@ def test_order_level_moments_equal_the_direct_ones(spark):
             assert r.v1 == pytest.approx(r.v2, rel=1e-9, abs=1e-12)
 
 
+def test_constant_variant_away_from_the_mean_is_found(spark):
+    # One zone's orders all cost 0.3, the other's vary: no variance is left in some variants.
+    rows = [order(f"o{i}", 31 * i, zone="ab"[i % 2], zone_id=i % 2, gfv_local=0.3 if i % 2 else 0.1 * (i % 7))
+            for i in range(300)]
+    grid = StudyGrid(window_hours=(24,), num_variants=(5, 6), exp_lengths=(7,), seed="2")
+    prepared = zo.prepare_orders(orders(spark, rows), GROUPS)
+    got = we.order_level_moments(sl.granule_facts(prepared, grid, ["gfv_local"]), grid, ["gfv_local"])
+    direct = we.moments(
+        sl.with_variants(sl._per_length(sl._per_window(sl._grid_rows(prepared, grid), grid), grid), grid),
+        we.RUN_KEYS, ["gfv_local"])
+    constant = [tuple(r) for r in direct.where("variance = 0").select(*we.RUN_KEYS, "variant").collect()]
+    assert constant
+    assert sorted(constant) == sorted(
+        tuple(r) for r in got.where("variance = 0").select(*we.RUN_KEYS, "variant").collect())
+
+
 def test_share_of_false_alarms_is_near_alpha(spark):
     # Orders without any effect: about alpha of the p-values may be significant.
     rng = np.random.default_rng(1)
