@@ -116,11 +116,13 @@ def _first_length(grid: StudyGrid) -> Column:
 
 
 def _grid_rows(prepared: DataFrame, grid: StudyGrid) -> DataFrame:
+    """Orders with a zone and time within the longest experiment, with granule and first covering length."""
+    session_s = epoch_seconds(F.col(SESSION_TS))
     return (
         prepared
-        .withColumn("granule", slot_index(epoch_seconds(F.col(SESSION_TS)), F.col("start_s"), grid.granule_s))
+        .where((F.col("day_num") <= max(grid.exp_lengths)) & F.col("zone_id").isNotNull() & F.col(SESSION_TS).isNotNull())
+        .withColumn("granule", slot_index(session_s, F.col("start_s"), grid.granule_s))
         .withColumn("first_length", _first_length(grid))
-        .where(F.col("zone_id").isNotNull() & F.col("granule").isNotNull() & F.col("first_length").isNotNull())
         .withColumnRenamed(GROUP, "zone_group")
     )
 

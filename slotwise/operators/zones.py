@@ -16,10 +16,19 @@ SESSION_TS = "dps_sessionid_created_at_utc"
 GROUP = "zone_group_identifier"
 # Deals out the orders of a hot zone when a dimension is too large to broadcast.
 SPREAD = ("platform_order_code", SESSION_TS)
+# Longer value lists are left to the join alone.
+MAX_PUSHED_VALUES = 1000
 
 
 def tag_zone_groups(orders: DataFrame, groups: Sequence[ZoneGroup]) -> DataFrame:
-    """Keep the orders of the groups' zones; an order in two groups comes out twice."""
+    """Keep the orders of the groups' zones; an order in two groups comes out twice.
+
+    The join decides; the lists of entities and assignments are filters that reach the scan.
+    """
+    entities = sorted({g.entity_id for g in groups})
+    assignments = sorted({g.asa_id for g in groups})
+    if len(entities) + len(assignments) <= MAX_PUSHED_VALUES:
+        orders = orders.where(F.col("entity_id").isin(*entities) & F.col("asa_id").isin(*assignments))
     zones = (
         zone_group_table(orders.sparkSession, groups)
         # A zone listed twice in one group counts once, as in an IN list.

@@ -98,3 +98,18 @@ def test_union_of_slots_covers_every_order_once(spark, window):
     rows = [order(f"o{i}", 11 * i, zone="ab"[i % 2], zone_id=i % 2) for i in range(500)]
     sums = sl.design_sums(zo.prepare_orders(orders(spark, rows), GROUPS), Allocation(window, 3, 7, "s"))
     assert sums.agg(F.sum("order_count")).first()[0] == 500
+
+
+def test_study_filters_and_columns_reach_the_scan(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    path = str(tmp_path / "orders")
+    random_orders(spark, 50).withColumn("unused", F.lit("x")).write.parquet(path)
+    prepared = zo.prepare_orders(spark.read.parquet(path), GROUPS)
+    plan = sl.granule_facts(prepared, GRID, ["gfv_local"])._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    facts = next(s for s in scans if "gfv_local" in s.split("ReadSchema")[1])
+    for wanted in ("LessThanOrEqual(day_num,4)", "In(asa_id, [1,2])", "EqualTo(entity_id,E0)", "IsNotNull(zone_id)"):
+        assert wanted in facts
+    assert "unused" not in plan and "gmv_local" not in plan
+    starts = next(s for s in scans if s is not facts)
+    assert "gfv_local" not in starts and "platform_order_code" not in starts
