@@ -156,7 +156,7 @@ def _per_length(df: DataFrame, grid: StudyGrid) -> DataFrame:
     return df.withColumn("exp_length", F.explode(lengths)).where(F.col("exp_length") >= F.col("first_length"))
 
 
-# Granules in one bit mask, and counters in one aggregation, at most.
+# Bits in one mask (granules times lengths), and counters in one aggregation, at most.
 _MAX_BITS = 62
 _MAX_COUNTERS = 80
 
@@ -171,7 +171,7 @@ def slot_order_counts(prepared: DataFrame, grid: StudyGrid) -> DataFrame:
     narrow = rows.select("zone_group", "zone_id", "granule", "first_length", "platform_order_code")
     span = math.lcm(*grid.windows_s) // grid.granule_s
     slots = sum(span * grid.granule_s // w for w in grid.windows_s)
-    if span <= _MAX_BITS and slots * len(grid.exp_lengths) <= _MAX_COUNTERS:
+    if span * len(grid.exp_lengths) <= _MAX_BITS and slots * len(grid.exp_lengths) <= _MAX_COUNTERS:
         return _masked_order_counts(narrow, grid, span)
     return _windowed_order_counts(narrow, grid)
 
@@ -191,24 +191,26 @@ def _masked_order_counts(narrow: DataFrame, grid: StudyGrid, span: int) -> DataF
     """One shuffle of the order codes for all windows.
 
     Slots of all windows start together every `span` granules. Per order code and such
-    block, one bit mask per length notes the granules that hold the order; it was in a slot if one
-    of the slot's bits is set. Masks combine before the shuffle, so repeats of a code cost nothing.
+    block, one bit mask notes granule and first covering length of every row; the order was in a slot,
+    as seen by a length, if one of the slot's bits is set for this or a shorter length. Masks
+    combine before the shuffle, so repeats of a code cost nothing.
     """
     lengths = sorted(grid.exp_lengths)
-    bit = F.expr("shiftleft(1L, CAST(position AS INT))")
+    rank = "CASE first_length " + " ".join(f"WHEN {n} THEN {r}" for r, n in enumerate(lengths)) + " END"
     masks = (
         narrow.withColumn("position", F.pmod("granule", F.lit(span)))
         .withColumn("block", ((F.col("granule") - F.col("position")) / span).cast("bigint"))
         .groupBy("zone_group", "zone_id", "block", "platform_order_code")
-        .agg(*[F.bit_or(F.when(F.col("first_length") <= n, bit)).alias(f"mask_{n}") for n in lengths])
+        .agg(F.expr(f"bit_or(shiftleft(1L, CAST(position AS INT) + {span} * ({rank}))) AS mask"))
     )
     counters = {}
     for w in grid.windows_s:
         granules = w // grid.granule_s
         for j in range(span // granules):
-            slot_bits = ((1 << granules) - 1) << (j * granules)
-            for n in lengths:
-                counters[w, span // granules, j, n] = f"count_if((mask_{n} & {slot_bits}L) != 0)"
+            bits = ((1 << granules) - 1) << (j * granules)
+            for r, n in enumerate(lengths):
+                seen = sum(bits << (span * shorter) for shorter in range(r + 1))
+                counters[w, span // granules, j, n] = f"count_if((mask & {seen}L) != 0)"
     wide = masks.groupBy("zone_group", "zone_id", "block").agg(
         *[F.expr(e).alias(f"c{i}") for i, e in enumerate(counters.values())])
     cells = ", ".join(
