@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.config import ALL_KPIS, LOGISTICS_KPIS, CUSTOMER_KPIS, OrderScope, StudyGrid, ZoneGroup
+from slotwise.config import ALL_KPIS, CUSTOMER_KPIS, LOGISTICS_KPIS, OrderScope, StudyGrid, ZoneGroup
 
 GRID = StudyGrid(seed="42")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import fixture_views as fx
-from slotwise.config import ALL_KPIS, CUSTOMER_KPIS, LOGISTICS_KPIS, Allocation
+from slotwise.config import CUSTOMER_KPIS, LOGISTICS_KPIS, Allocation
 from slotwise.functions.geo import geo_point
 from slotwise.functions.scalars import day_number, iso_timestamp, weekday_name
 from slotwise.operators import allocation as al
@@ -20,7 +20,7 @@ from slotwise.operators import welch as we
 from slotwise.operators import zones as zo
 from slotwise.plans import study
 from slotwise.sources import tables as tb
-from slotwise.sources.staging import stage, staging_path
+from slotwise.sources.staging import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 

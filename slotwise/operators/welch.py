@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.config import ALL_KPIS, CUSTOMER_KPIS, LOGISTICS_KPIS, StudyGrid
+from slotwise.config import ALL_KPIS, LOGISTICS_KPIS, StudyGrid
 from slotwise.functions.fdist import f_survival
 from slotwise.functions.scalars import half_even, significance
 from slotwise.operators.allocation import run_id, window_label
