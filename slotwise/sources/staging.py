@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only a local session without one gets a temporary folder."""
+    """The folder named by spark.checkpoint.dir, which every executor must reach."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="slotwise-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
-    raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def staging_path(spark: SparkSession, label: str) -> str:

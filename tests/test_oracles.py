@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_oracles import compare, tables
+from oracles import ORACLES
+from queries_spark import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,10 +14,10 @@ def con(sf_dir):
 
 
 def test_every_query_has_a_twin():
-    assert sorted(queries()) == sorted(oracle_sql())
+    assert sorted(QUERIES) == sorted(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, sf_dir, name):
     ok, note = compare(spark, con, name, sf_dir)
     assert ok, note
