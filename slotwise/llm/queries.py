@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slotwise.llm import bpe, packing, token_counts, wavelet
+from slotwise.llm import bpe, packing, simhash, token_counts, wavelet
 from slotwise.llm.common import documents
 from slotwise.sources.staging import staging_path
 
@@ -40,11 +40,17 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(documents(spark, sf_dir), words_per_shingle=3, max_bits=2).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 LLM_QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_wavelet_shards": op4_wavelet_shards,
+    "op10_simhash": op10_simhash,
 }
 
 LLM_ORACLES: dict[str, str] = {}
