@@ -5,8 +5,8 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slotwise.llm import bpe, packing, simhash, token_counts, wavelet
-from slotwise.llm.common import documents
+from slotwise.llm import bpe, packing, quality, simhash, token_counts, wavelet
+from slotwise.llm.common import documents, table
 from slotwise.sources.staging import staging_path
 
 BYTE_RANKS = tokenizer_path("byte_bpe_50k.tiktoken")
@@ -40,6 +40,15 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op8_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    field = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs.select("doc_id", "text"), field).select(
+        "doc_id", *(F.col(f"q_{c}").alias(c) for c in (
+            "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+            "content_share")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir), words_per_shingle=3, max_bits=2).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,6 +59,7 @@ LLM_QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_wavelet_shards": op4_wavelet_shards,
+    "op8_line_field": op8_line_field,
     "op10_simhash": op10_simhash,
 }
 
