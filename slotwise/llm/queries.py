@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slotwise.llm import bpe, packing, quality, simhash, token_counts, wavelet
+from slotwise.llm import bpe, packing, quality, simhash, token_counts, toxicity, wavelet
 from slotwise.llm.common import documents, table
 from slotwise.sources.staging import staging_path
 
@@ -40,6 +40,22 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows whose toxicity labels are kept from training; a null id is not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+TOXIC_FROM = 0.3
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.score(docs.select("doc_id", "text"), net).select(
+        "doc_id", held_out().alias("held_out"), F.col("t_score").alias("score"),
+        (F.col("t_score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op8_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     field = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -59,6 +75,7 @@ LLM_QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_wavelet_shards": op4_wavelet_shards,
+    "op6_toxicity": op6_toxicity,
     "op8_line_field": op8_line_field,
     "op10_simhash": op10_simhash,
 }
