@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,18 @@ def id_field(docs: DataFrame) -> str:
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
 
 
+@contextmanager
+def without_cycle_search() -> Iterator[None]:
+    """Python's search for cycles is off: work on many small lists makes none and would be slowed down."""
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was_on:
+            gc.enable()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of Arrow batches with at most SLICE_CHARS characters of text each, or one longer text."""
     for batch in batches:
@@ -75,3 +89,24 @@ def spread_cumsum(df: DataFrame, by: list[str], order: list[str], weight: Column
     joined = cut.join(bases, on).select(*(cut[c] for c in cut.columns), bases["__base"])
     return joined.withColumn(out, F.col("__base") + F.coalesce(F.sum("__weight").over(own), F.lit(0))).drop(
         "__bucket", "__weight", "__base")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_0: int, most_1: int, most_chars: int,
+                    ) -> list[tuple[str, int]]:
+    """Up to most_0 and most_1 texts of label 0 and 1, picked by a hash of doc_id, in a fixed order.
+
+    Rows with a null id or label, ids with both labels, blank texts and those over most_chars characters are
+    left out. The ids are picked first, so only a bounded number of texts moves or reaches the driver.
+    """
+    named = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(
+        F.min(label).alias("label"), F.max(label).alias("other")).where("label = other").drop("other")
+    picked = None
+    for value, most in ((0, most_0), (1, most_1)):
+        # Some more than needed, since long texts drop out later.
+        own = named.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
+        picked = own if picked is None else picked.unionByName(own)
+    short = docs.select("doc_id", "text").where((F.length("text") <= most_chars) & (F.length(F.trim("text")) > 0))
+    rows = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    return [(r.text, value) for value, most in ((0, most_0), (1, most_1))
+            for r in [x for x in rows if x.label == value][:most]]

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from slotwise.llm.common import text_slices
+from slotwise.llm.common import labelled_sample, text_slices
 
 #: Most labelled documents of each label that the field is trained on.
 TRAINING_DOCS = 1_000
@@ -183,28 +183,9 @@ def content_share(field: LineField, features: np.ndarray, chars: np.ndarray) ->
     return float(chars @ field.viterbi(features) / chars.sum()) if len(chars) else 0.0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """Up to TRAINING_DOCS texts of each quality label, picked by a hash of doc_id, in a fixed order.
-
-    Rows with a null id or label, ids with both labels, and texts over TRAINING_CHARS are left out.
-    """
-    named = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
-        F.min("quality").alias("label"), F.max("quality").alias("most")).where("label = most and label in (0, 1)")
-    short = docs.select("doc_id", "text").where(F.length("text").between(1, TRAINING_CHARS))
-    # Ids first, so that no task sorts texts; twice as many as needed, since long texts drop out later.
-    ids = None
-    for label in (0, 1):
-        own = named.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * TRAINING_DOCS)
-        ids = own if ids is None else ids.unionByName(own)
-    picked = short.join(F.broadcast(ids.select("doc_id", "label")), "doc_id").groupBy("doc_id", "label").agg(
-        F.min("text").alias("text"))
-    rows = sorted(picked.collect(), key=lambda r: (r.label, r.doc_id))
-    return [(r.text, r.label) for label in (0, 1) for r in [x for x in rows if x.label == label][:TRAINING_DOCS]]
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> LineField:
     examples = []
-    for text, label in training_sample(docs, labels):
+    for text, label in labelled_sample(docs, labels, "quality", TRAINING_DOCS, TRAINING_DOCS, TRAINING_CHARS):
         _, features, _ = describe(text)
         if len(features):
             examples.append((features, label))
