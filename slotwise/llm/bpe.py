@@ -19,7 +19,7 @@ import xxhash
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
-from slotwise.llm.common import id_field, ids_and_texts, list_array, text_slices
+from slotwise.llm.common import id_field, ids_and_texts, list_array, text_slices, without_cycle_search
 
 #: Pre-tokens that a worker remembers; beyond it (but for the batch at hand) it forgets the later half.
 MEMO_ENTRIES = 400_000
@@ -132,7 +132,8 @@ class ByteBpe:
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many belong to each text."""
-        return self.memo.encode([self.pattern.findall(t) for t in texts])
+        with without_cycle_search():
+            return self.memo.encode([self.pattern.findall(t) for t in texts])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -173,16 +174,18 @@ class PieceMemo:
 
     def encode(self, pieces_of: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, given as lists of pieces, and how many belong to each text."""
-        pieces = [p for own in pieces_of for p in own]
-        codes = self.codes
-        new = list(dict.fromkeys(p for p in pieces if p not in codes))
-        if new and len(codes) + len(new) > self.most:
-            self.keep(self.most // 2)
-            codes = self.codes
-            new = list(dict.fromkeys(p for p in pieces if p not in codes))
+        pieces = list(chain.from_iterable(pieces_of))
+        found = list(map(self.codes.get, pieces))
+        new = dict.fromkeys(p for p, code in zip(pieces, found) if code is None)
         if new:
-            self.add(new)
-        code = np.fromiter(map(codes.__getitem__, pieces), np.int64, len(pieces))
+            if len(self.codes) + len(new) > self.most:
+                self.keep(self.most // 2)
+                new = dict.fromkeys(p for p in pieces if p not in self.codes)
+                found = [None] * len(pieces)
+            self.add(list(new))
+            codes = self.codes
+            found = [codes[p] if code is None else code for p, code in zip(pieces, found)]
+        code = np.array(found, np.int64)
         start = self.ends[code]
         length = self.ends[code + 1] - start
         shift = np.cumsum(length)

@@ -14,9 +14,10 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from slotwise.llm.bpe import PieceMemo, joined
+from slotwise.llm.common import without_cycle_search
 
 #: Pieces that a worker remembers; beyond it (but for the batch at hand) it forgets the later half.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 1_500_000
 
 # Control characters and spaces that Python and the library may class differently, and the mark of exact pieces.
 _ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -26,6 +27,18 @@ _RUN = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 _EXACT = "\x00"
 
 
+_AFTER_MARK = re.compile(r"[\W_][.,][ \n]")
+
+
+def _part_from_words(text: str) -> str:
+    """A comma or full stop between a word and white space becomes a piece, so that the word is met more often."""
+    if _AFTER_MARK.search(text):
+        return text  # it might belong to the mark before it
+    for mark in ".,":
+        text = text.replace(mark + " ", f" {_EXACT}{mark} ").replace(mark + "\n", f" {_EXACT}{mark}\n")
+    return text
+
+
 def pieces_with_space(text: str) -> list[str]:
     """Pieces of a text in which white space belongs to the token after it."""
     if not text:
@@ -34,7 +47,7 @@ def pieces_with_space(text: str) -> list[str]:
         return [_EXACT + text]
     if _UNEVEN.search(text):
         return [_EXACT + run for run in _RUN.findall(text)]
-    pieces = text.replace("\n", " \n").split(" ")
+    pieces = _part_from_words(text).replace("\n", " \n").split(" ")
     if pieces[0]:
         pieces[0] = _EXACT + pieces[0]
     else:
@@ -46,7 +59,7 @@ def pieces_with_space(text: str) -> list[str]:
 
 def pieces_without_space(text: str) -> list[str]:
     """Pieces of a text in which white space only divides."""
-    return [_EXACT + text] if _ODD.search(text) else text.split()
+    return [_EXACT + text] if _ODD.search(text) else _part_from_words(text).split()
 
 
 class LibraryTokens:
@@ -68,7 +81,8 @@ class LibraryTokens:
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many belong to each text."""
-        return self.memo.encode([self.cut(t) for t in texts])
+        with without_cycle_search():
+            return self.memo.encode([self.cut(t) for t in texts])
 
 
 @lru_cache(maxsize=2)
