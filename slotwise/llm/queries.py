@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slotwise.llm import bpe, packing, quality, simhash, token_counts, toxicity, wavelet
+from slotwise.llm import bpe, packing, pii, quality, simhash, token_counts, toxicity, wavelet
 from slotwise.llm.common import documents, table
 from slotwise.sources.staging import staging_path
 
@@ -56,6 +56,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("t_score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir), ["doc_id"]))
+
+
 def op8_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     field = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -76,6 +80,7 @@ LLM_QUERIES = {
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_wavelet_shards": op4_wavelet_shards,
     "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
     "op8_line_field": op8_line_field,
     "op10_simhash": op10_simhash,
 }
