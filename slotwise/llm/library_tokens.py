@@ -17,7 +17,7 @@ from slotwise.llm.bpe import PieceMemo, joined
 from slotwise.llm.common import without_cycle_search
 
 #: Pieces that a worker remembers; beyond it (but for the batch at hand) it forgets the later half.
-MEMO_ENTRIES = 1_500_000
+MEMO_ENTRIES = 1_000_000
 
 # Control characters and spaces that Python and the library may class differently, and the mark of exact pieces.
 _ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
