@@ -76,17 +76,17 @@ def spread_cumsum(df: DataFrame, by: list[str], order: list[str], weight: Column
     """
     cut = df.withColumn("__bucket", F.pmod(salt, F.lit(buckets)).cast("int")).withColumn("__weight", weight)
     totals = cut.groupBy(*by, "__bucket").agg(F.sum("__weight").alias("__total"))
-    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    if not by:
-        # Without groups the totals are one row per bucket.
-        before = Window.partitionBy(F.lit(1)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*by, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
+    # Without groups the totals are one row per bucket.
+    before = Window.partitionBy(*by or [F.lit(1)]).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"__of_{k}" for k in (*by, "__bucket")}
+    bases = totals.select(
+        *(F.col(k).alias(n) for k, n in names.items()),
+        F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
+    on = F.lit(True)
+    for k, n in names.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    joined = cut.join(bases, on).drop(*names.values())
     own = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    keys = [cut[k].eqNullSafe(bases[k]) for k in (*by, "__bucket")]
-    on = keys[0]
-    for k in keys[1:]:
-        on = on & k
-    joined = cut.join(bases, on).select(*(cut[c] for c in cut.columns), bases["__base"])
     return joined.withColumn(out, F.col("__base") + F.coalesce(F.sum("__weight").over(own), F.lit(0))).drop(
         "__bucket", "__weight", "__base")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slotwise.llm import bpe, packing, pii, quality, simhash, token_counts, toxicity, wavelet
+from slotwise.llm import bpe, packing, pii, quality, sharding, simhash, token_counts, toxicity, wavelet
 from slotwise.llm.common import documents, table
 from slotwise.sources.staging import staging_path
 
@@ -40,6 +40,12 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op5_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(documents(spark, sf_dir), shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose toxicity labels are kept from training; a null id is not."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
@@ -79,6 +85,7 @@ LLM_QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_wavelet_shards": op4_wavelet_shards,
+    "op5_label_propagation": op5_label_propagation,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_line_field": op8_line_field,
