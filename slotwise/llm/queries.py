@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slotwise.llm import bpe, packing, pii, quality, sharding, simhash, token_counts, toxicity, wavelet
+from slotwise.llm import bpe, packing, pii, projection, quality, sharding, simhash, token_counts, toxicity, wavelet
 from slotwise.llm.common import documents, table
 from slotwise.sources.staging import staging_path
 
@@ -75,6 +75,10 @@ def op8_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
             "content_share")))
 
 
+def op9_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.linked_vectors(table(spark, sf_dir, "embeddings"), least_cosine=0.9)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir), words_per_shingle=3, max_bits=2).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -89,6 +93,7 @@ LLM_QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_line_field": op8_line_field,
+    "op9_projection_passes": op9_projection_passes,
     "op10_simhash": op10_simhash,
 }
 
