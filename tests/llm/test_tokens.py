@@ -12,7 +12,8 @@ from public_tokenizers import PATTERN
 from tokenizers import Tokenizer
 
 from slotwise.llm import bpe, library_tokens, packing, token_counts, wavelet
-from slotwise.llm.queries import BYTE_RANKS, BYTE_TOKENIZER, LLM_QUERIES, WORD_TOKENIZER
+from slotwise.llm.defaults import BYTE_RANKS, BYTE_TOKENIZER, WORD_TOKENIZER
+from slotwise.llm.queries import LLM_QUERIES
 from slotwise.sources.staging import staging_path
 
 
