@@ -124,25 +124,32 @@ def _long(keys: str, source: str, kpis, name: str) -> str:
 def _moments(keys: str, source: str, name: str) -> str:
     return f"""
 {name} AS (
-  SELECT {keys}, variant, kpi, count(v) AS n, avg(v) AS mean, var_samp(v) AS variance
+  SELECT {keys}, variant, kpi, count(v) AS n, avg(v) AS mean, var_samp(v) AS variance, min(v) AS low, max(v) AS high
   FROM {source} GROUP BY {keys}, variant, kpi)"""
 
 
-def _welch(source: str) -> str:
-    """p-values from moments per (run, kpi_type, kpi, variant); Simpson's rule with 1000 steps."""
+def _welch(source: str, alpha: float = 0.1) -> str:
+    """p-values from moments per (run, kpi_type, kpi, variant).
+
+    The statistic comes from the differences of all pairs of variants, a constant variant is told by its range,
+    the tail by Simpson's rule with 1000 steps.
+    """
     keys = f"{_RUN_COLS}, kpi_type, kpi"
+    same = "{0}.sim_run_id = {1}.sim_run_id AND {0}.kpi_type = {1}.kpi_type AND {0}.kpi = {1}.kpi"
     return f"""
-weighted AS (
-  SELECT *, CASE WHEN n >= 2 AND variance > pow(mean * 1e-12, 2) THEN n / variance END AS w FROM {source}),
-centred AS (
-  SELECT *, sum(w) OVER (PARTITION BY {keys}) AS w_sum,
-         sum(w * mean) OVER (PARTITION BY {keys}) / nullif(sum(w) OVER (PARTITION BY {keys}), 0) AS centre
-  FROM weighted),
+weighted AS (SELECT *, CASE WHEN n >= 2 AND high > low THEN n / variance END AS w FROM {source}),
+totals AS (
+  SELECT {keys}, CAST(count(*) AS DOUBLE) AS k, CAST(count(w) AS DOUBLE) AS k_usable, sum(w) AS w_sum
+  FROM weighted GROUP BY {keys}),
+shares AS (
+  SELECT {', '.join('x.' + c.strip() for c in keys.split(','))}, sum(pow(1 - x.w / t.w_sum, 2) / (x.n - 1)) AS lam
+  FROM weighted x JOIN totals t ON {same.format('x', 't')} GROUP BY ALL),
+pairs AS (
+  SELECT a.sim_run_id, a.kpi_type, a.kpi, sum(a.w * b.w * pow(a.mean - b.mean, 2)) AS pair_ss
+  FROM weighted a JOIN weighted b ON {same.format('a', 'b')} AND a.variant < b.variant GROUP BY ALL),
 summed AS (
-  SELECT {keys}, CAST(count(*) AS DOUBLE) AS k, CAST(count(w) AS DOUBLE) AS k_usable,
-         sum(w * pow(mean - centre, 2)) AS between_ss,
-         sum(CASE WHEN w IS NOT NULL THEN pow(1 - w / w_sum, 2) / (n - 1) END) AS lam
-  FROM centred GROUP BY {keys}),
+  SELECT {', '.join('t.' + c.strip() for c in keys.split(','))}, t.k, t.k_usable, p.pair_ss / t.w_sum AS between_ss, s.lam
+  FROM totals t JOIN shares s ON {same.format('t', 's')} LEFT JOIN pairs p ON {same.format('t', 'p')}),
 tested AS (
   SELECT {keys},
     CASE WHEN k >= 2 AND k_usable = k THEN (between_ss / (k - 1)) / (1 + 2 * (k - 2) * lam / (k * k - 1)) END AS f_stat,
@@ -169,7 +176,7 @@ p_values AS (
     ON t.sim_run_id = i.sim_run_id AND t.kpi_type = i.kpi_type AND t.kpi = i.kpi),
 results AS (
   SELECT {_RUN_COLS}, kpi, anova_pval,
-         CASE WHEN anova_pval <= 0.1 THEN 'significant' ELSE 'insignificant' END AS anova_sig, kpi_type
+         CASE WHEN anova_pval <= {alpha} THEN 'significant' ELSE 'insignificant' END AS anova_sig, kpi_type
   FROM p_values)"""
 
 
@@ -199,7 +206,7 @@ _ORDER_MOMENTS = (
     + _moments(_RUN_COLS, "ol_long", "ol_m0") + "," + _typed("order_level", "ol_m0", "ol_m"))
 _NO_ORDER_COUNT = "WHERE NOT (kpi_type = 'per_order' AND kpi = 'order_count')"
 
-_SINGLE = "CAST(CAST({0} AS FLOAT) AS DOUBLE) AS {0}"
+_NINE_DIGITS = "CASE WHEN {0} IS NOT NULL THEN CAST(printf('%.8e', {0}) AS DOUBLE) END AS {0}"
 
 RESULT_ROWS = """
 fx_runs AS (
@@ -364,7 +371,7 @@ fx_sessions AS (
     CASE WHEN key % 8 = 0 THEN TRUE WHEN key % 9 = 0 THEN NULL ELSE FALSE END AS by_voucher
   FROM fx_keys),
 fx_locations AS (
-  SELECT 'E' || (country % 5) AS global_entity_id, 'P' || key AS order_id, CAST(key AS VARCHAR) AS plain_id,
+  SELECT 'E' || (country % 5) AS global_entity_id, 'P' || key AS order_id,
     {_unless(41, _LON.format(z='zone') + " + CAST(key * 37 % 81 - 40 AS DOUBLE) / 160.0::DOUBLE")} AS lon,
     {_LAT.format(z='zone')} + CAST(key * 53 % 73 - 36 AS DOUBLE) / 160.0::DOUBLE AS lat
   FROM fx_keys),
@@ -374,12 +381,15 @@ fx_paid_fees AS (
   FROM fx_keys),
 entities AS (SELECT * FROM fx_entities WHERE entity_id IN ('E0', 'E1', 'E2', 'E3', 'E4'))"""
 
-_SOF = """CASE WHEN gfv_local - dps_minimum_order_value_local >= 0 THEN 0.0::DOUBLE
-  ELSE coalesce(mov_customer_fee_local, dps_minimum_order_value_local - gfv_local) END"""
-_FEE = """CASE WHEN fee_region IN ('Europe', 'Asia')
-    THEN coalesce(table_fee, CASE WHEN by_discount = TRUE OR by_voucher = TRUE THEN 0.0::DOUBLE ELSE delivery_fee_local END)
-  WHEN fee_region NOT IN ('Europe', 'Asia')
-    THEN (CASE WHEN by_discount = TRUE OR by_voucher = TRUE THEN 0.0::DOUBLE ELSE delivery_fee_local END) END"""
+# The small-order fee is what the customer pays below the minimum; it is not owed if the order is known to reach it.
+_SOF = """CASE WHEN gfv_local >= dps_minimum_order_value_local THEN 0.0::DOUBLE
+  WHEN mov_customer_fee_local IS NOT NULL THEN mov_customer_fee_local
+  ELSE dps_minimum_order_value_local - gfv_local END"""
+# A covered fee is zero; in regions with a fee table its entry goes first.
+_OWN_FEE = "if(coalesce(by_discount, FALSE) OR coalesce(by_voucher, FALSE), 0.0::DOUBLE, delivery_fee_local)"
+_FEE = f"""CASE WHEN fee_region IS NULL THEN NULL
+  WHEN fee_region = ANY(['Europe', 'Asia']) AND table_fee IS NOT NULL THEN table_fee
+  ELSE {_OWN_FEE} END"""
 
 
 def _contained(source: str) -> str:
@@ -401,32 +411,38 @@ contained AS (
                      AND py BETWEEN least(y1, y2) AND greatest(y1, y2) THEN 1 END) = 0)"""
 
 
+_COPIED = """order_placed_at_local region entity_id country_code city_name city_id zone_name zone_id zone_shape lon lat
+order_id platform_order_code vendor_price_scheme_type vendor_id vertical_type exchange_rate dps_delivery_fee_local
+dps_surge_fee_local dps_travel_time_fee_local delivery_fee_local commission_local joker_vendor_fee_local
+delivery_costs_local gfv_local gmv_local mean_delay dps_mean_delay travel_time dps_travel_time delivery_distance_m
+actual_DT""".split()
+
+# Each requirement is a set of its own; an order counts once per combination of its matches.
 ORDER_KPIS = f"""{FX_GEO}, {FX_SESSIONS},
+in_scope AS (
+  SELECT * FROM fx_sessions
+  WHERE is_sent AND vendor_price_scheme_type = 'Automatic scheme' AND assignment_id IN ('400', '401', '402')
+    AND year(created_date) BETWEEN 1996 AND 1999),
+in_entity AS (SELECT i.*, e.region AS fee_region FROM in_scope i JOIN entities e USING (entity_id)),
+in_zone AS (
+  SELECT i.*, g.zone_shape FROM in_entity i
+  JOIN (SELECT entity_id, country_code, zone_id, zone_shape FROM geo) g USING (entity_id, country_code, zone_id)),
+with_point AS (
+  SELECT i.*, d.lon, d.lat FROM in_zone i
+  JOIN (SELECT global_entity_id AS entity_id, order_id AS platform_order_code, lon, lat FROM fx_locations
+        WHERE lon IS NOT NULL AND lat IS NOT NULL) d USING (entity_id, platform_order_code)),
 matched AS (
-  SELECT row_number() OVER () AS row_no, s.*, d.lon, d.lat, z.zone_shape, e.region AS fee_region, f.table_fee
-  FROM fx_sessions s
-  LEFT JOIN fx_locations d ON s.entity_id = d.global_entity_id AND s.platform_order_code = d.order_id
-  LEFT JOIN fx_paid_fees f ON s.entity_id = f.global_entity_id AND s.platform_order_code = f.code
-    AND s.created_date = f.created_date_utc
-  LEFT JOIN geo z ON s.entity_id = z.entity_id AND s.country_code = z.country_code AND s.zone_id = z.zone_id
-  JOIN entities e ON s.entity_id = e.entity_id
-  WHERE s.entity_id IN (SELECT DISTINCT entity_id FROM geo)
-    AND s.created_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'
-    AND s.vendor_price_scheme_type = 'Automatic scheme'
-    AND CAST(s.assignment_id AS BIGINT) IN (400, 401, 402) AND s.is_sent),
+  SELECT row_number() OVER () AS row_no, p.*, f.table_fee FROM with_point p
+  LEFT JOIN (SELECT global_entity_id AS entity_id, code AS platform_order_code, created_date_utc AS created_date, table_fee
+             FROM fx_paid_fees) f USING (entity_id, platform_order_code, created_date)),
 {_contained('matched')},
 kpis AS (
-  SELECT created_date AS created_date_utc, order_placed_at AS order_placed_at_utc, order_placed_at_local,
-    dayname(order_placed_at_local) AS dow_local, dps_sessionid_created_at AS dps_sessionid_created_at_utc,
-    CAST(date_diff('day', DATE '1996-01-01', CAST(order_placed_at_local AS DATE)) + 1 AS BIGINT) AS day_num,
-    region, entity_id, country_code, city_name, city_id, zone_name, zone_id, zone_shape, lon, lat,
-    DATE '1996-01-01' AS start_date_var, order_id, platform_order_code, vendor_price_scheme_type,
-    CAST(assignment_id AS BIGINT) AS asa_id, vendor_id, vertical_type, exchange_rate, dps_delivery_fee_local,
-    dps_surge_fee_local, dps_travel_time_fee_local, delivery_fee_local, commission_local, joker_vendor_fee_local,
-    coalesce(service_fee_local, 0.0::DOUBLE) AS service_fee_local, {_SOF} AS sof_local, delivery_costs_local,
-    {_FEE} AS actual_df_paid_by_customer, gfv_local, gmv_local, mean_delay, dps_mean_delay, travel_time,
-    dps_travel_time, delivery_distance_m, actual_DT
-  FROM matched WHERE row_no IN (SELECT row_no FROM contained))"""
+  SELECT {', '.join(_COPIED)}, created_date AS created_date_utc, order_placed_at AS order_placed_at_utc,
+    dps_sessionid_created_at AS dps_sessionid_created_at_utc, CAST(assignment_id AS BIGINT) AS asa_id,
+    DATE '1996-01-01' AS start_date_var, dayname(order_placed_at_local) AS dow_local,
+    CAST(date_diff('day', DATE '1995-12-31', CAST(order_placed_at_local AS DATE)) AS BIGINT) AS day_num,
+    coalesce(service_fee_local, 0.0::DOUBLE) AS service_fee_local, {_SOF} AS sof_local, {_FEE} AS actual_df_paid_by_customer
+  FROM matched SEMI JOIN contained USING (row_no))"""
 
 # n = 24 / 4 * 28 labels of 3 hours; the intervals cut (n - 1) * 3 hours into n parts.
 _N = 168
@@ -462,7 +478,32 @@ placed AS (
 
 _PVAL_ROWS = ("sim_run_id, zone_group, sb_window_size, num_variants, exp_length, kpi, anova_pval, anova_sig, kpi_type")
 
+
+
+def _one_run(window: int, unit: str, join: str) -> str:
+    """run_orders of a single design of 3 variants over 28 days, from orders with a unit and a variant."""
+    return f""",
+run_orders AS (
+  SELECT p.zone_group_identifier || '-{window}-window_size-3-var_num-28-exp_length' AS sim_run_id,
+    p.zone_group_identifier AS zone_group, {window}::BIGINT AS sb_window_size, 3::BIGINT AS num_variants,
+    28::BIGINT AS exp_length, p.platform_order_code, {', '.join('p.' + k for k in ALL_KPIS)}, {unit} AS time_zone_unit_id,
+    a.variant
+  FROM {join} WHERE p.day_num <= 28 AND {unit} IS NOT NULL AND a.variant IS NOT NULL)"""
+
+
+_HANDED_OVER = "JOIN (SELECT platform_order_code AS code, time_zone_unit_id, variant FROM allocated) a ON p.platform_order_code = a.code"
+_IMPORTED = _one_run(3, "a.time_zone_unit_id", f"prepared p {_HANDED_OVER}")
+_V1 = _one_run(4, "z.time_zone_unit_id", f"""placed p {_HANDED_OVER} JOIN zone_slots z
+    ON p.zone_group_identifier = z.zone_group_identifier AND p.interval_no = z.interval_no AND p.zone_name = z.zone_name
+    AND CAST(p.dps_sessionid_created_at_utc AS DATE) = z.slot_date""")
+_BOTH_MOMENTS = f"""{_TOT_MOMENTS}{_PER_ORDER_MOMENTS},
+all_m AS (SELECT * FROM tot_m UNION ALL SELECT * FROM po_m {_NO_ORDER_COUNT})"""
+
 ORACLES: dict[str, str] = {
+    "imported_slot_totals": f"""WITH {ALLOCATED}{_IMPORTED} SELECT zone_group AS zone_group_identifier, time_zone_unit_id, variant,
+  {_totals()}, count(DISTINCT platform_order_code) AS order_count FROM run_orders GROUP BY 1, 2, 3""",
+    "imported_welch": f"WITH {ALLOCATED}{_IMPORTED}{_BOTH_MOMENTS}, {_welch('all_m')} SELECT * FROM results",
+    "v1_study": f"WITH {ALLOCATED}{_ZONE_SLOTS}{_PLACED}{_V1}{_BOTH_MOMENTS}, {_welch('all_m', 0.05)} SELECT * FROM results",
     "allocate_switchback": f"WITH {ALLOCATED} SELECT platform_order_code, zone_id, variant, time_zone_unit_id, slot_of_day FROM allocated",
     "slot_assign": f"WITH {ALLOCATED} SELECT platform_order_code, zone_group_identifier, slot_idx, slot_start, slot_of_day, time_zone_unit_id FROM allocated",
     "import_allocation": f"WITH {ALLOCATED} SELECT platform_order_code AS order_id, variant, time_zone_unit_id AS slot_id, slot_of_day FROM allocated",
@@ -500,7 +541,7 @@ SELECT zone_group_identifier, time_zone_unit_id, variant, {_ratios()}, order_cou
 per_order AS (SELECT zone_group_identifier, variant, {_ratios()}, order_count, {', '.join(LOGISTICS_KPIS)} FROM tot),
 {_long('zone_group_identifier', 'per_order', _PER_ORDER_KPIS, 'long_rows')},
 {_moments('zone_group_identifier', 'long_rows', 'm')}
-SELECT zone_group_identifier, variant, kpi, n, {_SINGLE.format('mean')}, {_SINGLE.format('variance')} FROM m""",
+SELECT zone_group_identifier, variant, kpi, n, {_NINE_DIGITS.format('mean')}, {_NINE_DIGITS.format('variance')} FROM m""",
     "welch_slot_tot": f"WITH {RUN_ORDERS}{_TOT_MOMENTS}, {_welch('tot_m')} SELECT * FROM results",
     "welch_slot_per_order": f"WITH {RUN_ORDERS}{_PER_ORDER_MOMENTS}, {_welch('po_m')} SELECT * FROM results",
     "welch_order_level": f"WITH {RUN_ORDERS}{_ORDER_MOMENTS}, {_welch('ol_m')} SELECT * FROM results",
@@ -515,7 +556,8 @@ all_m AS (SELECT * FROM tot_m UNION ALL SELECT * FROM po_m {_NO_ORDER_COUNT} UNI
   (SELECT count(sim_run_id) FROM labelled) AS total_record_count,
   count(*) / CAST((SELECT count(sim_run_id) FROM labelled) AS DOUBLE) AS pct_sig_records FROM labelled GROUP BY 1, 2""",
     "sig_pct_grid": f"WITH {FX_PVALS} {_pct_grid('Biz KPI', 'Biz KPI')} UNION ALL {_pct_grid('Log KPI', 'Biz KPI')}",
-    "sig_pct_grid_order_level": f"WITH {FX_PVALS_ORDERS} {_pct_grid('Biz KPI', 'Biz KPI')} UNION ALL {_pct_grid('Log KPI', 'Log KPI')}",
+    "sig_pct_grid_order_level": f"WITH {FX_PVALS_ORDERS} {_pct_grid('Biz KPI', 'Biz KPI')} UNION ALL {_pct_grid('Log KPI', 'Biz KPI')}",
+    "sig_pct_grid_order_level_matching": f"WITH {FX_PVALS_ORDERS} {_pct_grid('Biz KPI', 'Biz KPI')} UNION ALL {_pct_grid('Log KPI', 'Log KPI')}",
     "overall_sig_slot": f"WITH {FX_PVALS} {_OVERALL}",
     "overall_sig_order": f"WITH {FX_PVALS_ORDERS} {_OVERALL}",
     "relabel_alpha": f"""WITH {FX_PVALS} SELECT anova_sig, CASE WHEN anova_pval <= 0.05 THEN 'significant' ELSE 'insignificant' END AS is_sig,
@@ -523,19 +565,24 @@ all_m AS (SELECT * FROM tot_m UNION ALL SELECT * FROM po_m {_NO_ORDER_COUNT} UNI
     "kpi_family": f"WITH {FX_PVALS} SELECT kpi_type, kpi, family AS biz_or_log_kpi, count(*) AS records FROM labelled GROUP BY 1, 2, 3",
     "pval_histogram": f"""WITH {FX_PVALS}, cells AS (
   SELECT kpi_type, kpi, {_BIN.format(size=500)} AS bin_no, is_sig, count(*) AS records FROM labelled
-  WHERE anova_pval IS NOT NULL AND kpi <> 'service_fee_local'
+  WHERE kpi <> 'service_fee_local'
     AND ((kpi_type = 'per_order') OR (kpi_type = 'tot' AND family = 'Biz KPI'))
   GROUP BY 1, 2, 3, 4)
 SELECT kpi_type, kpi, {_bin_start(500)}, is_sig, records,
   records / CAST(sum(records) OVER (PARTITION BY kpi_type, kpi) AS DOUBLE) AS pct_of_total FROM cells""",
     "pval_histogram_dense": f"""WITH {FX_PVALS}, cells AS (
-  SELECT kpi_type, kpi, {_BIN.format(size=500)} AS bin_no, count(*) AS records FROM labelled
-  WHERE anova_pval IS NOT NULL AND kpi_type = 'per_order' AND family = 'Log KPI' GROUP BY 1, 2, 3),
+  SELECT kpi_type, family, kpi, is_sig, {_BIN.format(size=500)} AS bin_no, count(*) AS records FROM labelled
+  WHERE kpi <> 'service_fee_local' AND (kpi_type = 'per_order' OR family = 'Biz KPI') GROUP BY ALL),
+ranges AS (SELECT kpi_type, family, min(bin_no) AS low, max(bin_no) AS high FROM cells GROUP BY ALL),
 frame AS (
-  SELECT k.kpi_type, k.kpi, unnest(range((SELECT min(bin_no) FROM cells), (SELECT max(bin_no) FROM cells) + 1)) AS bin_no
-  FROM (SELECT DISTINCT kpi_type, kpi FROM cells) k)
-SELECT f.kpi_type, f.kpi, CAST(f.bin_no AS DOUBLE) * 500.0::DOUBLE / 10000.0::DOUBLE AS p_val_bin, coalesce(c.records, 0) AS records
-FROM frame f LEFT JOIN cells c ON f.kpi_type = c.kpi_type AND f.kpi = c.kpi AND f.bin_no = c.bin_no""",
+  SELECT k.*, unnest(range(r.low, r.high + 1)) AS bin_no
+  FROM (SELECT DISTINCT kpi_type, family, kpi, is_sig FROM cells) k
+  JOIN ranges r ON k.kpi_type = r.kpi_type AND k.family = r.family)
+SELECT f.kpi_type, f.family, f.kpi, f.is_sig, CAST(f.bin_no AS DOUBLE) * 500.0::DOUBLE / 10000.0::DOUBLE AS p_val_bin,
+  coalesce(c.records, 0) AS records
+FROM frame f LEFT JOIN cells c
+  ON f.kpi_type = c.kpi_type AND f.kpi = c.kpi AND f.is_sig = c.is_sig AND f.bin_no = c.bin_no
+UNION ALL SELECT kpi_type, family, kpi, is_sig, NULL, records FROM cells WHERE bin_no IS NULL""",
     "pval_hist_pct": f"""WITH {FX_PVALS}, {_SHARES.format(bin=_BIN.format(size=1000))}
 SELECT kpi_type, kpi, {_bin_start(1000)}, records, kpi_records, records / CAST(kpi_records AS DOUBLE) AS p_val_hist_pct
 FROM shares WHERE bin_no IS NOT NULL""",
@@ -556,11 +603,12 @@ JOIN (SELECT DISTINCT entity_id FROM fx_sessions) s ON e.entity_id = s.entity_id
     "semi_join_entities": f"""WITH {FX_GEO}, {FX_SESSIONS} SELECT order_id, entity_id, zone_id, created_date FROM fx_sessions
 WHERE entity_id IN (SELECT DISTINCT entity_id FROM geo)""",
     "order_kpis": f"""WITH {ORDER_KPIS} SELECT * EXCLUDE (zone_shape), len(flatten(zone_shape)) AS vertices FROM kpis""",
-    "revenue_profit": f"""WITH {ORDER_KPIS} SELECT order_id, entity_id, actual_df_paid_by_customer, commission_local,
-  joker_vendor_fee_local, service_fee_local, sof_local, delivery_costs_local,
-  actual_df_paid_by_customer + commission_local + joker_vendor_fee_local + service_fee_local + sof_local AS revenue_local,
-  actual_df_paid_by_customer + commission_local + joker_vendor_fee_local + service_fee_local + sof_local - delivery_costs_local
-    AS gross_profit_local FROM kpis""",
+    "revenue_profit": f"""WITH {ORDER_KPIS}, earned AS (
+  SELECT order_id, entity_id, actual_df_paid_by_customer, commission_local, joker_vendor_fee_local, service_fee_local,
+    sof_local, delivery_costs_local,
+    actual_df_paid_by_customer + commission_local + joker_vendor_fee_local + service_fee_local + sof_local AS revenue_local
+  FROM kpis)
+SELECT *, revenue_local - delivery_costs_local AS gross_profit_local FROM earned""",
     "small_order_fee": f"WITH {FX_GEO}, {FX_SESSIONS} SELECT order_id, {_SOF} AS sof_local FROM fx_sessions",
     "delivery_fee_paid": f"""WITH {FX_GEO}, {FX_SESSIONS}, priced AS (
   SELECT s.*, e.region AS fee_region, f.table_fee FROM fx_sessions s JOIN entities e ON s.entity_id = e.entity_id
@@ -574,7 +622,7 @@ WHERE created_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND vendor_pr
   AND CAST(assignment_id AS BIGINT) IN (400, 401, 402) AND is_sent AND entity_id IN ('E0', 'E1', 'E2', 'E3', 'E4')""",
     "point_in_zone": f"""WITH {FX_GEO}, {FX_SESSIONS}, named AS (
   SELECT row_number() OVER () AS row_no, s.order_id, s.zone_id, d.lon, d.lat, n.zone_shape
-  FROM fx_sessions s JOIN fx_locations d ON s.order_id = d.plain_id
+  FROM fx_sessions s JOIN fx_locations d ON s.entity_id = d.global_entity_id AND s.platform_order_code = d.order_id
   JOIN nested n ON s.entity_id = n.entity_id AND s.country_code = n.country_code AND s.zone_id = n.zone_id),
 {_contained('named')} SELECT order_id, zone_id, lon, lat FROM named WHERE row_no IN (SELECT row_no FROM contained)""",
     "slot_series": f"WITH {PREPARED}{_SERIES} SELECT zone_group_identifier, slot_no, slot_label, CAST(slot_label AS DATE) AS slot_date FROM series",
@@ -589,6 +637,7 @@ SELECT p.platform_order_code, p.zone_group_identifier, p.zone_name, p.interval_n
 FROM placed p LEFT JOIN zone_slots z ON p.zone_group_identifier = z.zone_group_identifier AND p.interval_no = z.interval_no
   AND p.zone_name = z.zone_name AND CAST(p.dps_sessionid_created_at_utc AS DATE) = z.slot_date
 WHERE p.day_num <= 28""",
+    "scan_csv_gzip_inferred": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "scan_csv_gzip": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "infer_datetime_columns": """SELECT event_id, ts AS ts_text, event_type,
   CASE WHEN event_id % 2 = 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) ELSE 'unknown' END AS mixed,

@@ -20,7 +20,7 @@ from slotwise.operators import welch as we
 from slotwise.operators import zones as zo
 from slotwise.plans import study
 from slotwise.sources import tables as tb
-from slotwise.sources.staging import staging_path
+from slotwise.sources.staging import stage, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,9 +42,9 @@ def allocated(spark: SparkSession, sf: str) -> DataFrame:
     return al.allocate(prepared(spark, sf), DESIGN)
 
 
-def single(c: str):
-    """Single precision hides the summation order, which differs between engines."""
-    return F.col(c).cast("float").cast("double").alias(c)
+def nine_digits(c: str):
+    """Nine significant digits: the last ones depend on the summation order, which differs between engines."""
+    return F.when(F.col(c).isNotNull(), F.format_string("%.8e", c).cast("double")).alias(c)
 
 
 # --- allocation -----------------------------------------------------------------------
@@ -99,10 +99,7 @@ def iso_timestamps(spark, sf):
 
 
 def exp_length_filter(spark, sf):
-    rows = zo.per_exp_length(zo.tag_zone_groups(fx.fx_orders(spark, sf), fx.GROUPS), fx.GRID.exp_lengths)
-    return rows.groupBy(GROUP, "exp_length").agg(
-        F.count(F.lit(1)).alias("orders"), F.count_distinct("day_num").alias("days"),
-        F.max("day_num").alias("last_day"))
+    return zo.per_exp_length(zo.tag_zone_groups(fx.fx_orders(spark, sf), fx.GROUPS), fx.GRID.exp_lengths)
 
 
 def week_bucket(spark, sf):
@@ -148,17 +145,13 @@ def variant_moments(spark, sf):
     per_order = sl.slot_per_order(sl.design_sums(_design_rows(spark, sf), DESIGN))
     kpis = [*CUSTOMER_KPIS, "order_count", *LOGISTICS_KPIS]
     return we.moments(per_order, [GROUP], kpis).select(
-        GROUP, "variant", "kpi", "n", single("mean"), single("variance"))
-
-
-def _slots(spark, sf):
-    rows = prepared(spark, sf)
-    return sl.grid_slots(sl.granule_facts(rows, fx.GRID), sl.slot_order_counts(rows, fx.GRID), fx.GRID)
+        GROUP, "variant", "kpi", "n", nine_digits("mean"), nine_digits("variance"))
 
 
 def _slot_p_values(spark, sf, kpi_type):
-    m = we.slot_level_moments(_slots(spark, sf), fx.GRID).where(F.col("kpi_type") == kpi_type)
-    return tb.conform_results(we.p_values(m, fx.GRID))
+    rows = prepared(spark, sf)
+    slots = sl.grid_slots(sl.granule_facts(rows, fx.GRID), sl.slot_order_counts(rows, fx.GRID), fx.GRID)
+    return tb.conform_results(we.p_values(we.slot_level_moments(slots, fx.GRID, (kpi_type,)), fx.GRID))
 
 
 def welch_slot_tot(spark, sf):
@@ -181,6 +174,28 @@ def aa_study(spark, sf):
     return study.full_study(fx.fx_orders(spark, sf), fx.GROUPS, fx.GRID)
 
 
+def _imported(spark, sf):
+    """An allocation as another tool hands it over: written to CSV and read again."""
+    path = staging_path(spark, "allocation")
+    tb.write_allocation(allocated(spark, sf), path)
+    return tb.read_allocation(spark, path)
+
+
+def imported_slot_totals(spark, sf):
+    rows = al.attach_variants(zo.tag_zone_groups(fx.fx_orders(spark, sf), fx.GROUPS), _imported(spark, sf))
+    return sl.slot_totals(sl.allocated_sums(zo.within_exp_length(rows, 28), with_logistics=False))
+
+
+def imported_welch(spark, sf):
+    return study.imported_study(
+        fx.fx_orders(spark, sf), _imported(spark, sf), fx.GROUPS, DESIGN.window_hours, DESIGN.num_variants, 28)
+
+
+def v1_study(spark, sf):
+    return study.interval_study(
+        fx.fx_orders(spark, sf), _imported(spark, sf), fx.GROUPS, IV_WINDOW, DESIGN.num_variants, IV_DAYS, IV_SALT)
+
+
 # --- reports --------------------------------------------------------------------------
 
 
@@ -199,13 +214,21 @@ def sig_pct_grid(spark, sf):
     return biz.unionByName(log)
 
 
-def sig_pct_grid_order_level(spark, sf):
+def _order_level_grid(spark, sf, denominator):
     results = fx.fx_pvals_orders(spark, sf)
-    biz = rp.significance_grid(results, "Biz KPI").withColumn("family", F.lit("Biz KPI"))
-    log = rp.significance_grid(results, "Log KPI", denominator="matching").withColumn("family", F.lit("Log KPI"))
+    biz = rp.significance_grid(results, "Biz KPI", denominator=denominator).withColumn("family", F.lit("Biz KPI"))
+    log = rp.significance_grid(results, "Log KPI", denominator=denominator).withColumn("family", F.lit("Log KPI"))
     return biz.unionByName(log)
 
 
+def sig_pct_grid_order_level(spark, sf):
+    return _order_level_grid(spark, sf, "biz")
+
+
+def sig_pct_grid_order_level_matching(spark, sf):
+    return _order_level_grid(spark, sf, "matching")
+
+
 def overall_sig_slot(spark, sf):
     return rp.overall_significance(fx.fx_pvals(spark, sf))
 
@@ -224,12 +247,14 @@ def kpi_family(spark, sf):
         F.count(F.lit(1)).alias("records"))
 
 
+SHEETS = (("per_order", "Biz KPI"), ("tot", "Biz KPI"), ("per_order", "Log KPI"))
+
+
 def pval_histogram(spark, sf):
     results = fx.fx_pvals(spark, sf)
-    sheets = [("per_order", "Biz KPI"), ("tot", "Biz KPI"), ("per_order", "Log KPI")]
     # Three sheets of one table; a row belongs to one at most, so one scan serves all of them.
     wanted = None
-    for kpi_type, family in sheets:
+    for kpi_type, family in SHEETS:
         here = (F.col("kpi_type") == kpi_type) & (F.col("biz_or_log_kpi") == family)
         wanted = here if wanted is None else wanted | here
     rows = rp.with_family(results).where(wanted & (F.col("kpi") != "service_fee_local"))
@@ -237,7 +262,11 @@ def pval_histogram(spark, sf):
 
 
 def pval_histogram_dense(spark, sf):
-    return rp.dense_histogram(rp.sheet(fx.fx_pvals(spark, sf), "per_order", "Log KPI"))
+    results, out = fx.fx_pvals(spark, sf), None
+    for kpi_type, family in SHEETS:
+        one = rp.dense_histogram(rp.sheet(results, kpi_type, family)).withColumn("family", F.lit(family))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def pval_hist_pct(spark, sf):
@@ -278,9 +307,10 @@ def semi_join_entities(spark, sf):
 
 
 def _order_kpis(spark, sf):
+    # The zones are a table of their own, made before the orders.
     return wh.order_kpis(
         fx.fx_sessions(spark, sf), fx.fx_locations(spark, sf), fx.fx_paid_fees(spark, sf),
-        _zones(spark, sf), fx.fx_entities(spark, sf), fx.SCOPE)
+        stage(_zones(spark, sf), "geo-zones"), fx.fx_entities(spark, sf), fx.SCOPE)
 
 
 def order_kpis(spark, sf):
@@ -305,7 +335,7 @@ def small_order_fee(spark, sf):
 
 def delivery_fee_paid(spark, sf):
     entities = wh.entity_platforms(fx.fx_entities(spark, sf), fx.SCOPE).select("entity_id", F.col("region").alias("fee_region"))
-    s = wh.join_dimension(fx.fx_sessions(spark, sf), entities, ["entity_id"], wh.fits_broadcast(entities), spread=("order_id",))
+    s = wh.join_dimension(fx.fx_sessions(spark, sf), entities, ["entity_id"])
     fees = fx.fx_paid_fees(spark, sf).select(
         F.col("global_entity_id").alias("entity_id"), F.col("code").alias("platform_order_code"),
         F.col("created_date_utc").alias("created_date"), F.col("delivery_fee_local").alias("table_fee"))
@@ -330,13 +360,13 @@ def scope_variables(spark, sf):
 
 
 def point_in_zone(spark, sf):
-    zones = wh.scan_nested(fx.fx_countries(spark, sf))
-    points = fx.fx_sessions(spark, sf).select("order_id", *wh.ZONE_KEYS).join(
+    zones = stage(wh.scan_nested(fx.fx_countries(spark, sf)), "zones")
+    points = fx.fx_sessions(spark, sf).select("order_id", "platform_order_code", *wh.ZONE_KEYS).join(
         fx.fx_locations(spark, sf).select(
-            F.substring(F.col("order_id"), 2, 20).alias("order_id"),
+            F.col("global_entity_id").alias("entity_id"), F.col("order_id").alias("platform_order_code"),
             geo_point(F.col("delivery_location.longitude"), F.col("delivery_location.latitude")).alias("point")),
-        "order_id")
-    inside = wh.points_in_zones(points, zones, "point", wh.zones_fit_broadcast(zones))
+        ["entity_id", "platform_order_code"])
+    inside = wh.points_in_zones(points, zones, "point")
     return inside.select("order_id", "zone_id", F.col("point.lon").alias("lon"), F.col("point.lat").alias("lat"))
 
 
@@ -386,6 +416,11 @@ def scan_csv_gzip(spark, sf):
         schema="event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
 
 
+def scan_csv_gzip_inferred(spark, sf):
+    return tb.read_csv_gzip(spark, _events_csv(spark, sf)).withColumn("event_id", F.col("event_id").cast("bigint")).withColumn(
+        "user_id", F.col("user_id").cast("bigint"))
+
+
 def infer_datetime_columns(spark, sf):
     texts = fx.table(spark, sf, "events").select(
         F.col("event_id"), F.col("ts").cast("string").alias("ts_text"), "event_type",
@@ -397,9 +432,7 @@ def infer_datetime_columns(spark, sf):
 def ctas_replace(spark, sf):
     path = staging_path(spark, "zones-table")
     name = "slotwise_zones_" + path[-32:]
-    flat = geo_zones(spark, sf)
-    tb.replace_table(flat, name, path)
-    return tb.replace_table(flat, name, path)
+    return tb.replace_table(geo_zones(spark, sf), name, path)
 
 
 def write_results(spark, sf):
@@ -418,11 +451,11 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     zone_groups, start_ts_per_group, exp_length_filter, week_bucket, export_allocation_input,
     sim_grid, run_keys,
     slot_totals, slot_per_order, variant_moments, welch_slot_tot, welch_slot_per_order, welch_order_level,
-    pval_union, aa_study,
-    sig_counts, sig_share, sig_pct_grid, sig_pct_grid_order_level, overall_sig_slot, overall_sig_order,
+    pval_union, aa_study, imported_slot_totals, imported_welch, v1_study,
+    sig_counts, sig_share, sig_pct_grid, sig_pct_grid_order_level, sig_pct_grid_order_level_matching, overall_sig_slot, overall_sig_order,
     relabel_alpha, kpi_family, pval_histogram, pval_histogram_dense, pval_hist_pct, pval_hist_calcs,
     scan_nested, geo_zones, entity_region, semi_join_entities, order_kpis, revenue_profit, small_order_fee,
     delivery_fee_paid, dow_day_num, point_in_zone,
     slot_series, equal_width_bins, slot_zone_grid, interval_join, v1_slot_join,
-    scan_csv_gzip, infer_datetime_columns, ctas_replace, write_results, report_csv,
+    scan_csv_gzip, scan_csv_gzip_inferred, infer_datetime_columns, ctas_replace, write_results, report_csv,
 )} | {"iso_timestamp": iso_timestamps, "sql_variables": scope_variables}

@@ -11,10 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A band holds about this many edges of a shape, besides those that pass through.
-_EDGES_PER_BAND = 4
-_MAX_BANDS = 64
-
 
 def geo_point(lon: Column, lat: Column) -> Column:
     """Longitude first; NULL if a coordinate is missing."""
@@ -34,14 +30,17 @@ def _band(lat: str, box: str, bands: str) -> str:
 
 
 def zone_index(shape: str) -> Column:
-    """Box and banded edges of a shape column: STRUCT<box, bands>. An edge is in every band that it touches."""
+    """Box and banded edges of a shape column: STRUCT<box, bands>. An edge is in every band that it touches.
+
+    There are as many bands as the root of the number of edges, so a point meets about that many.
+    """
     edges = (
         f"flatten(transform({shape}, ring -> transform(ring, (p, i) -> struct(p.lon AS x1, p.lat AS y1, "
         "get(ring, (i + 1) % size(ring)).lon AS x2, get(ring, (i + 1) % size(ring)).lat AS y2))))")
     box = (
         "struct(array_min(transform(e.edges, k -> k.x1)) AS min_lon, array_max(transform(e.edges, k -> k.x1)) AS max_lon, "
         "array_min(transform(e.edges, k -> k.y1)) AS min_lat, array_max(transform(e.edges, k -> k.y1)) AS max_lat)")
-    bands = f"least(greatest(floor(size(e.edges) / {_EDGES_PER_BAND}), 1L), {_MAX_BANDS}L)"
+    bands = "greatest(CAST(floor(sqrt(size(e.edges))) AS BIGINT), 1L)"
     ranged = (
         f"transform(z.edges, k -> struct(k AS edge, {_band('least(k.y1, k.y2)', 'z.box', 'z.n')} AS low, "
         f"{_band('greatest(k.y1, k.y2)', 'z.box', 'z.n')} AS high))")
@@ -69,11 +68,3 @@ def zone_contains(index: str, lon: str, lat: str) -> Column:
         f"aggregate({edges}, 0, (acc, k) -> CASE WHEN acc < 0 OR ({on_edge}) THEN -1 "
         f"WHEN {crossed} THEN 1 - acc ELSE acc END)")
     return F.expr(f"({in_box}) AND {parity} = 1")
-
-
-def shape_from_wkt(wkt: str) -> Column:
-    """Rings of a WKT POLYGON or MULTIPOLYGON text column."""
-    vertex = _let(
-        "xy", r"split(trim(t), '\\s+')", "struct(CAST(get(xy, 0) AS DOUBLE) AS lon, CAST(get(xy, 1) AS DOUBLE) AS lat)")
-    return F.expr(
-        rf"transform(regexp_extract_all({wkt}, '\\(([^()]+)\\)', 1), ring -> transform(split(ring, ','), t -> {vertex}))")

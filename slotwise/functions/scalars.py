@@ -14,27 +14,55 @@ def half_even(e: str, digits: int) -> str:
     return f"rint(({e}) * {scale}) / {scale}"
 
 
+def utc(ts: Column) -> Column:
+    """UTC wall time, whatever the session's time zone: an instant is converted, a plain time is UTC already.
+
+    A date is its midnight.
+    """
+    # The type of a column is known when the plan is made, so only one branch stays.
+    return F.when(F.typeof(ts) == "timestamp", F.convert_timezone(None, F.lit("UTC"), ts)).otherwise(
+        ts.cast("timestamp_ntz"))
+
+
+def utc_date(ts: Column) -> Column:
+    return F.to_date(utc(ts))
+
+
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def epoch_micros(ts: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), utc(ts))
+
+
+def from_epoch_micros(micros: Column) -> Column:
+    """UTC wall time."""
+    return F.timestamp_add("MICROSECOND", micros, F.expr(_EPOCH))
+
+
 def epoch_seconds(ts: Column) -> Column:
-    """Whole seconds since 1970 (sub-seconds are cut); the session time zone must be UTC."""
-    return F.unix_seconds(ts.cast("timestamp"))
+    """Whole seconds since 1970 in UTC; sub-seconds are cut."""
+    return F.floor(epoch_micros(ts) / F.lit(1_000_000)).cast("bigint")
 
 
 def from_epoch_seconds(seconds: Column) -> Column:
-    return F.timestamp_seconds(seconds).cast("timestamp_ntz")
+    """UTC wall time."""
+    return F.timestamp_add("SECOND", seconds, F.expr(_EPOCH))
 
 
 def iso_timestamp(ts: Column) -> Column:
-    """Text like 2023-01-01T00:48:04Z."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Text like 2023-01-01T00:48:04Z, in UTC."""
+    text = utc(ts).cast("string")
+    return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("Z"))
 
 
 def weekday_name(ts: Column) -> Column:
-    return F.date_format(F.to_date(ts), "EEEE")
+    return F.date_format(utc_date(ts), "EEEE")
 
 
 def day_number(ts: Column, start: Column) -> Column:
     """1 on the start date."""
-    return F.datediff(F.to_date(ts), start) + 1
+    return F.datediff(utc_date(ts), start) + 1
 
 
 def week_label(date: Column, first_date: Column) -> Column:

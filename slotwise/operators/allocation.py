@@ -74,14 +74,22 @@ def attach_variants(orders: DataFrame, allocated: DataFrame) -> DataFrame:
     """Left join of an imported allocation (OrderID, Variant, SlotID).
 
     Orders without an allocation keep NULLs; an order code that occurs more than once on
-    both sides multiplies. Hot codes are split by Spark's skew join.
+    both sides multiplies. Missing codes match nothing and are dealt out by session time, hot codes
+    are split by Spark's skew join.
     """
     right = allocated.select(
         F.col("OrderID").alias("platform_order_code"),
         F.col("Variant").alias("variant"),
         F.col("SlotID").alias("time_zone_unit_id"),
     )
-    return orders.join(right, "platform_order_code", "left")
+    code = F.col("platform_order_code")
+    keyed = orders.withColumns({
+        "_known": code.isNotNull(),
+        "_code": F.coalesce(code, F.xxhash64(SESSION_TS, "zone_name").cast("string")),
+    })
+    right = right.where(code.isNotNull()).select(
+        F.lit(True).alias("_known"), code.alias("_code"), "variant", "time_zone_unit_id")
+    return keyed.join(right, ["_known", "_code"], "left").drop("_known", "_code")
 
 
 def variant_balance(allocated: DataFrame) -> DataFrame:

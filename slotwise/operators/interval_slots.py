@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.functions.scalars import as_text, from_epoch_seconds, hash_text
+from slotwise.functions.scalars import as_text, epoch_micros, from_epoch_micros, from_epoch_seconds, hash_text, utc_date
 from slotwise.operators.zones import GROUP, SESSION_TS
 
 # Fixed value: hours between two labels.
@@ -55,7 +55,7 @@ def interval_index(offset: Column, n: int, step_hours: int = STEP_HOURS) -> Colu
 
 
 def micros_since(ts: Column, start_s: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp")) - start_s * F.lit(_MICROS)
+    return epoch_micros(ts) - start_s * F.lit(_MICROS)
 
 
 def slot_series(starts: DataFrame, window_hours: float, days: int, step_hours: int = STEP_HOURS) -> DataFrame:
@@ -78,7 +78,7 @@ def equal_width_bins(starts: DataFrame, window_hours: float, days: int, step_hou
     ).otherwise(edge_micros(F.col("interval_no") + 1, n, step_hours))
 
     def at(micros: Column) -> Column:
-        return F.timestamp_micros(F.col("start_s") * F.lit(_MICROS) + micros).cast("timestamp_ntz")
+        return from_epoch_micros(F.col("start_s") * F.lit(_MICROS) + micros)
 
     return slots.withColumn("interval_no", idx).withColumns({
         "interval_start": at(edge_micros(F.col("interval_no"), n, step_hours)),
@@ -122,5 +122,5 @@ def with_zone_slot(
         "time_zone_unit_id",
         F.when(
             F.col("interval_no").isNotNull() & F.col("zone_name").isNotNull()
-            & (F.to_date(SESSION_TS) == label_date),
+            & (utc_date(F.col(SESSION_TS)) == label_date),
             zone_slot_uid(F.col("zone_name"), F.col("interval_no"), salt)))

@@ -4,38 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is sent to every executor up to this size.
+# A table of configured values is sent to every executor up to this size.
 MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# Beyond it, rows of one key spread over this many tasks.
-SALTS = 64
-
-
-def fits_broadcast(dim: DataFrame, row_bytes: Column | int = 64) -> bool:
-    """Measure a cheap dimension (a stored or configured table); at most one row more than the limit is read."""
-    cost = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
-    seen = (
-        dim.select(cost.cast("bigint").alias("cost")).limit(MAX_BROADCAST_ROWS + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("cost"), F.lit(0)).alias("bytes")).first()
-    )
-    return seen["n"] <= MAX_BROADCAST_ROWS and seen["bytes"] <= MAX_BROADCAST_BYTES
 
 
 def join_dimension(
-    big: DataFrame, dim: DataFrame, on: Sequence[str], small: bool, how: str = "inner", *,
-    spread: Sequence[str],
+    big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner", configured_rows: int | None = None,
 ) -> DataFrame:
-    """Equi-join: broadcast when the dimension is known to be small, else a shuffle on salted keys.
+    """Equi-join with a dimension.
 
-    `spread` are columns of `big` by whose hash the rows of a hot key are dealt out (order
-    code and time, say); the dimension is repeated once per salt, so no row is lost or
-    doubled. Valid for inner, left and left_semi joins.
+    `configured_rows` is the dimension's size where configuration fixes it; a small one is broadcast. Without it
+    Spark chooses by the sizes that it knows or meets at run time, and adaptive execution splits hot keys.
     """
-    if small:
-        return big.join(F.broadcast(dim), list(on), how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    if configured_rows is not None and configured_rows <= MAX_BROADCAST_ROWS:
+        dim = F.broadcast(dim)
+    return big.join(dim, list(on), how)

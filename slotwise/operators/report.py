@@ -111,10 +111,12 @@ def bin_start(number: Column, width: float) -> Column:
     return number.cast("double") * F.lit(float(round(width * 1e4))) / F.lit(1e4)
 
 
-def binned(results: DataFrame, width: float = 0.05, alpha: float = 0.1) -> DataFrame:
-    """Result rows with bin number and label; rows without a p-value have no bin and are left out."""
-    return relabel(results, alpha).where(F.col("anova_pval").isNotNull()).withColumn(
-        "bin_no", p_value_bin(F.col("anova_pval"), check_bin_width(width)))
+def binned(results: DataFrame, width: float = 0.05, alpha: float = 0.1, keep_missing: bool = True) -> DataFrame:
+    """Result rows with bin number and label; rows without a p-value have the bin NULL, or are left out."""
+    rows = relabel(results, alpha)
+    if not keep_missing:
+        rows = rows.where(F.col("anova_pval").isNotNull())
+    return rows.withColumn("bin_no", p_value_bin(F.col("anova_pval"), check_bin_width(width)))
 
 
 def sheet(results: DataFrame, kpi_type: str, family: str, leave_out: str = "service_fee_local") -> DataFrame:
@@ -133,21 +135,28 @@ def p_value_histogram(rows: DataFrame, width: float = 0.05, alpha: float = 0.1)
 
 
 def dense_histogram(rows: DataFrame, width: float = 0.05, alpha: float = 0.1) -> DataFrame:
-    """Rows per KPI and bin with empty bins shown, from the lowest to the highest bin of the data."""
-    counts = binned(rows, width, alpha).groupBy(*BIN_KEYS, "bin_no").agg(F.count(F.lit(1)).alias("records"))
-    # At most 1/width + 1 rows per KPI remain, so the range and the missing bins come from these counts.
+    """Rows per KPI, label and bin with empty bins shown, from the lowest to the highest bin of the data.
+
+    Rows without a p-value have a bin NULL of their own, shown where there are any.
+    """
+    keys = [*BIN_KEYS, "is_sig"]
+    counts = binned(rows, width, alpha).groupBy(*keys, "bin_no").agg(F.count(F.lit(1)).alias("records"))
+    # At most 1/width + 2 rows per KPI and label remain, so the range and the missing bins come from these counts.
     whole = Window.partitionBy(F.lit(1))
+    known = F.when(F.col("bin_no").isNotNull(), F.struct("bin_no", "records"))
     by_kpi = (
         counts.withColumn("low", F.min("bin_no").over(whole)).withColumn("high", F.max("bin_no").over(whole))
-        .groupBy(*BIN_KEYS)
+        .groupBy(*keys)
         .agg(F.max("low").alias("low"), F.max("high").alias("high"),
-             F.map_from_entries(F.collect_list(F.struct("bin_no", "records"))).alias("counts"))
+             F.map_from_entries(F.collect_list(known)).alias("counts"),
+             F.sum(F.when(F.col("bin_no").isNull(), F.col("records"))).alias("missing"))
     )
-    return by_kpi.select(
-        *BIN_KEYS, "counts", F.explode(F.sequence("low", "high")).alias("bin_no"),
-    ).select(
-        *BIN_KEYS, bin_start(F.col("bin_no"), width).alias("p_val_bin"),
-        F.coalesce(F.try_element_at("counts", F.col("bin_no")), F.lit(0)).alias("records"))
+    bins = F.when(F.col("low").isNull(), F.array().cast("array<bigint>")).otherwise(F.sequence("low", "high"))
+    bins = F.when(F.col("missing").isNotNull(), F.concat(bins, F.array(F.lit(None).cast("bigint")))).otherwise(bins)
+    return by_kpi.select(*keys, "counts", "missing", F.explode(bins).alias("bin_no")).select(
+        *BIN_KEYS, bin_start(F.col("bin_no"), width).alias("p_val_bin"), "is_sig",
+        F.when(F.col("bin_no").isNull(), F.col("missing")).otherwise(
+            F.coalesce(F.try_element_at("counts", F.col("bin_no")), F.lit(0))).alias("records"))
 
 
 def histogram_shares(results: DataFrame, width: float = 0.05) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import OrderScope
 from slotwise.functions.geo import geo_point, zone_contains, zone_index
 from slotwise.functions.scalars import day_number, weekday_name
-from slotwise.operators.joins import fits_broadcast, join_dimension
+from slotwise.operators.joins import join_dimension
 
 ZONE_KEYS = ["entity_id", "country_code", "zone_id"]
 
@@ -65,7 +63,7 @@ def entity_region(entities: DataFrame, sessions: DataFrame, scope: OrderScope) -
 def semi_join_entities(sessions: DataFrame, zones: DataFrame) -> DataFrame:
     """Sessions of entities that have a geo zone."""
     ids = zones.select("entity_id").distinct()
-    return join_dimension(sessions, ids, ["entity_id"], fits_broadcast(ids), "left_semi", spread=("order_id",))
+    return join_dimension(sessions, ids, ["entity_id"], "left_semi")
 
 
 def small_order_fee(gfv: Column, minimum: Column, fee: Column) -> Column:
@@ -95,22 +93,15 @@ def sessions_in_scope(sessions: DataFrame, scope: OrderScope) -> DataFrame:
         & F.col("entity_id").isin(*scope.entity_ids))
 
 
-def zones_fit_broadcast(zones: DataFrame) -> bool:
-    """Whether all shapes, with their edges in about three bands each, may go to every executor."""
-    return fits_broadcast(zones, F.size(F.flatten("zone_shape")) * 192 + 256)
-
-
-def points_in_zones(
-    points: DataFrame, zones: DataFrame, point: str, small: bool, spread: Sequence[str] = ("order_id",)
-) -> DataFrame:
+def points_in_zones(points: DataFrame, zones: DataFrame, point: str) -> DataFrame:
     """Rows whose point (a STRUCT<lon, lat> column) lies inside the zone they name, with the zone's shape.
 
     Equi-join on the zone first, then the box, then the edges near the point. A zone listed
-    twice gives a row twice. Zones go to every executor if their shapes are small enough
-    (zones_fit_broadcast); otherwise a hot zone is dealt out over salted keys by `spread`.
+    twice gives a row twice. Pass a stored or staged zone table: its size is then known, so that
+    Spark can broadcast it, and its shapes are not put together again.
     """
     indexed = zones.select(*ZONE_KEYS, "zone_shape", zone_index("zone_shape").alias("_zone_index"))
-    joined = join_dimension(points, indexed, ZONE_KEYS, small, spread=spread)
+    joined = join_dimension(points, indexed, ZONE_KEYS)
     return joined.where(zone_contains("_zone_index", f"{point}.lon", f"{point}.lat")).drop("_zone_index")
 
 
@@ -123,12 +114,9 @@ def order_kpis(
     Every big table is filtered before it is shuffled, and shapes join last, so that they
     never travel with the orders. Locations, zones and entities must match; a paid fee may
     be missing. Duplicate matches multiply. `region` is the session's, the fee rule
-    uses the entity's.
+    uses the entity's. `zones` is read twice, so pass a stored or staged table. Building the frame runs no job.
     """
-    small_zones = zones_fit_broadcast(zones)
-    a = join_dimension(
-        sessions_in_scope(sessions, scope), zones.select(*ZONE_KEYS).distinct(), ZONE_KEYS, small_zones, "left_semi",
-        spread=("order_id",))
+    a = join_dimension(sessions_in_scope(sessions, scope), zones.select(*ZONE_KEYS).distinct(), ZONE_KEYS, "left_semi")
     located = a.join(
         locations.select(
             F.col("global_entity_id").alias("entity_id"), F.col("order_id").alias("platform_order_code"),
@@ -141,9 +129,10 @@ def order_kpis(
     priced = located.join(fees, ["entity_id", "platform_order_code", "created_date"], "left")
     # An order proves by itself that its entity has sessions, so the plain entity list is enough.
     ent = entity_platforms(entities, scope).select("entity_id", F.col("region").alias("_entity_region"))
-    priced = join_dimension(priced, ent, ["entity_id"], fits_broadcast(ent), spread=("order_id",))
-    inside = points_in_zones(priced, zones, "customer_location", small_zones)
+    priced = join_dimension(priced, ent, ["entity_id"])
+    inside = points_in_zones(priced, zones, "customer_location")
     start = F.lit(scope.start_date)
+    # Fixed names: the schema of the KPI table.
     return inside.select(
         F.col("created_date").alias("created_date_utc"),
         F.col("order_placed_at").alias("order_placed_at_utc"),

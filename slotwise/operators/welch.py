@@ -16,25 +16,25 @@ from slotwise.config import ALL_KPIS, LOGISTICS_KPIS, StudyGrid
 from slotwise.functions.fdist import f_survival
 from slotwise.functions.scalars import half_even, significance
 from slotwise.operators.allocation import run_id, window_label
-from slotwise.operators.joins import fits_broadcast, join_dimension
 from slotwise.operators.slots import _per_length, _per_window, logistics_mean, per_order_value, rounded_totals, with_variants
 
 RUN_KEYS = ("zone_group", "window_s", "num_variants", "exp_length")
 # A standard deviation below this share of the mean is rounding noise of a constant KPI.
 _NOISE = 1e-12
-_MAX_TASKS = 64
+KPI_TYPES = ("tot", "per_order")
 
 
 def moments(df: DataFrame, keys: Sequence[str], kpis: Sequence[str], variant: str = "variant") -> DataFrame:
     """Count, mean and sample variance of every KPI per key and variant (wide rows in, long rows out).
 
-    Rows without a variant must have been left out, as the slot frames do.
+    Rows without a variant must have been left out, as the slot frames do. The rows are aggregated as wide as they
+    are; only the result, a row per variant, becomes long.
     """
-    long = df.selectExpr(
-        *keys, variant, *[f"CAST(`{k}` AS DOUBLE) AS `{k}`" for k in kpis]
-    ).unpivot([*keys, variant], list(kpis), "kpi", "value")
-    return long.groupBy(*keys, variant, "kpi").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
+    wide = df.groupBy(*keys, variant).agg(*[
+        F.expr(f"{f}(CAST(`{k}` AS DOUBLE)) AS {p}{i}")
+        for i, k in enumerate(kpis) for p, f in (("n", "count"), ("m", "avg"), ("v", "var_samp"))])
+    cells = ", ".join(f"struct('{k}' AS kpi, n{i} AS n, m{i} AS mean, v{i} AS variance)" for i, k in enumerate(kpis))
+    return wide.selectExpr(*keys, variant, f"inline(array({cells}))")
 
 
 def welch_statistics(moments_df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -51,10 +51,7 @@ def welch_statistics(moments_df: DataFrame, keys: Sequence[str]) -> DataFrame:
         "sum(w * pow(mean - centre, 2)) AS between_ss",
         "sum(CASE WHEN w IS NOT NULL THEN pow(1 - w / w_sum, 2) / (n - 1) END) AS lam")))
     valid = "k >= 2 AND k_usable = k"
-    # A few thousand rows, each with costly arithmetic: deal them out anew, or a small shuffle
-    # would leave them all to one task.
-    tasks = min(sums.sparkSession.sparkContext.defaultParallelism, _MAX_TASKS)
-    tested = sums.repartition(tasks).selectExpr(
+    tested = sums.repartition(*keys).selectExpr(
         *keys,
         f"CASE WHEN {valid} THEN try_divide(try_divide(between_ss, k - 1), "
         "1 + try_divide(2 * (k - 2) * lam, k * k - 1)) END AS f_stat",
@@ -66,17 +63,32 @@ def welch_statistics(moments_df: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).selectExpr(*keys, "f_stat", "df1", "df2", f"{half_even('p', 4)} AS anova_pval")
 
 
-def slot_level_moments(slots: DataFrame, grid: StudyGrid) -> DataFrame:
-    """Moments over slots of every run: totals ("tot") and per-order KPIs ("per_order")."""
-    runs = with_variants(slots, grid)
-    totals = rounded_totals()
-    columns = {f"tot/{k}": e for k, e in totals.items()}
-    columns["tot/order_count"] = "order_count"
-    columns |= {f"per_order/{k}": per_order_value(e) for k, e in totals.items()}
-    columns["per_order/order_count"] = "order_count"
-    columns |= {f"per_order/{k}": logistics_mean(k) for k in LOGISTICS_KPIS}
-    wide = runs.selectExpr(*RUN_KEYS, "variant", *[f"{e} AS `{name}`" for name, e in columns.items()])
-    return _split_kpi(moments(wide, RUN_KEYS, list(columns)))
+def slot_kpi_columns(kpi_types: Sequence[str] = KPI_TYPES) -> dict[str, str]:
+    """SQL of the slot KPIs over the sums, under names like "tot/gfv_local": only those that are asked for."""
+    totals, columns = rounded_totals(), {}
+    if "tot" in kpi_types:
+        columns |= {f"tot/{k}": e for k, e in totals.items()}
+        columns["tot/order_count"] = "order_count"
+    if "per_order" in kpi_types:
+        columns |= {f"per_order/{k}": per_order_value(e) for k, e in totals.items()}
+        columns["per_order/order_count"] = "order_count"
+        columns |= {f"per_order/{k}": logistics_mean(k) for k in LOGISTICS_KPIS}
+    return columns
+
+
+def slot_kpi_moments(sums: DataFrame, keys: Sequence[str], kpi_types: Sequence[str] = KPI_TYPES) -> DataFrame:
+    """Moments over slots (sums with a variant): totals ("tot") and per-order KPIs ("per_order").
+
+    A slot without orders has no per-order KPI.
+    """
+    columns = slot_kpi_columns(kpi_types)
+    wide = sums.selectExpr(*keys, "variant", *[f"{e} AS `{name}`" for name, e in columns.items()])
+    return _split_kpi(moments(wide, keys, list(columns)))
+
+
+def slot_level_moments(slots: DataFrame, grid: StudyGrid, kpi_types: Sequence[str] = KPI_TYPES) -> DataFrame:
+    """slot_kpi_moments of every run of the grid."""
+    return slot_kpi_moments(with_variants(slots, grid), RUN_KEYS, kpi_types)
 
 
 def _split_kpi(df: DataFrame) -> DataFrame:
@@ -93,9 +105,8 @@ def order_level_moments(facts: DataFrame, grid: StudyGrid, kpis: Sequence[str] =
     """
     centres = facts.groupBy("zone_group").agg(*[
         F.expr(f"coalesce(try_divide(sum(s_{k}), CAST(sum(n_{k}) AS DOUBLE)), 0D) AS c_{k}") for k in kpis])
-    centred = join_dimension(
-        facts, centres, ["zone_group"], fits_broadcast(centres, 8 * len(kpis) + 32),
-        spread=("zone_id", "granule"))
+    # One row per configured zone group.
+    centred = facts.join(F.broadcast(centres), "zone_group")
     spread = {}
     for k in kpis:
         shift = f"(try_divide(s_{k}, CAST(n_{k} AS DOUBLE)) - c_{k})"

@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import ALL_KPIS, ZoneGroup
-from slotwise.functions.scalars import epoch_seconds, from_epoch_seconds, iso_timestamp, week_label
-from slotwise.operators.joins import MAX_BROADCAST_ROWS, join_dimension
+from slotwise.functions.scalars import epoch_seconds, from_epoch_seconds, iso_timestamp, utc_date, week_label
+from slotwise.operators.joins import join_dimension
 from slotwise.sources.tables import zone_group_table
 
 SESSION_TS = "dps_sessionid_created_at_utc"
 GROUP = "zone_group_identifier"
-# Deals out the orders of a hot zone when a dimension is too large to broadcast.
-SPREAD = ("platform_order_code", SESSION_TS)
-# Longer value lists are left to the join alone.
+# Longer value lists reach the scan as a range.
 MAX_PUSHED_VALUES = 1000
 
 
+def _among(column: str, values: list) -> Column:
+    """A filter that the scan understands: the values themselves, or the range that holds many of them."""
+    c = F.col(column)
+    return c.isin(*values) if len(values) <= MAX_PUSHED_VALUES else c.between(min(values), max(values))
+
+
 def tag_zone_groups(orders: DataFrame, groups: Sequence[ZoneGroup]) -> DataFrame:
     """Keep the orders of the groups' zones; an order in two groups comes out twice.
 
@@ -27,15 +31,14 @@ def tag_zone_groups(orders: DataFrame, groups: Sequence[ZoneGroup]) -> DataFrame
     """
     entities = sorted({g.entity_id for g in groups})
     assignments = sorted({g.asa_id for g in groups})
-    if len(entities) + len(assignments) <= MAX_PUSHED_VALUES:
-        orders = orders.where(F.col("entity_id").isin(*entities) & F.col("asa_id").isin(*assignments))
+    orders = orders.where(_among("entity_id", entities) & _among("asa_id", assignments))
     zones = (
         zone_group_table(orders.sparkSession, groups)
         # A zone listed twice in one group counts once, as in an IN list.
         .withColumn("zone_name", F.explode(F.array_distinct("zone_names"))).drop("zone_names")
     )
-    small = sum(len(g.zone_names) for g in groups) <= MAX_BROADCAST_ROWS
-    return join_dimension(orders, zones, ["entity_id", "asa_id", "zone_name"], small, spread=SPREAD)
+    n_zones = sum(len(g.zone_names) for g in groups)
+    return join_dimension(orders, zones, ["entity_id", "asa_id", "zone_name"], configured_rows=n_zones)
 
 
 def group_start_times(tagged: DataFrame) -> DataFrame:
@@ -56,14 +59,18 @@ def group_starts(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy(GROUP).agg(epoch_seconds(F.min(SESSION_TS)).alias("start_s"))
 
 
-def with_group_start(tagged: DataFrame, n_groups: int) -> DataFrame:
+def with_group_start(tagged: DataFrame, n_groups: int, starts: DataFrame | None = None) -> DataFrame:
     """Add each group's start. The start table has at most one row per configured group."""
-    return join_dimension(tagged, group_starts(tagged), [GROUP], n_groups <= MAX_BROADCAST_ROWS, spread=SPREAD)
+    starts = group_starts(tagged) if starts is None else starts
+    return join_dimension(tagged, starts, [GROUP], configured_rows=n_groups)
+
 
+def prepare_orders(orders: DataFrame, groups: Sequence[ZoneGroup], starts: DataFrame | None = None) -> DataFrame:
+    """Tagged orders with their group's start: the input of every allocation.
 
-def prepare_orders(orders: DataFrame, groups: Sequence[ZoneGroup]) -> DataFrame:
-    """Tagged orders with their group's start: the input of every allocation."""
-    return with_group_start(tag_zone_groups(orders, groups), len(groups))
+    `starts` (from group_starts, staged) spares the pass over the orders that finds them.
+    """
+    return with_group_start(tag_zone_groups(orders, groups), len(groups), starts)
 
 
 def with_numeric_kpis(df: DataFrame, kpis: Sequence[str] = ALL_KPIS) -> DataFrame:
@@ -73,7 +80,7 @@ def with_numeric_kpis(df: DataFrame, kpis: Sequence[str] = ALL_KPIS) -> DataFram
 
 def with_week(prepared: DataFrame) -> DataFrame:
     """Session date and its week since the group's first date."""
-    date = F.to_date(SESSION_TS)
+    date = utc_date(F.col(SESSION_TS))
     return prepared.withColumns({
         "dps_session_created_date": date,
         "week_num": week_label(date, F.to_date(from_epoch_seconds(F.col("start_s")))),
@@ -84,7 +91,13 @@ def within_exp_length(df: DataFrame, exp_length: int) -> DataFrame:
     return df.where(F.col("day_num") <= exp_length)
 
 
-def per_exp_length(df: DataFrame, exp_lengths: Sequence[int]) -> DataFrame:
-    """One copy of a row for every experiment length that still covers its day."""
+def per_exp_length(tagged: DataFrame, exp_lengths: Sequence[int]) -> DataFrame:
+    """Orders, days and last day of each group within every experiment length.
+
+    Orders are counted by group and day first; only these counts get a copy per length.
+    """
     lengths = F.array(*[F.lit(n).cast("bigint") for n in exp_lengths])
-    return df.withColumn("exp_length", F.explode(lengths)).where(F.col("day_num") <= F.col("exp_length"))
+    by_day = tagged.groupBy(GROUP, "day_num").agg(F.count(F.lit(1)).alias("orders"))
+    covered = by_day.withColumn("exp_length", F.explode(lengths)).where(F.col("day_num") <= F.col("exp_length"))
+    return covered.groupBy(GROUP, "exp_length").agg(
+        F.sum("orders").alias("orders"), F.count("day_num").alias("days"), F.max("day_num").alias("last_day"))

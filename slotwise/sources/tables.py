@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotwise.config import ZoneGroup
+from slotwise.sources.staging import staging_path
 
 # RFC 4180 quoting and microsecond timestamps, for reading and writing alike.
 CSV_OPTIONS = {
@@ -32,9 +34,6 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("kpi_type", T.StringType()),
 ])
 
-# Fixed value: data rows that fit on one spreadsheet sheet below its header.
-SHEET_ROWS = 1_048_575
-
 
 def zone_group_table(spark: SparkSession, groups: Sequence[ZoneGroup]) -> DataFrame:
     """The configured zone groups, one row per group with its zones as an array."""
@@ -49,7 +48,9 @@ def zone_group_table(spark: SparkSession, groups: Sequence[ZoneGroup]) -> DataFr
 def read_csv_gzip(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, partitions: int | None = None
 ) -> DataFrame:
-    """Gzip CSV with header. A gzip file is read by one task, so `partitions` spreads the rows after the read.
+    """Gzip CSV with header. A gzip file is read by one task, so the rows are spread after the read.
+
+    `partitions` fixes into how many; without it Spark deals them out by size.
 
     Without a schema, numbers are inferred and text columns become timestamps where every value parses.
     """
@@ -58,7 +59,7 @@ def read_csv_gzip(
         df = reader.schema(schema).csv(path)
     else:
         df = infer_datetime_columns(reader.option("inferSchema", True).option("preferDate", False).csv(path))
-    return df.repartition(partitions) if partitions else df
+    return df.repartition(partitions) if partitions else df.hint("rebalance")
 
 
 def infer_datetime_columns(df: DataFrame) -> DataFrame:
@@ -103,12 +104,17 @@ def write_allocation_input(frame: DataFrame, path: str) -> None:
 
 
 def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """CREATE OR REPLACE TABLE name AS df; `path` keeps the files outside the warehouse folder."""
-    writer = df.write.mode("overwrite").format("parquet")
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
-    return df.sparkSession.table(name)
+    """CREATE OR REPLACE TABLE name AS df; `path` keeps the files outside the staging folder.
+
+    The new rows are complete, in a folder of their own, before the name moves to them; a failure leaves
+    the table as it was. Files of earlier versions stay until their folder is removed.
+    """
+    spark = df.sparkSession
+    version = f"{path.rstrip('/')}/{uuid.uuid4().hex}" if path else staging_path(spark, name)
+    df.write.parquet(version)
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    spark.catalog.createTable(name, path=version, source="parquet")
+    return spark.table(name)
 
 
 def conform_results(df: DataFrame) -> DataFrame:
@@ -121,8 +127,7 @@ def write_results(df: DataFrame, name: str, path: str | None = None) -> DataFram
     return replace_table(conform_results(df), name, path)
 
 
-def write_report_csv(df: DataFrame, path: str) -> None:
-    """A CSV with header in place of a spreadsheet: one file if the rows fit on a sheet, else several."""
-    fits = df.limit(SHEET_ROWS + 1).count() <= SHEET_ROWS
-    out = df.repartition(1) if fits else df
+def write_report_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """A folder of CSV files with header in place of a spreadsheet; `one_file` sends all rows through one task."""
+    out = df.repartition(1) if one_file else df
     out.write.mode("overwrite").options(header=True, **CSV_OPTIONS).csv(path)

@@ -87,8 +87,17 @@ def test_day_filter(spark):
     df = orders(spark, [order("a", 0, day=0), order("b", 0, day=7), order("c", 0, day=8), order("d", 0, day=29),
                         order("e", 0).copy() | {"day_num": None}])
     assert rows_of(zo.within_exp_length(df, 7).select("platform_order_code")) == [("a",), ("b",)]
-    got = rows_of(zo.per_exp_length(df, (7, 14)).select("exp_length", "platform_order_code"))
-    assert got == [(14, "a"), (14, "b"), (14, "c"), (7, "a"), (7, "b")]
+    tagged = df.withColumn(zo.GROUP, F.lit("zg_1"))
+    got = rows_of(zo.per_exp_length(tagged, (7, 14)).select("exp_length", "orders", "days", "last_day"))
+    # Sorted by column name: days, exp_length, last_day, orders.
+    assert got == [(2, 7, 7, 2), (3, 14, 8, 3)]
+
+
+def test_missing_order_codes_keep_their_orders(spark):
+    df = orders(spark, [order("a", 0), order(None, 1), order(None, 2), order("b", 3)])
+    allocated = spark.createDataFrame([("a", 1, "s"), (None, 2, "t"), ("a", 3, "u")], "OrderID string, Variant long, SlotID string")
+    got = rows_of(al.attach_variants(df, allocated).select("platform_order_code", "variant"))
+    assert got == sorted([("a", 1), ("a", 3), (None, None), (None, None), ("b", None)], key=repr)
 
 
 def test_parameters_are_checked():

@@ -66,11 +66,15 @@ def test_bins_are_exact_on_their_edges(spark):
 def test_histogram_and_empty_bins(spark):
     rows = [(2, 2, 7, "gfv_local", p, "tot") for p in (0.01, 0.02, 0.31, None)] + [(2, 2, 7, "gmv_local", 0.2, "tot")]
     hist = rp.p_value_histogram(results(spark, rows), 0.1)
-    assert rows_of(hist.where("kpi = 'gfv_local'").select("p_val_bin", "records")) == [(0.0, 2), (0.3, 1)]
+    assert rows_of(hist.where("kpi = 'gfv_local'").select("p_val_bin", "records")) == sorted([(0.0, 2), (0.3, 1), (None, 1)], key=repr)
     assert hist.where("kpi = 'gfv_local'").agg(F.sum("pct_of_total")).first()[0] == pytest.approx(1)
     dense = rp.dense_histogram(results(spark, rows), 0.1)
     assert rows_of(dense.where("kpi = 'gmv_local'").select("p_val_bin", "records")) == [
         (0.0, 0), (0.1, 0), (0.2, 1), (0.3, 0)]
+    missing = dense.where("kpi = 'gfv_local' AND p_val_bin IS NULL").select("is_sig", "records")
+    assert rows_of(missing) == [("insignificant", 1)]
+    nothing = rp.dense_histogram(results(spark, [(2, 2, 7, "gfv_local", None, "tot")]), 0.1)
+    assert rows_of(nothing.select("p_val_bin", "records")) == [(None, 1)]
 
 
 def test_calcs_along_the_bins(spark):

@@ -42,18 +42,26 @@ def test_results_schema_is_enforced(spark, tmp_path):
     assert [(f.name, f.dataType) for f in out.schema.fields] == [(f.name, f.dataType) for f in tb.RESULT_SCHEMA.fields]
 
 
-def test_report_is_one_file_up_to_a_sheet(spark, tmp_path, monkeypatch):
+def test_report_is_one_file_only_on_request(spark, tmp_path):
     df = spark.range(0, 40, 1, 4).toDF("a")
-    tb.write_report_csv(df, str(tmp_path / "one"))
-    assert len(glob.glob(str(tmp_path / "one" / "*.csv"))) == 1
-    monkeypatch.setattr(tb, "SHEET_ROWS", 39)
     tb.write_report_csv(df, str(tmp_path / "more"))
     assert len(glob.glob(str(tmp_path / "more" / "*.csv"))) == 4
+    tb.write_report_csv(df, str(tmp_path / "one"), one_file=True)
+    assert len(glob.glob(str(tmp_path / "one" / "*.csv"))) == 1
+
+
+def test_a_failed_replacement_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    assert tb.replace_table(spark.range(3), "slotwise_kept", path).count() == 3
+    with pytest.raises(Exception):
+        tb.replace_table(spark.range(2).selectExpr("raise_error('stop') AS id"), "slotwise_kept", path)
+    assert spark.table("slotwise_kept").count() == 3
+    assert tb.replace_table(spark.range(5), "slotwise_kept", path).count() == 5
 
 
 def test_staging_uses_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
-    assert staging.staging_path(spark, "x").startswith(root + "/x-")
+    assert staging.staging_path(spark, "x").startswith(f"{root}/{spark.sparkContext.applicationId}/x-")
     staged = staging.stage(spark.range(3), "numbers")
     assert staged.count() == 3 and staged.inputFiles()[0].startswith("file://" + root)
 

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixture_views as fx
+from helpers import GROUPS, order, orders, rows_of
 from slotwise.config import STUDY_ZONE_GROUPS, StudyGrid
-from slotwise.plans.study import full_study
+from slotwise.plans.study import full_study, imported_study
 from slotwise.sources.staging import stage
 
 
@@ -38,3 +39,13 @@ def test_labels_and_the_constant_fee(results):
     assert results.where("kpi = 'service_fee_local' AND anova_pval IS NOT NULL").count() == 0
     share = results.where("anova_pval IS NOT NULL").agg(F.avg((F.col("anova_pval") <= 0.1).cast("double"))).first()[0]
     assert 0.04 < share < 0.2
+
+
+def test_imported_allocation_leaves_out_orders_without_unit_or_variant(spark):
+    rows = orders(spark, [order(f"o{i}", 60 * i, gfv_local=float(i % 7)) for i in range(40)])
+    allocation = [(f"o{i}", 1 + i % 2, f"slot-{i // 2}") for i in range(30)] + [("o30", None, "x"), ("o31", 1, None)]
+    allocated = spark.createDataFrame(allocation, "OrderID string, Variant long, SlotID string")
+    got = imported_study(rows, allocated, GROUPS, 2, 2, 28)
+    assert got.count() == 24
+    whole = allocated.where("Variant IS NOT NULL AND SlotID IS NOT NULL")
+    assert rows_of(got) == rows_of(imported_study(rows, whole, GROUPS, 2, 2, 28))

@@ -72,22 +72,14 @@ def test_duplicate_matches_multiply(spark, sf_dir):
     assert run(zones, locations, entities, fees.limit(0)) == once
 
 
-def test_salted_join_equals_broadcast_join(spark, sf_dir):
+def test_configured_join_equals_plain_join(spark, sf_dir):
     big = fx.fx_sessions(spark, sf_dir).select("order_id", "zone_id", "entity_id")
     dim = big.select("zone_id").distinct().where("zone_id % 2 = 0").withColumn("x", F.col("zone_id") * 2)
     dim = dim.union(dim)
     for how in ("inner", "left", "left_semi"):
-        small = joins.join_dimension(big, dim, ["zone_id"], True, how, spread=("order_id",))
-        large = joins.join_dimension(big, dim, ["zone_id"], False, how, spread=("order_id",))
-        assert rows_of(small) == rows_of(large)
-
-
-def test_broadcast_needs_a_size_within_bounds(spark, monkeypatch):
-    df = spark.range(100)
-    assert joins.fits_broadcast(df)
-    assert not joins.fits_broadcast(df, 1 << 20)
-    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 99)
-    assert not joins.fits_broadcast(df)
+        small = joins.join_dimension(big, dim, ["zone_id"], how, configured_rows=10)
+        large = joins.join_dimension(big, dim, ["zone_id"], how, configured_rows=joins.MAX_BROADCAST_ROWS + 1)
+        assert rows_of(small) == rows_of(large) == rows_of(joins.join_dimension(big, dim, ["zone_id"], how))
 
 
 def test_scope_filters_reach_the_scan(spark, tmp_path):
