@@ -155,6 +155,13 @@ class Network:
         w = self.weights
         return np.concatenate([vectors @ w["ahead_in"] + w["ahead_bias"], vectors @ w["back_in"] + w["back_bias"]], axis=1)
 
+    def gates_of(self, rows: WordRows) -> np.ndarray:
+        """Gate inputs of words, some at a time."""
+        out = np.empty((len(rows.own), 6 * HIDDEN), np.float32)
+        for i in range(0, len(out), CHUNK):
+            out[i:i + CHUNK] = self.gates(self.word_vectors(rows.pick(np.arange(i, min(i + CHUNK, len(out))))))
+        return out
+
     def logits(self, gates: np.ndarray, row: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Logit per window: `row` has the gates' row of each word, a window `count` words from `first` on."""
         ahead, back = np.ascontiguousarray(gates[:, :3 * HIDDEN]), np.ascontiguousarray(gates[:, 3 * HIDDEN:])
@@ -257,7 +264,7 @@ def train(examples: list[tuple[str, int]], updates: int = 80, late_updates: int
             # Long documents say less per window.
             share = 1 / np.sqrt(np.bincount(document, minlength=len(counts)))[document]
         else:
-            logit = net.logits(net.gates(net.word_vectors(tables)), row, first, inside_count)
+            logit = net.logits(net.gates_of(tables), row, first, inside_count)
             order = np.lexsort((-logit, document))
             rank = np.arange(len(order)) - np.searchsorted(document[order], document[order])
             chosen = order[(rank == 0) | ((rank == 1) & (labels[document[order]] == 0))]
