@@ -54,10 +54,11 @@ STUDY_ZONE_GROUPS = (
 class OrderScope:
     """Which orders enter the study; the defaults are the studied scope."""
 
-    entity_ids: tuple[str, ...] = ("FP_SG", "FP_PH", "FP_HK")
+    entity_ids: tuple[str, ...] = tuple(dict.fromkeys(g.entity_id for g in STUDY_ZONE_GROUPS))
     start_date: dt.date = dt.date(2023, 1, 1)
     end_date: dt.date = dt.date(2023, 1, 28)
-    asa_ids: tuple[int, ...] = (559, 560, 402, 406, 398, 496, 525, 528, 508)
+    asa_ids: tuple[int, ...] = tuple(g.asa_id for g in STUDY_ZONE_GROUPS)
+    # What the study leaves out and selects.
     excluded_country: str = "dp-sg"
     price_scheme: str = "Automatic scheme"
     # Regions whose paid delivery fee comes from the fee table.
