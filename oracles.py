@@ -505,6 +505,16 @@ ORACLES: dict[str, str] = {
     "imported_welch": f"WITH {ALLOCATED}{_IMPORTED}{_BOTH_MOMENTS}, {_welch('all_m')} SELECT * FROM results",
     "v1_study": f"WITH {ALLOCATED}{_ZONE_SLOTS}{_PLACED}{_V1}{_BOTH_MOMENTS}, {_welch('all_m', 0.05)} SELECT * FROM results",
     "allocate_switchback": f"WITH {ALLOCATED} SELECT platform_order_code, zone_id, variant, time_zone_unit_id, slot_of_day FROM allocated",
+    "allocate_fractional": f"""WITH {PREPARED}, slotted AS (
+  SELECT *, CAST(floor((ts_s - start_s) / 5400) AS BIGINT) AS slot_idx FROM prepared)
+SELECT platform_order_code, zone_id, 1 + {_hash("'v~7~salt-b~' || zone_id || '~' || slot_idx")} % 4 AS variant,
+  md5('7~salt-b~' || zone_id || '~' || slot_idx) AS time_zone_unit_id, slot_idx % 16 AS slot_of_day FROM slotted""",
+    "report_parameters": f"""WITH {FX_PVALS},
+settings AS (SELECT a.a AS alpha, w.w AS bin_width FROM (SELECT unnest([0.05, 0.1])::DOUBLE AS a) a,
+  (SELECT unnest([0.05, 0.1, 0.15, 0.2])::DOUBLE AS w) w)
+SELECT alpha, bin_width, CAST(floor(round_even(anova_pval * 10000, 0) / round_even(bin_width * 10000, 0)) AS BIGINT) AS bin_no,
+  CASE WHEN anova_pval <= alpha THEN 'significant' ELSE 'insignificant' END AS is_sig, count(*) AS records
+FROM fx_pvals, settings GROUP BY ALL""",
     "slot_assign": f"WITH {ALLOCATED} SELECT platform_order_code, zone_group_identifier, slot_idx, slot_start, slot_of_day, time_zone_unit_id FROM allocated",
     "import_allocation": f"WITH {ALLOCATED} SELECT platform_order_code AS order_id, variant, time_zone_unit_id AS slot_id, slot_of_day FROM allocated",
     "attach_variants": f"""WITH {ALLOCATED} SELECT o.platform_order_code, o.zone_name, o.gfv_local, a.variant, a.time_zone_unit_id

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import fixture_views as fx
-from slotwise.config import CUSTOMER_KPIS, LOGISTICS_KPIS, Allocation
+from slotwise.config import CUSTOMER_KPIS, LOGISTICS_KPIS, REPORT_ALPHAS, REPORT_BIN_WIDTHS, Allocation
 from slotwise.functions.geo import geo_point
 from slotwise.functions.scalars import day_number, iso_timestamp, weekday_name
 from slotwise.operators import allocation as al
@@ -55,6 +55,13 @@ def allocate_switchback(spark, sf):
         "platform_order_code", "zone_id", "variant", "time_zone_unit_id", "slot_of_day")
 
 
+def allocate_fractional(spark, sf):
+    """A window of one and a half hours, four variants, another key and salt."""
+    design = Allocation(window_hours=1.5, num_variants=4, key=7, salt="salt-b")
+    return al.allocate(prepared(spark, sf), design).select(
+        "platform_order_code", "zone_id", "variant", "time_zone_unit_id", "slot_of_day")
+
+
 def slot_assign(spark, sf):
     return allocated(spark, sf).select(
         "platform_order_code", GROUP, "slot_idx", "slot_start", "slot_of_day", "time_zone_unit_id")
@@ -269,6 +276,18 @@ def pval_histogram_dense(spark, sf):
     return out
 
 
+def report_parameters(spark, sf):
+    """Labelled rows per bin for every setting of the report's two parameters."""
+    rows, out = fx.fx_pvals(spark, sf), None
+    for alpha in REPORT_ALPHAS:
+        for width in REPORT_BIN_WIDTHS:
+            one = rp.binned(rows, width, alpha).groupBy(
+                F.lit(alpha).alias("alpha"), F.lit(width).alias("bin_width"), "bin_no", "is_sig").agg(
+                F.count(F.lit(1)).alias("records"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def pval_hist_pct(spark, sf):
     return rp.histogram_shares(fx.fx_pvals(spark, sf), 0.1).select(
         "kpi_type", "kpi", "p_val_bin", "records", "kpi_records", "p_val_hist_pct")
@@ -447,13 +466,13 @@ def report_csv(spark, sf):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    allocate_switchback, slot_assign, import_allocation, attach_variants, variant_balance,
+    allocate_switchback, allocate_fractional, slot_assign, import_allocation, attach_variants, variant_balance,
     zone_groups, start_ts_per_group, exp_length_filter, week_bucket, export_allocation_input,
     sim_grid, run_keys,
     slot_totals, slot_per_order, variant_moments, welch_slot_tot, welch_slot_per_order, welch_order_level,
     pval_union, aa_study, imported_slot_totals, imported_welch, v1_study,
     sig_counts, sig_share, sig_pct_grid, sig_pct_grid_order_level, sig_pct_grid_order_level_matching, overall_sig_slot, overall_sig_order,
-    relabel_alpha, kpi_family, pval_histogram, pval_histogram_dense, pval_hist_pct, pval_hist_calcs,
+    relabel_alpha, kpi_family, pval_histogram, pval_histogram_dense, report_parameters, pval_hist_pct, pval_hist_calcs,
     scan_nested, geo_zones, entity_region, semi_join_entities, order_kpis, revenue_profit, small_order_fee,
     delivery_fee_paid, dow_day_num, point_in_zone,
     slot_series, equal_width_bins, slot_zone_grid, interval_join, v1_slot_join,
