@@ -166,7 +166,8 @@ def linked_vectors(vectors: DataFrame, least_cosine: float = 0.9, recall: float
     compared = []
     for size in classes.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy("width").collect():
         same = classes.where(F.size("vector") == size.width)
-        compared.append(_passes(same, passes_for(size.n, least_cosine, recall, window), size.width, least_cosine, window, seed))
+        passes = passes_for(size.n, least_cosine, recall, window)
+        compared.append(_passes(same, passes, size.width, least_cosine, window, seed))
     alone = classes.select("h1", "h2", "node", "first_id", "copies")
     if compared:
         compared = reduce(DataFrame.unionByName, compared)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from slotwise.llm.common import id_field, ids_and_texts, text_slices
+from slotwise.llm.common import ids_and_texts, text_slices
 from slotwise.llm.library_tokens import library_tokens
 from slotwise.sources.staging import stage
 
