@@ -109,3 +109,11 @@ def test_parameters_are_checked():
             bad()
     drawn = Allocation(3.0, 3)
     assert 0 <= drawn.key <= 32767 and len(drawn.salt) == 36
+
+
+def test_long_value_lists_are_pushed_as_a_range(spark, monkeypatch):
+    df = orders(spark, [order("a", 0), order("b", 0, zone="c"), order("c", 0, asa=3), order("d", 0, entity="E9")])
+    listed = rows_of(zo.tag_zone_groups(df, GROUPS).select("platform_order_code", zo.GROUP))
+    monkeypatch.setattr(zo, "MAX_PUSHED_VALUES", 0)
+    ranged = zo.tag_zone_groups(df, GROUPS)
+    assert rows_of(ranged.select("platform_order_code", zo.GROUP)) == listed

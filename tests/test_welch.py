@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import GROUPS, orders, order, rows_of
+from helpers import GROUPS, order, orders
 from slotwise.config import ALL_KPIS, StudyGrid
 from slotwise.operators import slots as sl
 from slotwise.operators import welch as we
