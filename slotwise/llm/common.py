@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,24 @@ from pyspark.sql.window import Window
 SLICE_CHARS = 2_000_000
 
 
+def importable_by_workers(query):
+    """A query whose Python workers find this package, wherever the driver was started.
+
+    The folder must be the same on all machines, as for any package that is not shipped with the application.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        return query(spark, sf_dir)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slotwise.llm import bpe, packing, pii, projection, quality, sharding, simhash, token_counts, toxicity, wavelet
-from slotwise.llm.common import documents, table
+from slotwise.llm.common import documents, importable_by_workers, table
 from slotwise.llm.defaults import (
     BYTE_RANKS, BYTE_TOKENIZER, MOST_BITS, PACK_END_ID, SEQUENCE_TOKENS, SHINGLE_WORDS, TOXIC_FROM, WORD_TOKENIZER, held_out,
 )
@@ -89,5 +89,7 @@ LLM_QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
+LLM_QUERIES = {name: importable_by_workers(query) for name, query in LLM_QUERIES.items()}
+
 #: Tokenizers, trained models, wavelet files and iterations over links have no SQL; tests/llm checks them otherwise.
 LLM_ORACLES: dict[str, str] = {}

@@ -17,7 +17,7 @@ from tests.llm.test_tokens import check_packing
 def test_registered():
     names = [n for n in queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
-    assert queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in oracle_sql()
+    assert queries()["pipeline"].__wrapped__ is corpus_pipeline.run and "pipeline" not in oracle_sql()
 
 
 def test_stages(spark, sf_dir, docs):
