@@ -130,5 +130,6 @@ def balanced_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     fill = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b <= F.col("turn")))
     where = placed.unionByName(lone.select("row", fill.alias("shard")))
     done = rows.join(where.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).drop("r")
-    return spread_cumsum(done, ["shard"], ["row"], F.lit(1), "slot", by_row, buckets).select(
+    # Another hash than the one whose order filled the shards, or a shard's rows would share a bucket.
+    return spread_cumsum(done, ["shard"], ["row"], F.lit(1), "slot", F.xxhash64("row", F.lit("slot")), buckets).select(
         "doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
