@@ -10,7 +10,7 @@ from slotwise.llm.common import documents, importable_by_workers, table
 from slotwise.llm.defaults import (
     BYTE_RANKS, BYTE_TOKENIZER, MOST_BITS, PACK_END_ID, SEQUENCE_TOKENS, SHINGLE_WORDS, TOXIC_FROM, WORD_TOKENIZER, held_out,
 )
-from slotwise.sources.staging import staging_path
+from slotwise.sources.staging import stage, staging_path
 
 
 def _hex_of_ids(ids: str) -> Column:
@@ -24,7 +24,9 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.context_totals(token_counts.length_histogram(documents(spark, sf_dir), BYTE_RANKS))
+    # Staged, since the totals read it twice and the texts are to be encoded once.
+    histogram = stage(token_counts.length_histogram(documents(spark, sf_dir), BYTE_RANKS), "lengths")
+    return token_counts.context_totals(histogram)
 
 
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
