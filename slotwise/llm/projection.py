@@ -2,8 +2,12 @@
 
 In each pass the vectors are ordered by the signs of random projections, read as one number, then each is
 compared with the WINDOW vectors after it by its exact cosine; verified pairs are united over all passes.
-Equal vectors are compared once, with their number as weight. The number of passes follows from the number
-of vectors: a pair at the limit must meet within a window in some pass with probability `recall`.
+Vectors that share their first signs and are too many for a window (a hot group of near copies) are compared
+all with all, as pairs of blocks that are tasks of their own. So a pair meets in each pass where it shares the
+first signs, however the vectors lie, and the number of passes follows from the number of vectors: a pair at
+the limit must meet in some pass with probability `recall`. Each vector knows its places in all passes; a pair
+counts in the first pass where it meets, so that counts are summed up and no lists of partners are kept.
+Equal vectors are compared once, with their number as weight.
 """
 
 from __future__ import annotations
@@ -13,11 +17,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from slotwise.llm.components import connected_components
@@ -27,18 +28,24 @@ WINDOW = 1_024
 #: Vectors that one task compares at a time, besides the window that follows them.
 STRETCH = 2_048
 BLOCK = 256
+#: A run of vectors with the same first signs is cut into so many blocks, each of one window at least and MOST_SIDE at most.
+SIDES, MOST_SIDE = 16, 4_096
 #: Signs per sort key, more than the number of vectors needs.
 BITS = 48
 
 
+def _signs(n: int, window: int) -> float:
+    """If the vectors lie evenly, half a window of them shares so many first signs."""
+    return max(1.0, math.log2(max(2, n) / window) + 1)
+
+
 def passes_for(n: int, least_cosine: float, recall: float, window: int = WINDOW) -> int:
     """Passes after which a pair at the limit has met with probability `recall`.
 
-    About n / 2^k vectors share the first k signs, so a pair meets if its first log2(n / window) + 1 signs agree,
-    each with probability 1 - angle / pi.
+    A pair meets at least if its first log2(n / window) + 1 signs agree, each with probability 1 - angle / pi.
     """
     agree = 1 - math.acos(least_cosine) / math.pi
-    meet = agree ** max(1.0, math.log2(max(2, n) / window) + 1)
+    meet = agree ** _signs(n, window)
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
@@ -50,39 +57,56 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat / np.sqrt(np.einsum("ij,ij->i", flat, flat))[:, None]
 
 
-def near_pairs(unit: np.ndarray, own: int, turn: np.ndarray, window: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) with i among the first `own` rows, i < j <= i + window, in one pass, and a cosine of at least `least`."""
-    rough, found = unit.astype(np.float32), []
-    for a in range(0, own, BLOCK):
-        b = min(a + BLOCK, own)
-        last = min(len(unit), b + window)
-        i, j = np.nonzero(rough[a:b] @ rough[a:last].T >= least - 1e-4)
-        gap = j - i
-        near = (gap > 0) & (gap <= window)
-        found.append((i[near] + a, j[near] + a))
-    i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
-    exact = (np.einsum("ij,ij->i", unit[i], unit[j]) >= least) & (turn[i] == turn[j])
-    return i[exact], j[exact]
-
-
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places reaches by the pairs."""
-    root = np.arange(n)
+def near_pairs(unit: np.ndarray, own: range, others: range, window: int | None, least: float,
+               ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i in own, j in others, i < j, with a cosine of at least `least`, some rows of `own` at a time.
+
+    With a window only j <= i + window.
+    """
+    rough = unit.astype(np.float32)
+    for a in range(own.start, own.stop, BLOCK):
+        b = min(a + BLOCK, own.stop)
+        first = max(a, others.start)
+        last = others.stop if window is None else min(others.stop, b + window)
+        cosine = rough[a:b] @ rough[first:last].T
+        i, j = np.nonzero(cosine >= least - 1e-4)
+        sure = cosine[i, j] >= least + 1e-4
+        i, j = i + a, j + first
+        near = (j > i) if window is None else (j > i) & (j - i <= window)
+        i, j, sure = i[near], j[near], sure[near]
+        close = np.flatnonzero(~sure)
+        sure[close] = np.einsum("ij,ij->i", unit[i[close]], unit[j[close]]) >= least
+        yield i[sure], j[sure]
+
+
+def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """`root` has a place that each place reaches, the same for all that reach each other; now also by the pairs."""
     while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
             return root
-        root = new
-
-
-def _passes(classes: DataFrame, passes: int, width: int, least: float, window: int, seed: int) -> DataFrame:
-    """Per pass and stretch: node, others (verified partners), weights (their copies), root (in the stretch)."""
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up
+
+
+def _unmet(i: np.ndarray, j: np.ndarray, turn: np.ndarray, ranks: np.ndarray, runs: np.ndarray, window: int,
+           ) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that did not meet in an earlier pass. ranks, runs: by pass and row; turn: of each row."""
+    for t in range(int(turn.max(initial=0))):
+        met = np.abs(ranks[t][i] - ranks[t][j]) <= window
+        met |= (runs[t][i] == runs[t][j]) & (runs[t][i] >= 0)
+        left = ~(met & (turn[i] > t))
+        i, j = i[left], j[left]
+    return i, j
+
+
+def _passes(classes: DataFrame, passes: int, signs: int, width: int, least: float, window: int, seed: int) -> DataFrame:
+    """Per task and vector with new partners in it: node, found (weight of these partners), root (in the task)."""
     planes = np.random.default_rng(seed).normal(size=(passes, BITS, width))
-    vector_type = classes.schema["vector"].dataType.simpleString()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
@@ -91,27 +115,41 @@ def _passes(classes: DataFrame, passes: int, width: int, least: float, window: i
             for turn in range(passes):
                 key = (unit @ planes[turn].T > 0) @ weight
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(unit), turn), pa.int32()), pa.array(key), *batch.columns],
-                    ["turn", "key", *batch.schema.names])
+                    [pa.array(np.full(len(unit), turn), pa.int32()), pa.array(key), batch.column("node")],
+                    ["turn", "key", "node"])
+
+    def by_pass(column: pa.ChunkedArray) -> np.ndarray:
+        return np.ascontiguousarray(column.combine_chunks().flatten().to_numpy().reshape(-1, passes).T)
+
+    def compare(rows: pa.Table, own: range, others: range, within: int | None) -> pa.Table:
+        turn, node, copies = (rows[c].to_numpy() for c in ("turn", "node", "copies"))
+        ranks, runs = by_pass(rows["ranks"]), by_pass(rows["runs"])
+        run = runs[turn, np.arange(len(node))]
+        found, root = np.zeros(len(node), np.int64), np.arange(len(node))
+        for i, j in near_pairs(_matrix(rows["vector"]), own, others, within, least):
+            if within is not None:
+                # Those inside a long run are left to its blocks.
+                here = (turn[i] == turn[j]) & ((run[i] != run[j]) | (run[i] < 0))
+                i, j = i[here], j[here]
+            i, j = _unmet(i, j, turn, ranks, runs, window)
+            for to, by in ((i, j), (j, i)):
+                found += np.bincount(to, copies[by], len(node)).astype(np.int64)
+            root = _unite(root, i, j)
+        some = np.flatnonzero(found)
+        return pa.table({"node": node[some], "found": found[some], "root": node[root[some]]})
+
+    def compare_stretch(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rank")
+        own = int(np.count_nonzero(rows["rank"].to_numpy() < (rows["stretch"][0].as_py() + 1) * STRETCH))
+        return compare(rows, range(own), range(len(rows)), window)
 
-    def compare(rows: pa.Table) -> pa.Table:
+    def compare_blocks(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("rank")
-        stretch = rows["stretch"][0].as_py()
-        own = int(np.count_nonzero(rows["rank"].to_numpy() < (stretch + 1) * STRETCH))
-        i, j = near_pairs(_matrix(rows["vector"]), own, rows["turn"].to_numpy(), window, least)
-        node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
-        root = node[_roots(len(node), i, j)]
-        a, b = np.concatenate([i, j]), np.concatenate([j, i])
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
-        offsets = pa.array(np.append(starts, len(a)), pa.int32())
-        return pa.table({
-            "node": node[a[starts]], "others": pa.ListArray.from_arrays(offsets, pa.array(node[b])),
-            "weights": pa.ListArray.from_arrays(offsets, pa.array(copies[b])), "root": root[a[starts]]})
-
-    keyed = classes.select("node", "copies", "vector").mapInArrow(
-        keys, f"turn int, key long, node long, copies long, vector {vector_type}")
+        low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+        own = int(np.count_nonzero(rows["block"].to_numpy() == low))
+        return compare(rows, range(own), range(0 if low == high else own, len(rows)), None)
+
+    keyed = classes.select("node", "vector").mapInArrow(keys, "turn int, key long, node long")
     # Staged before the range partitioning, which would compute the keys once more to find its bounds.
     ordered = stage(keyed, "keyed").repartitionByRange("turn", "key", "node").sortWithinPartitions("turn", "key", "node")
     ordered = stage(ordered.withColumn("place", F.monotonically_increasing_id()), "ordered")
@@ -120,25 +158,33 @@ def _passes(classes: DataFrame, passes: int, width: int, least: float, window: i
     before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = stage(ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size")).select(
         "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "bases")
-    ranked = ordered.withColumn("part", part).join(sizes, "part").withColumn(
-        "rank", F.col("base") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)))
+    ranked = ordered.withColumn("part", part).join(sizes, "part").select(
+        "turn", "node", F.shiftright("key", BITS - signs).alias("prefix"),
+        (F.col("base") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
     stretch = F.floor(F.col("rank") / STRETCH)
+    # Runs that no window spans, named by their first rank; by stretch, so that no join key has more rows than a stretch.
+    runs = ranked.groupBy("turn", "prefix").agg(F.min("rank").alias("run"), F.count(F.lit(1)).alias("size")).where(
+        F.col("size") > window + 1).select("turn", "prefix", "run", "size", F.explode(F.sequence(
+            F.floor(F.col("run") / STRETCH), F.floor((F.col("run") + F.col("size") - 1) / STRETCH))).alias("stretch"))
+    at = ranked.withColumn("stretch", stretch).join(stage(runs, "runs"), ["stretch", "turn", "prefix"], "left").groupBy(
+        "node").agg(F.array_sort(F.collect_list(F.struct(
+            "turn", "rank", F.coalesce("run", F.lit(-1)).alias("run"), F.coalesce("size", F.lit(0)).alias("size")))).alias("at"))
+    placed = stage(at.withColumnRenamed("node", "a_node").join(classes, F.col("a_node") == F.col("node")).select(
+        "node", "copies", "vector", "at"), "placed")
+    each = placed.select("node", "copies", "vector", F.col("at.rank").alias("ranks"), F.col("at.run").alias("runs"),
+                         F.explode("at").alias("here")).select("*", "here.*").drop("here")
     # The first rows of a stretch are also the window of the stretch before it.
     halo = (F.col("rank") % STRETCH < window) & (stretch > 0)
-    spread = ranked.select("turn", "node", "copies", "vector", "rank", F.explode(
-        F.when(halo, F.array(stretch, stretch - 1)).otherwise(F.array(stretch))).alias("stretch"))
-    return stage(spread.groupBy("stretch").applyInArrow(
-        compare, "node long, others array<long>, weights array<long>, root long"), "compared")
-
-
-@pandas_udf(LongType())
-def _distinct_weight(others: pd.Series, weights: pd.Series) -> pd.Series:
-    """Weight of the distinct partners over all passes."""
-    out = []
-    for names, sizes in zip(others, weights):
-        _, first = np.unique(np.concatenate(list(names)), return_index=True)
-        out.append(int(np.concatenate(list(sizes))[first].sum()))
-    return pd.Series(out, dtype="int64")
+    stretches = each.withColumn("stretch", F.explode(
+        F.when(halo, F.array(stretch, stretch - 1)).otherwise(F.array(stretch))))
+    # Each block of a run with each, itself included.
+    side = F.greatest(F.lit(window), F.least(F.lit(MOST_SIDE), F.ceil(F.col("size") / SIDES)))
+    blocks = each.where("size > 0").withColumn("block", F.floor((F.col("rank") - F.col("run")) / side)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / side)))).withColumn(
+        "low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    shape = "node long, found long, root long"
+    return stage(stretches.groupBy("stretch").applyInArrow(compare_stretch, shape).unionByName(
+        blocks.groupBy("run", "low", "high").applyInArrow(compare_blocks, shape)), "compared")
 
 
 def linked_vectors(vectors: DataFrame, least_cosine: float = 0.9, recall: float = 0.995, window: int = WINDOW,
@@ -167,12 +213,12 @@ def linked_vectors(vectors: DataFrame, least_cosine: float = 0.9, recall: float
     for size in classes.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy("width").collect():
         same = classes.where(F.size("vector") == size.width)
         passes = passes_for(size.n, least_cosine, recall, window)
-        compared.append(_passes(same, passes, size.width, least_cosine, window, seed))
+        signs = int(_signs(size.n, window))
+        compared.append(_passes(same, passes, signs, size.width, least_cosine, window, seed))
     alone = classes.select("h1", "h2", "node", "first_id", "copies")
     if compared:
         compared = reduce(DataFrame.unionByName, compared)
-        links = compared.groupBy("node").agg(F.collect_list("others").alias("o"), F.collect_list("weights").alias("w"))
-        links = stage(links.select(F.col("node").alias("l_node"), _distinct_weight("o", "w").alias("found")), "links")
+        links = stage(compared.groupBy(F.col("node").alias("l_node")).agg(F.sum("found").alias("found")), "links")
         groups = connected_components(compared.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
         alone = alone.join(links, F.col("node") == F.col("l_node"), "left").drop("l_node").join(
             groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")

@@ -75,5 +75,22 @@ def test_op9(spark, sf_dir):
     assert [got[r.vec_id].n_links for r in rows] == (near.sum(1) - 1).tolist()
 
 
+def test_hot_group_of_near_copies(spark, monkeypatch):
+    """A cluster several times longer than all windows of all passes together."""
+    monkeypatch.setattr(projection, "STRETCH", 256)
+    rnd, window, hot = np.random.default_rng(5), 16, 3_000
+    x = rnd.normal(size=(hot + 500, 32))
+    x[:hot] = rnd.normal(size=32) + rnd.normal(size=(hot, 32)) * 0.2
+    x = x[rnd.permutation(len(x))].astype(np.float32)
+    near = cosines(x) >= 0.9
+    np.fill_diagonal(near, False)
+    passes = projection.passes_for(len(x), 0.9, 0.995, window)
+    assert hot > 4 * passes * 2 * window and near.sum() > 0.95 * hot * hot
+    rows = projection.linked_vectors(_frame(spark, list(range(len(x))), list(x)), window=window).collect()
+    assert all(r.n_links <= near[r.vec_id].sum() for r in rows)
+    assert sum(r.n_links for r in rows) >= 0.995 * near.sum()
+    assert len({r.component_id for r in rows if near[r.vec_id].sum() > 1_000}) == 1
+
+
 def test_passes_grow_slowly():
     assert projection.passes_for(1_000, 0.9, 0.99) <= projection.passes_for(100_000, 0.9, 0.99) < 40
