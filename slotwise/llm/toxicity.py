@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 A word's input is a vector of the word itself plus the mean vector of its character n-grams, both from hashed
-tables, so unknown words are known by their letters. Windows of WINDOW words, each overlapping half of the
+tables, so unknown words are known by their letters. A longer run of word characters than LONGEST (text without
+spaces, words joined by underscores) is read as pieces of PIECE characters, each overlapping half of the one
+before, which are words of their own. Windows of WINDOW words, each overlapping half of the
 one before, run through a GRU in both directions; attention pools the states of a window to one
 probability, and the highest window is the document's score. Training (numpy) sees document labels only:
 first every window has its document's label, then in each document the windows that score highest count.
@@ -23,6 +25,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from slotwise.llm.common import labelled_sample, text_slices
 
 WINDOW, STRIDE = 32, 16
+#: Most characters of a word, and those of each piece of a longer run: near a word's, so that its n-grams are not averaged away.
+LONGEST, PIECE = 64, 32
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 1 << 15, 1 << 14, 16, 12
 #: Most training documents with label 0 and 1, and most characters of each.
 TRAINING_CLEAN, TRAINING_TOXIC, TRAINING_CHARS = 2_000, 1_200, 4_000
@@ -35,7 +39,13 @@ _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of word characters in lower case, long ones in overlapping pieces; the last piece ends with the run."""
+    words = _WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    step = PIECE // 2
+    return [piece for w in words for piece in (
+        [w] if len(w) <= LONGEST else [w[i:i + PIECE] for i in range(0, len(w) - step, step)])]
 
 
 @dataclass
@@ -48,10 +58,13 @@ class WordRows:
 
     @classmethod
     def of(cls, words: list[str]) -> WordRows:
-        """n-grams of 3 to 5 bytes of the word with its edges marked, numbered by a rolling hash."""
+        """n-grams of 3 to 5 bytes of the word with its edges marked, numbered by a rolling hash.
+
+        Of words as words_of makes them; of a longer one only the first LONGEST characters have n-grams.
+        """
         digest = xxhash.xxh32_intdigest
         own = np.fromiter((digest(w) % WORD_ROWS for w in words), np.int64, len(words))
-        marked = [b"<%s>" % w[:64].encode() for w in words]
+        marked = [b"<%s>" % w[:LONGEST].encode() for w in words]
         sizes = np.fromiter(map(len, marked), np.int64, len(marked))
         letters = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
         word = np.repeat(np.arange(len(words)), sizes)
@@ -330,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """The rows of `docs`, all columns kept, with `t_score` from 0 to 1.
 
-    Whole texts, every window. Null, empty and wordless texts have 0; repeated rows and null ids are
+    Whole texts, every window, long runs of word characters in pieces. Null, empty and wordless texts have 0; repeated rows and null ids are
     scored like any other. Only the text is an input. No shuffle; the network's size is fixed.
     """
     weights = docs.sparkSession.sparkContext.broadcast(net.weights)

@@ -58,6 +58,16 @@ def test_word_rows_pick():
     assert picked.grams.tolist() == again.grams.tolist() and picked.own.tolist() == again.own.tolist()
 
 
+def test_long_runs_are_read_in_pieces():
+    short = ["a" * 64, "b_c", "日本"]
+    assert toxicity.words_of(" ".join(short)) == short
+    for n in (65, 96, 97, 128, 500):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(f"x {run}。y")
+        assert pieces[0] == "x" and pieces[-1] == "y" and all(len(p) == 32 or p == run[-len(p):] for p in pieces[1:-1])
+        assert all(any(run[i:i + 16] in p for p in pieces) for i in range(n - 15))
+
+
 def _labelled(n=600):
     rnd = np.random.default_rng(1)
     plain = ["w%d" % i for i in range(60)]
@@ -77,6 +87,14 @@ def test_learns_words_by_their_letters():
     assert (found == np.array([y for _, y in rows[450:]])).mean() > 0.95
 
 
+def test_toxic_string_late_in_a_long_run():
+    scorer = toxicity.Scorer(toxicity.train(_labelled()))
+    plain = "_".join("w%d" % (i % 60) for i in range(100))
+    for at in (0, 70, 150, len(plain)):
+        clean, toxic = scorer.scores([plain, plain[:at] + "_vileabcd_" + plain[at:]])
+        assert clean < 0.3 <= toxic
+
+
 def test_memo_bound_does_not_change_scores(monkeypatch):
     net, texts = toxicity.train(_labelled(90)), [t for t, _ in _labelled(60)]
     whole = toxicity.Scorer(net).scores(texts)
