@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from slotwise.sources.staging import stage
+
 #: Python works on this many characters of text at a time (one longer text is one piece of work).
 SLICE_CHARS = 2_000_000
 
@@ -117,17 +119,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_0: int,
     """Up to most_0 and most_1 texts of label 0 and 1, picked by a hash of doc_id, in a fixed order.
 
     Rows with a null id or label, ids with both labels, blank texts and those over most_chars characters are
-    left out. The ids are picked first, so only a bounded number of texts moves or reaches the driver.
+    left out before any are picked. The ids are picked first, so only a bounded number of texts moves or reaches
+    the driver.
     """
+    short = docs.select("doc_id", "text").where((F.length("text") <= most_chars) & (F.length(F.trim("text")) > 0))
     named = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(
         F.min(label).alias("label"), F.max(label).alias("other")).where("label = other").drop("other")
+    # Staged, since each label reads it. Repeated ids are one row before they meet the labels.
+    named = stage(named.join(short.select("doc_id").distinct(), "doc_id"), "labelled")
     picked = None
     for value, most in ((0, most_0), (1, most_1)):
-        # Some more than needed, since long texts drop out later.
-        own = named.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
+        own = named.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = own if picked is None else picked.unionByName(own)
-    short = docs.select("doc_id", "text").where((F.length("text") <= most_chars) & (F.length(F.trim("text")) > 0))
     rows = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
-    return [(r.text, value) for value, most in ((0, most_0), (1, most_1))
-            for r in [x for x in rows if x.label == value][:most]]
+    return [(r.text, value) for value in (0, 1) for r in rows if r.label == value]

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from slotwise.llm import quality
+from slotwise.llm.common import labelled_sample
 from slotwise.llm.queries import LLM_QUERIES
 
 
@@ -86,3 +87,13 @@ def test_decoding_and_gradient_against_all_paths(n):
     step[0, 1] = 1e-5
     slope = (likelihood(field.emit, field.move + step) - likelihood(field.emit, field.move - step)) / 2e-5
     assert abs(slope - move[0, 1]) < 1e-6
+
+
+def test_sample_is_of_usable_documents(spark):
+    """Labels without a document and long or blank documents use up no place."""
+    texts = {i: "fine" if i % 20 < 2 else "long " * 50 if i % 2 else " " for i in range(200)}
+    docs = spark.createDataFrame([*texts.items(), (0, "fine")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4_000)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 8, 6, 20)
+    assert got == [("fine", 0)] * 8 + [("fine", 1)] * 6
+    assert len(labelled_sample(docs, labels, "quality", 50, 50, 20)) == 20
