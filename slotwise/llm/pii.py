@@ -170,8 +170,8 @@ def _features(s: Column) -> dict[str, Column]:
 def propose(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns and `p_spans`, the proposed spans, staged. A null or empty text has none."""
     text = F.coalesce(docs["text"], F.lit(""))
-    # Without a digit, an at sign or its spelling there is nothing to look for.
-    spans = F.when(text.rlike(r"[0-9@]|[(\[]at[)\]]"), candidates(text))
+    # Without a digit, an at sign, its spelling or an address of hex letters there is nothing to look for.
+    spans = F.when(text.rlike(r"[0-9@]|[(\[]at[)\]]|[A-Fa-f]:[A-Fa-f]"), candidates(text))
     staged = stage(docs.select(*(docs[c] for c in columns), spans.alias("p_spans")), "proposed")
     return staged.withColumn("p_spans", _without_overlaps(F.col("p_spans")))
 

@@ -101,3 +101,10 @@ def test_masking_and_edges(spark, edge_docs, no_docs):
     masked = pii.mask(edge_docs)
     assert masked.columns == edge_docs.columns and masked.count() == edge_docs.count()
     assert pii.mask(no_docs).count() == 0
+
+
+def test_addresses_of_letters_only_are_proposed(spark):
+    texts = ["host abcd:beef:cafe:dead:fade:face:bead:feed up", "host a:b:c:d:e:f:a:b", "ratio of a:b only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [pii.KINDS[s.kind] for s in r.p_spans or []] for r in pii.propose(docs, ["doc_id"]).collect()}
+    assert found == {0: ["ip"], 1: ["ip"], 2: []}
