@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from slotwise.llm import toxicity
 from slotwise.llm.queries import LLM_QUERIES
 
@@ -111,6 +112,18 @@ def test_op6(spark, sf_dir, docs):
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
 
 
+def test_held_out_rows_and_the_pipeline_stage(spark):
+    folder = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").collect()}
+    rows = [r for r in LLM_QUERIES["op6_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in toxic]
+    hits = sum(r.predicted for r in rows if toxic[r.doc_id])
+    assert hits >= 0.8 * sum(toxic[r.doc_id] for r in rows) > 0 and hits >= 0.8 * sum(r.predicted for r in rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, folder).select("doc_id").collect()}
+    labelled = {r.doc_id for r in docs.select("doc_id").collect() if toxic.get(r.doc_id)}
+    assert len(labelled - kept) >= 0.8 * len(labelled) > 0
+
+
 def test_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame(pa.table({
         "doc_id": pa.array([0, 7, None, 5, 13], pa.int64()), "toxic": pa.array([1, 0, 1, None, 0], pa.int32())}))
