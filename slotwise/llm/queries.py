@@ -5,11 +5,16 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slotwise.llm import bpe, packing, pii, projection, quality, sharding, simhash, token_counts, toxicity, wavelet
+from slotwise.llm import (
+    bpe, hard_negatives, packing, passages, pii, prefix_trie, projection, quality, sharding, simhash, token_counts, toxicity,
+    wavelet,
+)
 from slotwise.llm.common import documents, importable_by_workers, table
 from slotwise.llm.defaults import (
-    BYTE_RANKS, BYTE_TOKENIZER, MOST_BITS, PACK_END_ID, SEQUENCE_TOKENS, SHINGLE_WORDS, TOXIC_FROM, WORD_TOKENIZER, held_out,
+    ANCHOR_EVERY, BYTE_RANKS, BYTE_TOKENIZER, GOOD_FROM, MOST_BITS, PACK_END_ID, SEQUENCE_TOKENS, SHINGLE_WORDS, TOXIC_FROM,
+    WORD_TOKENIZER, held_out, held_out_quality, searched_label,
 )
+from slotwise.llm.twins import LLM_ORACLES  # noqa: F401
 from slotwise.sources.staging import stage, staging_path
 
 
@@ -77,6 +82,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = passages.fit(docs, table(spark, sf_dir, "labels").where(~held_out_quality()))
+    return passages.score(docs.select("doc_id", "text"), net).select(
+        "doc_id", held_out_quality().alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings"), searched_label(), F.col("vec_id") % ANCHOR_EVERY == 0)
+
+
 LLM_QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
@@ -88,10 +110,10 @@ LLM_QUERIES = {
     "op8_line_field": op8_line_field,
     "op9_projection_passes": op9_projection_passes,
     "op10_simhash": op10_simhash,
+    "op11_passage_attention": op11_passage_attention,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
 LLM_QUERIES = {name: importable_by_workers(query) for name, query in LLM_QUERIES.items()}
-
-#: Tokenizers, trained models, wavelet files and iterations over links have no SQL; tests/llm checks them otherwise.
-LLM_ORACLES: dict[str, str] = {}
