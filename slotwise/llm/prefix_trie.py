@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from slotwise.sources.staging import stage
 
 #: Sequences of the first batch, and how many times as many each later batch has.
-FIRST_BATCH, GROWTH = 2_048, 8
+FIRST_BATCH, GROWTH = 2_048, 32
 #: Turns of a conversation that are summed in one group, as a power of two.
 BLOCK_SHIFT = 12
 #: Conversation ids that are joined to one piece of text before they are hashed.
