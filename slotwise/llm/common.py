@@ -67,7 +67,7 @@ def without_cycle_search() -> Iterator[None]:
             gc.enable()
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def batch_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of Arrow batches with at most SLICE_CHARS characters of text each, or one longer text."""
     for batch in batches:
         texts = batch.column(column)
@@ -76,11 +76,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         start = taken = 0
         for i, size in enumerate(sizes.tolist()):
             if i > start and taken + size > SLICE_CHARS:
-                yield batch.slice(start, i - start), texts.slice(start, i - start).to_pylist()
+                yield batch.slice(start, i - start)
                 start, taken = i, 0
             taken += size
         if start < len(sizes):
-            yield batch.slice(start), texts.slice(start).to_pylist()
+            yield batch.slice(start)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The parts that batch_slices yields, each with its texts as a list."""
+    for part in batch_slices(batches, column):
+        yield part, part.column(column).to_pylist()
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:

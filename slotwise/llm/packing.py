@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from slotwise.llm.common import id_field, ids_and_texts, text_slices
+from slotwise.llm.common import batch_slices, id_field, ids_and_texts
 from slotwise.llm.library_tokens import library_tokens
 
 #: Shortest exact piece; what is left of a document below it stays whole if its class fills a bin.
@@ -106,9 +106,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024
             return out
 
         id_type = None
-        for batch, texts in text_slices(batches):
+        for batch in batch_slices(batches):
             id_type = batch.schema.field("doc_id").type
-            ids, lengths = tokens.encode_texts(texts)
+            ids, lengths = tokens.encode(batch.column("text"))
             bounds = np.concatenate([[0], np.cumsum(lengths)])
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 own = np.append(ids[bounds[i]:bounds[i + 1]], end_id).astype("<u4")

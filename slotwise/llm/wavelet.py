@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from slotwise.llm.common import ids_and_texts, text_slices
+from slotwise.llm.common import batch_slices, ids_and_texts
 from slotwise.llm.library_tokens import library_tokens
 from slotwise.sources.staging import stage
 
@@ -24,6 +24,11 @@ BLOCK_BITS = 1 << 17
 _MAGIC = b"WVM1"
 
 
+def _narrow(width: int) -> type:
+    """The narrowest type of ids of so many bits; planes move half the bytes with it."""
+    return np.uint16 if width <= 16 else np.uint32
+
+
 class WaveletMatrix:
     """A sequence of ids below 2^width as `width` bit-planes.
 
@@ -41,12 +46,12 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, width: int, block_bits: int = BLOCK_BITS) -> WaveletMatrix:
         press = zstandard.ZstdCompressor(level=1).compress
-        row = np.ascontiguousarray(ids, np.uint32)
-        if len(row) and int(row.max()) >> width:
+        if len(ids) and int(ids.max()) >> width:
             raise ValueError(f"an id needs more than {width} bits")
+        row = np.ascontiguousarray(ids, _narrow(width))
         zeros, ranks, blocks = [], [], []
         for level in range(width):
-            bits = (row >> np.uint32(width - 1 - level)) & np.uint32(1) == 1
+            bits = (row & row.dtype.type(1 << (width - 1 - level))) != 0
             starts = range(0, len(row), block_bits)
             ones = np.array([np.count_nonzero(bits[s:s + block_bits]) for s in starts], np.int64)
             ranks.append(np.cumsum(ones) - ones)
@@ -152,15 +157,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in their order, plane by plane from the last one up."""
-        row = np.zeros(self.n, np.uint32)
+        row = np.zeros(self.n, _narrow(self.width))
         for level in reversed(range(self.width)):
             blocks = [self._bits(level, b) for b in range(len(self.blocks[level]))]
             bits = np.concatenate(blocks).astype(bool) if blocks else np.zeros(0, bool)
-            above = np.empty(self.n, np.uint32)
+            above = np.empty(self.n, row.dtype)
             above[~bits] = row[:self.zeros[level]]
-            above[bits] = row[self.zeros[level]:] | np.uint32(1 << (self.width - 1 - level))
+            above[bits] = row[self.zeros[level]:] | row.dtype.type(1 << (self.width - 1 - level))
             row = above
-        return row
+        return row.astype(np.uint32)
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, width: int = 16) -> None:
@@ -173,7 +178,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, w
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = library_tokens(tokenizer_path, False)
+        tokens = library_tokens(tokenizer_path, False, lower_case=True)
         task, part = TaskContext.get().partitionId(), 0
         names, lengths, ids, held, id_type = [], [], [], 0, None
 
@@ -185,9 +190,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, w
                  pa.array([payload], pa.binary())],
                 ["task", "part", "n_tokens", "doc_ids", "doc_tokens", "payload"])
 
-        for batch, texts in text_slices(batches):
+        for batch in batch_slices(batches):
             id_type = batch.schema.field("doc_id").type
-            flat, counts = tokens.encode_texts(texts)
+            flat, counts = tokens.encode(batch.column("text"))
             ends = np.cumsum(counts)
             ids.append(np.insert(flat, ends, end_id))
             names += batch.column("doc_id").to_pylist()

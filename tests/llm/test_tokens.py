@@ -33,7 +33,6 @@ def own_bpe():
 
 def _library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -57,19 +56,49 @@ def test_hash_is_minimal_and_perfect():
 ALPHABET = "ab, ' \n\tsÉß1.!日\xa0\x85🎉"
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=ALPHABET, max_size=40) | st.text(max_size=20), max_size=4))
+FRAGMENTS = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "\n", ".", ", ", ". ", ".\n", "...", "!, ", "word",
+             "Word", "don't", "É", "É", "ΑΣ", "İ", "K", "12", "я, ", "ß. ", "×. ", "\t", "\r\n", "  "]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=40) | st.text(max_size=20) | st.lists(
+    st.sampled_from(FRAGMENTS), max_size=12).map("".join), max_size=4))
 def test_any_text_like_the_libraries(public_bpe, own_bpe, byte_ids, word_ids, texts):
     for encode, want in (
         (own_bpe.encode_texts, public_bpe.encode_ordinary),
         (library_tokens.library_tokens(BYTE_TOKENIZER, True).encode_texts, byte_ids),
-        (library_tokens.library_tokens(WORD_TOKENIZER, False).encode_texts, word_ids),
+        (library_tokens.library_tokens(WORD_TOKENIZER, False, lower_case=True).encode_texts, word_ids),
     ):
         ids, lengths = encode(texts)
         parts = np.split(ids, np.cumsum(lengths)[:-1]) if texts else []
         assert [p.tolist() for p in parts] == [want(t) for t in texts]
 
 
+def test_names_of_special_tokens_are_ids_of_their_own(byte_ids, word_ids):
+    text = "a <|endoftext|> b"
+    assert byte_ids(text) == [64, 220, 50256, 275] and word_ids(text) == [320, 49407, 321]
+    for path, space, want in ((BYTE_TOKENIZER, True, byte_ids), (WORD_TOKENIZER, False, word_ids)):
+        assert library_tokens.library_tokens(path, space, not space).encode_texts([text])[0].tolist() == want(text)
+
+
+def test_a_full_piece_table_forgets_and_goes_on(byte_ids, monkeypatch):
+    monkeypatch.setattr(library_tokens, "MEMO_ENTRIES", 6)
+    tokens = library_tokens.LibraryTokens(BYTE_TOKENIZER, True)
+    for i in range(12):
+        texts = [f"word{i} some other{i % 3} words, here", "", "  twice  spaced", "a <|endoftext|>", f"word{i - 1} again"]
+        ids, lengths = tokens.encode_texts(texts)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(lengths)[:-1])] == [byte_ids(t) for t in texts]
+
+
+def test_piece_hashes_tell_pieces_apart():
+    pieces = sorted({chr(97 + i % 26) * (i % 40) + str(i % 97) for i in range(5000)} | {"", "\x00", "\x00\x00", "ab", "ba", "é"})
+    first, second = library_tokens.piece_hashes(library_tokens.pa.array(pieces))
+    assert len(set(first.tolist())) == len(set(second.tolist())) == len(pieces)
+    assert (first != second).all()
+    part = library_tokens.pa.array(pieces).slice(7, 20)
+    assert library_tokens.piece_hashes(part)[0].tolist() == first[7:27].tolist()
+
+
 def test_memo_keeps_early_pieces():
     memo = bpe.PieceMemo(lambda pieces: bpe.joined([[ord(c) for c in p] for p in pieces]), 4)
     for texts in ([["a", "b", "c"]], [["d", "e", "ff"], []], [["a", "ff", "c"]]):
