@@ -206,7 +206,23 @@ _ORDER_MOMENTS = (
     + _moments(_RUN_COLS, "ol_long", "ol_m0") + "," + _typed("order_level", "ol_m0", "ol_m"))
 _NO_ORDER_COUNT = "WHERE NOT (kpi_type = 'per_order' AND kpi = 'order_count')"
 
-_NINE_DIGITS = "CASE WHEN {0} IS NOT NULL THEN CAST(printf('%.8e', {0}) AS DOUBLE) END AS {0}"
+# Sums of whole parts and billionths, as wide integers; deviations from the whole number next to the mean.
+_EXACT_MOMENTS = """
+parts AS (
+  SELECT zone_group_identifier, variant, kpi, count(v) AS n, min(v) AS low, max(v) AS high,
+    sum(floor(v)::HUGEINT) * 1000000000 + sum(round_even((v - floor(v)) * 1e9::DOUBLE, 0)::HUGEINT) AS s,
+    sum(floor(v * v)::HUGEINT) * 1000000000 + sum(round_even((v * v - floor(v * v)) * 1e9::DOUBLE, 0)::HUGEINT) AS q
+  FROM long_rows GROUP BY ALL),
+centred AS (
+  SELECT *, floor(((s // 1000000000)::DOUBLE + (s % 1000000000)::DOUBLE / 1e9::DOUBLE) / n + 0.5::DOUBLE)::HUGEINT AS c FROM parts),
+deviations AS (
+  SELECT *, (s - n * c * 1000000000)::DOUBLE / 1e9::DOUBLE AS d,
+    (q - 2 * c * s + n * c * c * 1000000000)::DOUBLE / 1e9::DOUBLE AS dd
+  FROM centred)
+SELECT zone_group_identifier, variant, kpi, n,
+  CASE WHEN low = high THEN low WHEN n > 0 THEN c::DOUBLE + d / n::DOUBLE END AS mean,
+  CASE WHEN n > 1 THEN (CASE WHEN low = high THEN 0.0::DOUBLE ELSE greatest(dd - d * (d / n::DOUBLE), 0.0::DOUBLE) END) / (n - 1)::DOUBLE END AS variance
+FROM deviations"""
 
 RESULT_ROWS = """
 fx_runs AS (
@@ -550,8 +566,7 @@ SELECT zone_group_identifier, time_zone_unit_id, variant, {_ratios()}, order_cou
   count(DISTINCT platform_order_code) AS order_count, {_means()} FROM allocated WHERE day_num <= 28 GROUP BY 1, 2, 3),
 per_order AS (SELECT zone_group_identifier, variant, {_ratios()}, order_count, {', '.join(LOGISTICS_KPIS)} FROM tot),
 {_long('zone_group_identifier', 'per_order', _PER_ORDER_KPIS, 'long_rows')},
-{_moments('zone_group_identifier', 'long_rows', 'm')}
-SELECT zone_group_identifier, variant, kpi, n, {_NINE_DIGITS.format('mean')}, {_NINE_DIGITS.format('variance')} FROM m""",
+{_EXACT_MOMENTS}""",
     "welch_slot_tot": f"WITH {RUN_ORDERS}{_TOT_MOMENTS}, {_welch('tot_m')} SELECT * FROM results",
     "welch_slot_per_order": f"WITH {RUN_ORDERS}{_PER_ORDER_MOMENTS}, {_welch('po_m')} SELECT * FROM results",
     "welch_order_level": f"WITH {RUN_ORDERS}{_ORDER_MOMENTS}, {_welch('ol_m')} SELECT * FROM results",

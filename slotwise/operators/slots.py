@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import ALL_KPIS, CUSTOMER_KPIS, LOGISTICS_KPIS, Allocation, StudyGrid, window_seconds
+from slotwise.functions import exact
 from slotwise.functions.scalars import epoch_seconds, half_even
 from slotwise.operators.allocation import (
     add_runs, attach_slot_variant, slot_index, slot_uid, slot_variant, window_label,
@@ -24,6 +25,13 @@ from slotwise.operators.zones import GROUP, SESSION_TS, with_numeric_kpis
 UNIT_KEYS = (GROUP, "time_zone_unit_id", "variant")
 
 
+def with_totals(sums: DataFrame, kpis: Sequence[str]) -> DataFrame:
+    """Add each KPI's sum s_ as a double from its exact parts w_ and b_, which go."""
+    parts = {f"{p}_{k}" for k in kpis for p in "wb"}
+    return sums.selectExpr(
+        *[f"`{c}`" for c in sums.columns if c not in parts], *[f"{exact.total(f'w_{k}', f'b_{k}')} AS s_{k}" for k in kpis])
+
+
 def _merge_counts(sums: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the distinct order counts to the sums of the same keys."""
     columns = [c for c in sums.columns if c not in keys]
@@ -37,7 +45,8 @@ def _merge_counts(sums: DataFrame, counts: DataFrame, keys: Sequence[str]) -> Da
 def _slot_sums(rows: DataFrame, keys: Sequence[str], with_logistics: bool) -> DataFrame:
     """KPI sums and distinct orders per slot; KPI sums and order codes are shuffled apart."""
     rows = with_numeric_kpis(rows)
-    measures = [f"sum({k}) AS s_{k}" for k in (ALL_KPIS if with_logistics else CUSTOMER_KPIS)]
+    kpis = ALL_KPIS if with_logistics else CUSTOMER_KPIS
+    measures = [e for k in kpis for e in exact.sums(k, f"w_{k}", f"b_{k}")]
     if with_logistics:
         measures += [f"count({k}) AS n_{k}" for k in LOGISTICS_KPIS]
     orders = (
@@ -45,7 +54,7 @@ def _slot_sums(rows: DataFrame, keys: Sequence[str], with_logistics: bool) -> Da
         .select(*keys, "platform_order_code").distinct()
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("order_count"))
     )
-    return _merge_counts(rows.groupBy(*keys).agg(*map(F.expr, measures)), orders, keys)
+    return with_totals(_merge_counts(rows.groupBy(*keys).agg(*map(F.expr, measures)), orders, keys), kpis)
 
 
 def allocated_sums(allocated: DataFrame, with_logistics: bool = True) -> DataFrame:
@@ -128,16 +137,16 @@ def _grid_rows(prepared: DataFrame, grid: StudyGrid) -> DataFrame:
 
 
 def granule_facts(prepared: DataFrame, grid: StudyGrid, kpis: Sequence[str] = ALL_KPIS) -> DataFrame:
-    """Per zone, granule and first covering length: count, sum, squared deviations and range of every KPI.
+    """Per zone, granule and first covering length: count, exact sums of values and squares, and range of every KPI.
 
     The one pass over the KPI values; partial sums leave the scan, so a hot zone costs no
-    more shuffle than any other.
+    more shuffle than any other. Sums are whole numbers: the same whatever the order of the rows.
     """
     rows = with_numeric_kpis(_grid_rows(prepared, grid), kpis)
     measures = []
     for k in kpis:
         measures += [
-            f"count({k}) AS n_{k}", f"sum({k}) AS s_{k}", f"var_pop({k}) * count({k}) AS q_{k}",
+            f"count({k}) AS n_{k}", *exact.sums(k, f"w_{k}", f"b_{k}"), *exact.sums(f"({k} * {k})", f"qw_{k}", f"qb_{k}"),
             f"min({k}) AS lo_{k}", f"max({k}) AS hi_{k}",
         ]
     return rows.groupBy("zone_group", "zone_id", "granule", "first_length").agg(*map(F.expr, measures))
@@ -222,10 +231,10 @@ def _masked_order_counts(narrow: DataFrame, grid: StudyGrid, span: int) -> DataF
 def grid_slots(facts: DataFrame, order_counts: DataFrame, grid: StudyGrid) -> DataFrame:
     """Sums per zone, window, slot and experiment length, with distinct orders."""
     keys = ["zone_group", "zone_id", "window_s", "slot_idx", "exp_length"]
-    sums = [f"s_{k}" for k in ALL_KPIS] + [f"n_{k}" for k in LOGISTICS_KPIS]
+    sums = [f"{p}_{k}" for k in ALL_KPIS for p in "wb"] + [f"n_{k}" for k in LOGISTICS_KPIS]
     # Windows and lengths expand inside the scan of the facts; the sums combine before the shuffle.
     expanded = _per_length(_per_window(facts, grid), grid).select(*keys, *sums)
-    return _merge_counts(expanded, order_counts.select(*keys, "order_count"), keys)
+    return with_totals(_merge_counts(expanded, order_counts.select(*keys, "order_count"), keys), ALL_KPIS)
 
 
 def with_variants(slots: DataFrame, grid: StudyGrid) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import ALL_KPIS, LOGISTICS_KPIS, StudyGrid
+from slotwise.functions import exact
 from slotwise.functions.fdist import f_survival
 from slotwise.functions.scalars import half_even, significance
 from slotwise.operators.allocation import run_id, window_label
@@ -24,17 +25,47 @@ _NOISE = 1e-12
 KPI_TYPES = ("tot", "per_order")
 
 
+def _from_parts(source: str) -> str:
+    """SQL of (mean, variance) from a struct of count n, exact sums w, b, qw, qb and range lo, hi.
+
+    Deviations are taken from the whole number next to the mean, exactly; the range tells a constant KPI.
+    """
+    n, w, b, qw, qb = (f"{source}.{c}" for c in ("n", "w", "b", "qw", "qb"))
+    c = f"get(array({exact.centre(n, w, b)}), 0)"
+    count = f"CAST({n} AS DOUBLE)"
+    around = (
+        f"get(transform(array({c}), c -> struct(CAST(c AS DOUBLE) AS c, {exact.centred_sum(n, w, b, 'c')} AS d, "
+        f"{exact.centred_squares(n, w, b, qw, qb, 'c')} AS q)), 0)")
+    return (
+        f"get(transform(array({around}), z -> struct("
+        f"IF({source}.lo = {source}.hi, {source}.lo, z.c + try_divide(z.d, {count})) AS mean, "
+        f"CASE WHEN {n} > 1 THEN IF({source}.lo = {source}.hi, 0D, greatest(z.q - z.d * (z.d / {count}), 0D)) / ({count} - 1D) END"
+        " AS variance)), 0)")
+
+
 def moments(df: DataFrame, keys: Sequence[str], kpis: Sequence[str], variant: str = "variant") -> DataFrame:
     """Count, mean and sample variance of every KPI per key and variant (wide rows in, long rows out).
 
     Rows without a variant must have been left out, as the slot frames do. The rows are aggregated as wide as they
-    are; only the result, a row per variant, becomes long.
+    are; only the result, a row per variant, becomes long. All sums are exact, so the order of rows changes no bit.
     """
-    wide = df.groupBy(*keys, variant).agg(*[
-        F.expr(f"{f}(CAST(`{k}` AS DOUBLE)) AS {p}{i}")
-        for i, k in enumerate(kpis) for p, f in (("n", "count"), ("m", "avg"), ("v", "var_samp"))])
-    cells = ", ".join(f"struct('{k}' AS kpi, n{i} AS n, m{i} AS mean, v{i} AS variance)" for i, k in enumerate(kpis))
-    return wide.selectExpr(*keys, variant, f"inline(array({cells}))")
+    values = df.selectExpr(*keys, variant, *[
+        f"{exact.known(f'CAST(`{k}` AS DOUBLE)')} AS x{i}" for i, k in enumerate(kpis)])
+    wide = values.groupBy(*keys, variant).agg(*[
+        F.expr(e) for i in range(len(kpis)) for e in (
+            f"count(x{i}) AS n{i}", *exact.sums(f"x{i}", f"w{i}", f"b{i}"),
+            *exact.sums(f"(x{i} * x{i})", f"qw{i}", f"qb{i}"), f"min(x{i}) AS lo{i}", f"max(x{i}) AS hi{i}")])
+    parts = ("n", "w", "b", "qw", "qb", "lo", "hi")
+    return _named_moments(wide, [*keys, variant], [(k, {p: f"{p}{i}" for p in parts}) for i, k in enumerate(kpis)])
+
+
+def _named_moments(wide: DataFrame, keys: Sequence[str], kpis: Sequence[tuple[str, dict[str, str]]]) -> DataFrame:
+    """A row per KPI with n, mean and variance; each KPI names the columns of its parts."""
+    cells = ", ".join(
+        f"struct('{k}' AS kpi, {', '.join(f'{column} AS {p}' for p, column in own.items())})" for k, own in kpis)
+    long = wide.selectExpr(*keys, f"explode(array({cells})) AS cell")
+    return long.selectExpr(*keys, "cell.kpi AS kpi", "cell.n AS n", f"{_from_parts('cell')} AS of").select(
+        *keys, "kpi", "n", "of.mean", "of.variance")
 
 
 def welch_statistics(moments_df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -100,33 +131,16 @@ def _split_kpi(df: DataFrame) -> DataFrame:
 def order_level_moments(facts: DataFrame, grid: StudyGrid, kpis: Sequence[str] = ALL_KPIS) -> DataFrame:
     """Moments over orders of every run, merged from the granule facts.
 
-    Sums are taken around the zone group's mean, so that they add up with little loss of
-    digits; the range tells a constant KPI exactly. `facts` is read twice: pass a staged table.
+    The facts hold exact sums, so merging them loses nothing, in whatever order.
     """
-    centres = facts.groupBy("zone_group").agg(*[
-        F.expr(f"coalesce(try_divide(sum(s_{k}), CAST(sum(n_{k}) AS DOUBLE)), 0D) AS c_{k}") for k in kpis])
-    # One row per configured zone group.
-    centred = facts.join(F.broadcast(centres), "zone_group")
-    spread = {}
-    for k in kpis:
-        shift = f"(try_divide(s_{k}, CAST(n_{k} AS DOUBLE)) - c_{k})"
-        spread[f"d_{k}"] = F.expr(f"coalesce(n_{k} * {shift}, 0D)")
-        spread[f"q_{k}"] = F.expr(f"coalesce(q_{k} + n_{k} * {shift} * {shift}, 0D)")
-    combine = [
-        f"{f}({p}_{k}) AS {p}_{k}" for k in kpis
-        for p, f in (("n", "sum"), ("d", "sum"), ("q", "sum"), ("lo", "min"), ("hi", "max"), ("c", "max"))]
+    parts = {"n": "sum", "w": "sum", "b": "sum", "qw": "sum", "qb": "sum", "lo": "min", "hi": "max"}
+    combine = [f"{f}({p}_{k}) AS {p}_{k}" for k in kpis for p, f in parts.items()]
     keys = ["zone_group", "zone_id", "window_s", "slot_idx", "exp_length"]
-    slots = _per_length(_per_window(centred.withColumns(spread), grid), grid).groupBy(*keys).agg(*map(F.expr, combine))
+    slots = _per_length(_per_window(facts, grid), grid).groupBy(*keys).agg(*map(F.expr, combine))
     merged = with_variants(slots, grid).groupBy(*RUN_KEYS, "variant").agg(*map(F.expr, combine))
-    per_kpi = ", ".join(
-        f"struct('{k}' AS kpi, n_{k} AS n, d_{k} AS d, q_{k} AS q, lo_{k} AS lo, hi_{k} AS hi, c_{k} AS c)"
-        for k in kpis)
-    return merged.selectExpr(*RUN_KEYS, "variant", f"inline(array({per_kpi}))").selectExpr(
-        *RUN_KEYS, "variant", "'order_level' AS kpi_type", "kpi", "n",
-        "IF(lo = hi, lo, c + try_divide(d, CAST(n AS DOUBLE))) AS mean",
-        "try_divide(IF(lo = hi, 0D, greatest(q - d * try_divide(d, CAST(n AS DOUBLE)), 0D)), CAST(n AS DOUBLE) - 1D)"
-        " AS variance",
-    )
+    return _named_moments(
+        merged, [*RUN_KEYS, "variant"], [(k, {p: f"{p}_{k}" for p in parts}) for k in kpis]).withColumn(
+        "kpi_type", F.lit("order_level"))
 
 
 def p_values(moments_df: DataFrame, grid: StudyGrid) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import ALL_KPIS, ZoneGroup
+from slotwise.functions import exact
 from slotwise.functions.scalars import epoch_seconds, from_epoch_seconds, iso_timestamp, utc_date, week_label
 from slotwise.operators.joins import join_dimension
 from slotwise.sources.tables import zone_group_table
@@ -74,8 +75,8 @@ def prepare_orders(orders: DataFrame, groups: Sequence[ZoneGroup], starts: DataF
 
 
 def with_numeric_kpis(df: DataFrame, kpis: Sequence[str] = ALL_KPIS) -> DataFrame:
-    """Cast the KPI columns to double; text that is no number is an error."""
-    return df.withColumns({k: F.expr(f"CAST({k} AS DOUBLE)") for k in kpis})
+    """Cast the KPI columns to double; text that is no number is an error, a value that is not finite is missing."""
+    return df.withColumns({k: F.expr(exact.known(f"CAST({k} AS DOUBLE)")) for k in kpis})
 
 
 def with_week(prepared: DataFrame) -> DataFrame:
