@@ -72,6 +72,15 @@ def fx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).selectExpr("*", "revenue_local - delivery_costs_local AS gross_profit_local")
 
 
+def fx_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uneven, gapped and overlapping slots per zone group from `supplier`: minutes to weeks long, a few empty."""
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "concat('zg_', s_suppkey % 3 + 1) AS zone_group_identifier", "s_suppkey AS slot_key",
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(s_suppkey * 7919 % 50000 AS INT)) AS slot_from",
+        "CAST(pow(s_suppkey % 11, 3) * 20 AS INT) AS minutes",
+    ).selectExpr("zone_group_identifier", "slot_key", "slot_from", "slot_from + make_dt_interval(0, 0, minutes) AS slot_to")
+
+
 def ring(corners: list[tuple[float, float]]) -> str:
     return "array(" + ", ".join(
         f"struct(lon + ({dx}D) AS lon, lat + ({dy}D) AS lat)" for dx, dy in corners) + ")"

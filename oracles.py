@@ -657,6 +657,14 @@ WHERE created_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND vendor_pr
 SELECT p.platform_order_code, p.zone_group_identifier, b.interval_no FROM prepared p LEFT JOIN bins b
 ON p.zone_group_identifier = b.zone_group_identifier AND p.dps_sessionid_created_at_utc >= b.interval_start
   AND p.dps_sessionid_created_at_utc < b.interval_end""",
+    "interval_range_join": f"""WITH {PREPARED}, fx_slots AS (
+  SELECT 'zg_' || (s_suppkey % 3 + 1) AS zone_group_identifier, s_suppkey AS slot_key,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(s_suppkey * 7919 % 50000) AS slot_from,
+    to_minutes(CAST(pow(s_suppkey % 11, 3) * 20 AS BIGINT)) AS long_is
+  FROM supplier)
+SELECT p.platform_order_code, p.zone_group_identifier, z.slot_key FROM prepared p LEFT JOIN fx_slots z
+ON p.zone_group_identifier = z.zone_group_identifier AND p.dps_sessionid_created_at_utc >= z.slot_from
+  AND p.dps_sessionid_created_at_utc < z.slot_from + z.long_is""",
     "v1_slot_join": f"""WITH {PREPARED}{_ZONE_SLOTS}{_PLACED}
 SELECT p.platform_order_code, p.zone_group_identifier, p.zone_name, p.interval_no, z.time_zone_unit_id
 FROM placed p LEFT JOIN zone_slots z ON p.zone_group_identifier = z.zone_group_identifier AND p.interval_no = z.interval_no

@@ -18,6 +18,7 @@ from slotwise.operators import slots as sl
 from slotwise.operators import warehouse as wh
 from slotwise.operators import welch as we
 from slotwise.operators import zones as zo
+from slotwise.operators.interval_join import join_intervals
 from slotwise.plans import study
 from slotwise.sources import tables as tb
 from slotwise.sources.staging import stage, staging_path
@@ -405,6 +406,13 @@ def interval_join(spark, sf):
         "platform_order_code", GROUP, "interval_no")
 
 
+def interval_range_join(spark, sf):
+    """Orders in slots of any shape; orders outside all slots stay."""
+    rows = prepared(spark, sf).select("platform_order_code", GROUP, zo.SESSION_TS)
+    return join_intervals(rows, fx.fx_slots(spark, sf), zo.SESSION_TS, "slot_from", "slot_to", [GROUP], "left").select(
+        "platform_order_code", GROUP, "slot_key")
+
+
 def v1_slot_join(spark, sf):
     rows = zo.within_exp_length(prepared(spark, sf), IV_DAYS)
     return iv.with_zone_slot(rows, IV_WINDOW, IV_DAYS, IV_SALT).select(
@@ -469,6 +477,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     relabel_alpha, kpi_family, pval_histogram, pval_histogram_dense, report_parameters, pval_hist_pct, pval_hist_calcs,
     scan_nested, geo_zones, entity_region, semi_join_entities, order_kpis, revenue_profit, small_order_fee,
     delivery_fee_paid, dow_day_num, point_in_zone,
-    slot_series, equal_width_bins, slot_zone_grid, interval_join, v1_slot_join,
+    slot_series, equal_width_bins, slot_zone_grid, interval_join, interval_range_join, v1_slot_join,
     scan_csv_gzip, scan_csv_gzip_inferred, infer_datetime_columns, ctas_replace, write_results, report_csv,
 )} | {"iso_timestamp": iso_timestamps, "sql_variables": scope_variables}
