@@ -109,6 +109,30 @@ def fx_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fx_globe_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat zones, and from `nation` wide zones with long edges: over the date line, and one around each pole."""
+    def east(degrees: str) -> str:
+        return f"CAST(pmod({degrees} + 180, 360) - 180 AS DOUBLE)"
+
+    def corners(points: list[tuple[str, str]]) -> str:
+        return "array(array(" + ", ".join(f"struct({lon} AS lon, CAST({lat} AS DOUBLE) AS lat)" for lon, lat in points) + "))"
+
+    wide = corners([(east("c - 40"), "-10"), (east("c + 40"), "-10"), (east("c + 40"), "30"), (east("c - 40"), "30")])
+    polar = corners([(east(f"c + {120 * i}"), f"IF(n_nationkey = 0, {60 + 3 * i}, {-55 - 2 * i})") for i in range(3)])
+    nations = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_nationkey * 15 - 180 AS c").selectExpr(
+        "concat('n', n_nationkey) AS zone", f"IF(n_nationkey < 2, {polar}, {wide}) AS shape")
+    return fx_zones(spark, sf_dir).selectExpr("concat('z', zone_id) AS zone", "shape").unionByName(nations)
+
+
+def fx_globe_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points all over the globe from `customer`, and the delivery points."""
+    globe = table(spark, sf_dir, "customer").selectExpr(
+        "concat('c', c_custkey) AS point", "CAST(c_custkey * 37 % 360 - 180 AS DOUBLE) + 0.125D AS lon",
+        "CAST(c_custkey * 53 % 178 - 89 AS DOUBLE) + 0.25D AS lat")
+    return globe.unionByName(fx_locations(spark, sf_dir).selectExpr(
+        "order_id AS point", "delivery_location.longitude AS lon", "delivery_location.latitude AS lat"))
+
+
 def fx_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested countries; at most 5 cities and 5 zones in an array, whatever the scale."""
     cities = fx_zones(spark, sf_dir).groupBy("country_no", "city_id").agg(F.expr(

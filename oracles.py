@@ -427,6 +427,49 @@ contained AS (
                      AND py BETWEEN least(y1, y2) AND greatest(y1, y2) THEN 1 END) = 0)"""
 
 
+def _turns(sql: str) -> str:
+    """turn(x) in the text becomes the angle from -180 up to but not 180."""
+    while (at := sql.find("turn(")) >= 0:
+        depth, end = 1, at + 5
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        x = sql[at + 5:end - 1]
+        sql = f"{sql[:at]}(({x}) - 360.0::DOUBLE * floor((({x}) + 180.0::DOUBLE) / 360.0::DOUBLE)){sql[end:]}"
+    return sql
+
+
+# Where an edge's great circle meets a point's meridian follows from the tangents of its ends' latitudes.
+GLOBE = f"""
+globe_zones AS (
+  SELECT 'z' || zone_id AS zone, unnest(shape) AS ring FROM fx_zones
+  UNION ALL
+  SELECT 'n' || n_nationkey, CASE WHEN n_nationkey < 2
+      THEN list_transform([0, 1, 2], lambda i: {{'lon': turn(c + 120 * i), 'lat': CASE WHEN n_nationkey = 0 THEN 60 + 3 * i ELSE -55 - 2 * i END::DOUBLE}})
+      ELSE [{{'lon': turn(c - 40), 'lat': -10.0::DOUBLE}}, {{'lon': turn(c + 40), 'lat': -10.0::DOUBLE}},
+            {{'lon': turn(c + 40), 'lat': 30.0::DOUBLE}}, {{'lon': turn(c - 40), 'lat': 30.0::DOUBLE}}] END
+  FROM (SELECT n_nationkey, n_nationkey * 15 - 180 AS c FROM nation)),
+globe_edges AS (
+  SELECT zone, ring[i] AS a, ring[i % len(ring) + 1] AS b FROM globe_zones, unnest(range(1, len(ring) + 1)) AS corner(i)),
+globe_east AS (
+  SELECT zone, CASE WHEN turn(b.lon - a.lon) >= 0 THEN a ELSE b END AS w, CASE WHEN turn(b.lon - a.lon) >= 0 THEN b ELSE a END AS e,
+    abs(turn(b.lon - a.lon)) AS d
+  FROM globe_edges WHERE a <> b),
+globe_points AS (
+  SELECT 'c' || c_custkey AS point, (c_custkey * 37 % 360 - 180)::DOUBLE + 0.125::DOUBLE AS lon, (c_custkey * 53 % 178 - 89)::DOUBLE + 0.25::DOUBLE AS lat
+  FROM customer
+  UNION ALL SELECT order_id, lon, lat FROM fx_locations WHERE lon IS NOT NULL),
+globe_met AS (
+  SELECT point, zone, lat, w, e, d, turn(lon - w.lon) AS u FROM globe_points, globe_east WHERE turn(lon - w.lon) BETWEEN 0 AND d),
+globe_crossed AS (
+  SELECT *, CASE WHEN d > 0 THEN (tan(radians(w.lat)) * sin(radians(d - u)) + tan(radians(e.lat)) * sin(radians(u))) / sin(radians(d)) END AS height
+  FROM globe_met),
+globe_counts AS (
+  SELECT point, zone, count(*) FILTER (u < d AND height > tan(radians(lat))) AS north,
+    count(*) FILTER (height = tan(radians(lat)) OR u = 0 AND lat = w.lat OR u = d AND lat = e.lat
+      OR d = 0 AND lat BETWEEN least(w.lat, e.lat) AND greatest(w.lat, e.lat)) AS on_edge
+  FROM globe_crossed GROUP BY ALL)"""
+
 _COPIED = """order_placed_at_local region entity_id country_code city_name city_id zone_name zone_id zone_shape lon lat
 order_id platform_order_code vendor_price_scheme_type vendor_id vertical_type exchange_rate dps_delivery_fee_local
 dps_surge_fee_local dps_travel_time_fee_local delivery_fee_local commission_local joker_vendor_fee_local
@@ -650,6 +693,9 @@ WHERE created_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND vendor_pr
   FROM fx_sessions s JOIN fx_locations d ON s.entity_id = d.global_entity_id AND s.platform_order_code = d.order_id
   JOIN nested n ON s.entity_id = n.entity_id AND s.country_code = n.country_code AND s.zone_id = n.zone_id),
 {_contained('named')} SELECT order_id, zone_id, lon, lat FROM named WHERE row_no IN (SELECT row_no FROM contained)""",
+    "point_in_zone_geodesic": _turns(f"""WITH {FX_GEO}, {FX_SESSIONS}, {GLOBE}
+SELECT point, zone FROM globe_counts
+WHERE on_edge = 0 AND (north % 2 = 1) <> (zone = 'n0')"""),
     "slot_series": f"WITH {PREPARED}{_SERIES} SELECT zone_group_identifier, slot_no, slot_label, CAST(slot_label AS DATE) AS slot_date FROM series",
     "equal_width_bins": f"WITH {PREPARED}{_BINS} SELECT zone_group_identifier, slot_no, slot_label, interval_no, interval_start, interval_end FROM bins",
     "slot_zone_grid": f"WITH {PREPARED}{_ZONE_SLOTS} SELECT * FROM zone_slots",

@@ -18,6 +18,7 @@ from slotwise.operators import slots as sl
 from slotwise.operators import warehouse as wh
 from slotwise.operators import welch as we
 from slotwise.operators import zones as zo
+from slotwise.operators.geodesic import zones_of_points
 from slotwise.operators.interval_join import join_intervals
 from slotwise.plans import study
 from slotwise.sources import tables as tb
@@ -384,6 +385,11 @@ def point_in_zone(spark, sf):
     return inside.select("order_id", "zone_id", F.col("point.lon").alias("lon"), F.col("point.lat").alias("lat"))
 
 
+def point_in_zone_geodesic(spark, sf):
+    """Every point with the zones that hold it, edges along great circles."""
+    return zones_of_points(fx.fx_globe_points(spark, sf), fx.fx_globe_zones(spark, sf), "lon", "lat", "shape").select("point", "zone")
+
+
 # --- interval slots -------------------------------------------------------------------
 
 
@@ -476,7 +482,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     sig_counts, sig_share, sig_pct_grid, sig_pct_grid_order_level, sig_pct_grid_order_level_matching, overall_sig_slot, overall_sig_order,
     relabel_alpha, kpi_family, pval_histogram, pval_histogram_dense, report_parameters, pval_hist_pct, pval_hist_calcs,
     scan_nested, geo_zones, entity_region, semi_join_entities, order_kpis, revenue_profit, small_order_fee,
-    delivery_fee_paid, dow_day_num, point_in_zone,
+    delivery_fee_paid, dow_day_num, point_in_zone, point_in_zone_geodesic,
     slot_series, equal_width_bins, slot_zone_grid, interval_join, interval_range_join, v1_slot_join,
     scan_csv_gzip, scan_csv_gzip_inferred, infer_datetime_columns, ctas_replace, write_results, report_csv,
 )} | {"iso_timestamp": iso_timestamps, "sql_variables": scope_variables}

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.sources.staging import stage
+
+#: A key with more than one such share of all rows is dealt over parts of about that size: so many keys are hot at most.
+SHARES = 1_000
+
 # A table of configured values is sent to every executor up to this size.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -22,3 +27,22 @@ def join_dimension(
     if configured_rows is not None and configured_rows <= MAX_BROADCAST_ROWS:
         dim = F.broadcast(dim)
     return big.join(dim, list(on), how)
+
+
+def salted_join(probes: DataFrame, rows: DataFrame, place: Sequence[str]) -> DataFrame:
+    """Inner equi-join on `place` whose hot keys are known beforehand.
+
+    Rows of `probes` with a hot key are dealt over parts, and the key's few `rows` are copied to each. Keys are counted
+    first, with partial counts before the shuffle, so `probes` is read twice: pass something cheap to make again.
+    """
+    counts = stage(probes.groupBy(*place).agg(F.count(F.lit(1)).alias("__n")), "key-counts")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    salts = stage(counts.where(F.col("__n") * SHARES > F.lit(total)).select(
+        *place, F.ceil(F.col("__n") * SHARES / F.lit(max(total, 1))).cast("int").alias("__salts")), "hot-keys")
+    parts = F.coalesce("__salts", F.lit(1))
+    # At most SHARES rows, so the table is small whatever the probes.
+    dealt = probes.join(F.broadcast(salts), list(place), "left").withColumn(
+        "__salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("__salts")
+    copies = rows.join(salts, list(place), "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__salts")
+    return dealt.join(copies, [*place, "__salt"]).drop("__salt")
