@@ -721,6 +721,10 @@ WHERE p.day_num <= 28""",
     "infer_datetime_columns": """SELECT event_id, ts AS ts_text, event_type,
   CASE WHEN event_id % 2 = 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) ELSE 'unknown' END AS mixed,
   CASE WHEN event_id % 2 = 0 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) END AS gaps FROM events""",
+    "infer_datetime_formats": """SELECT event_id, date_trunc('second', ts) AS offsets, date_trunc('minute', ts) AS names,
+  date_trunc('second', ts) AS day_first, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS month_first,
+  CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%d/%m/%Y') ELSE strftime(ts, '%m/%d/%Y') END AS both_orders,
+  CASE WHEN event_id % 5 <> 0 THEN date_trunc('second', ts) END AS gaps, CAST(NULL AS VARCHAR) AS empty FROM events""",
     "ctas_replace": f"""WITH {FX_GEO} SELECT entity_id, country_code, city_name, city_id, zone_name, zone_id,
   len(flatten(zone_shape)) AS vertices FROM geo""",
     "write_results": f"WITH {FX_PVALS} SELECT {_PVAL_ROWS} FROM fx_pvals",

@@ -22,6 +22,7 @@ from slotwise.operators.geodesic import zones_of_points
 from slotwise.operators.interval_join import join_intervals
 from slotwise.plans import study
 from slotwise.sources import tables as tb
+from slotwise.sources.datetimes import infer_formats
 from slotwise.sources.staging import stage, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -456,6 +457,20 @@ def infer_datetime_columns(spark, sf):
     return tb.infer_datetime_columns(texts)
 
 
+def infer_datetime_formats(spark, sf):
+    """Mixed offsets, month names, day first, month first, both at once (stays text), gaps and an empty column."""
+    texts = fx.table(spark, sf, "events").selectExpr(
+        "event_id",
+        """CASE event_id % 3 WHEN 0 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+           WHEN 1 THEN concat(date_format(ts + INTERVAL 2 HOURS, 'yyyy-MM-dd HH:mm:ss'), '+02:00')
+           ELSE concat(date_format(ts - INTERVAL 330 MINUTES, 'yyyy/M/d HH:mm:ss'), ' -0530') END AS offsets""",
+        "IF(event_id % 2 = 0, date_format(ts, 'd MMM yyyy HH:mm'), date_format(ts, 'MMMM d, yyyy h:mm a')) AS names",
+        "date_format(ts, 'dd/MM/yyyy HH:mm:ss') AS day_first", "date_format(ts, 'M/d/yyyy') AS month_first",
+        "IF(event_id % 2 = 0, date_format(ts, 'dd/MM/yyyy'), date_format(ts, 'MM/dd/yyyy')) AS both_orders",
+        "IF(event_id % 5 = 0, ' ', date_format(ts, 'EEE, dd MMM yyyy HH:mm:ss')) AS gaps", "CAST(NULL AS STRING) AS empty")
+    return infer_formats(texts)
+
+
 def ctas_replace(spark, sf):
     path = staging_path(spark, "zones-table")
     name = "slotwise_zones_" + path[-32:]
@@ -484,5 +499,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     scan_nested, geo_zones, entity_region, semi_join_entities, order_kpis, revenue_profit, small_order_fee,
     delivery_fee_paid, dow_day_num, point_in_zone, point_in_zone_geodesic,
     slot_series, equal_width_bins, slot_zone_grid, interval_join, interval_range_join, v1_slot_join,
-    scan_csv_gzip, scan_csv_gzip_inferred, infer_datetime_columns, ctas_replace, write_results, report_csv,
+    scan_csv_gzip, scan_csv_gzip_inferred, infer_datetime_columns, infer_datetime_formats, ctas_replace, write_results, report_csv,
 )} | {"iso_timestamp": iso_timestamps, "sql_variables": scope_variables}

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotwise.config import ZoneGroup
+from slotwise.sources.datetimes import parsed as parsed_as
+from slotwise.sources.datetimes import vote
 from slotwise.sources.staging import staging_path
 
 # RFC 4180 quoting and microsecond timestamps, for reading and writing alike.
@@ -63,7 +65,10 @@ def read_csv_gzip(
 
 
 def infer_datetime_columns(df: DataFrame) -> DataFrame:
-    """Turn a text column into timestamps if it has values and all of them parse; else leave it as it is."""
+    """Turn a text column into timestamps if it has values and all of them parse; else leave it as it is.
+
+    ISO text first; what is not goes through the vote over other formats, in a second pass over these columns.
+    """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df
@@ -76,8 +81,10 @@ def infer_datetime_columns(df: DataFrame) -> DataFrame:
         F.struct(F.count(F.col(f"`{name}`")), F.count(parsed(name))).alias(str(i))
         for i, name in enumerate(texts)
     ]).first()
-    dates = [name for i, name in enumerate(texts) if seen[i][0] > 0 and seen[i][0] == seen[i][1]]
-    return df.withColumns({name: parsed(name) for name in dates})
+    plain = [name for i, name in enumerate(texts) if seen[i][0] > 0 and seen[i][0] == seen[i][1]]
+    others = vote(df, [name for i, name in enumerate(texts) if name not in plain and seen[i][0] > 0])
+    return df.withColumns({name: parsed(name) for name in plain} | {
+        name: parsed_as(name, reading) for name, reading in others.items()})
 
 
 def read_allocation(spark: SparkSession, path: str) -> DataFrame:
