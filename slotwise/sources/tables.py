@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -14,6 +13,7 @@ from slotwise.config import ZoneGroup
 from slotwise.sources.datetimes import parsed as parsed_as
 from slotwise.sources.datetimes import vote
 from slotwise.sources.staging import staging_path
+from slotwise.sources.versions import VersionedTable
 
 # RFC 4180 quoting and microsecond timestamps, for reading and writing alike.
 CSV_OPTIONS = {
@@ -113,15 +113,17 @@ def write_allocation_input(frame: DataFrame, path: str) -> None:
 def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """CREATE OR REPLACE TABLE name AS df; `path` keeps the files outside the staging folder.
 
-    The new rows are complete, in a folder of their own, before the name moves to them; a failure leaves
-    the table as it was. Files of earlier versions stay until their folder is removed.
+    The name is a view on the current version of a VersionedTable, so it moves in one step: readers meet the old rows or the
+    new ones, never none. A failure leaves the table as it was. Earlier versions stay until they are dropped.
+    A plain table that has the name is dropped once, when its new rows are written.
     """
     spark = df.sparkSession
-    version = f"{path.rstrip('/')}/{uuid.uuid4().hex}" if path else staging_path(spark, name)
-    df.write.parquet(version)
-    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-    spark.catalog.createTable(name, path=version, source="parquet")
-    return spark.table(name)
+    table = VersionedTable(spark, path or staging_path(spark, name))
+    version = table.replace(df)
+    if spark.catalog.tableExists(f"`{name}`") and spark.catalog.getTable(f"`{name}`").tableType != "VIEW":
+        spark.sql(f"DROP TABLE `{name}`")
+    spark.sql(f"CREATE OR REPLACE VIEW `{name}` AS SELECT * FROM parquet.`{table.location(version)}`")
+    return spark.table(f"`{name}`")
 
 
 def conform_results(df: DataFrame) -> DataFrame:
