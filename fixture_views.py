@@ -15,6 +15,8 @@ from slotwise.config import ALL_KPIS, CUSTOMER_KPIS, LOGISTICS_KPIS, OrderScope,
 
 GRID = StudyGrid(seed="42")
 
+WIDE_GRID = StudyGrid(window_hours=(1.5, 2, 7), num_variants=(2, 3), exp_lengths=(7, 14, 21, 28), seed="42")
+
 GROUPS = tuple(
     ZoneGroup(f"E{e}", 400 + e, tuple(f"zone_{z}" for z in range(e, 12, 3)), f"zg_{e + 1}") for e in range(3)
 )

@@ -602,6 +602,14 @@ SELECT platform_order_code, zone_group_identifier, dps_session_created_date,
     "run_keys": f"WITH {PREPARED}{RUNS} SELECT sim_run_id, run_key, run_salt FROM runs",
     "slot_totals": f"""WITH {ALLOCATED} SELECT zone_group_identifier, time_zone_unit_id, variant, {_totals()},
   count(DISTINCT platform_order_code) AS order_count FROM allocated WHERE day_num <= 28 GROUP BY 1, 2, 3""",
+    "slot_totals_wide_grid": f"""WITH {PREPARED}, cells AS (
+  SELECT p.*, w.w AS window_s, l.l AS exp_length, CAST(floor((ts_s - start_s) / w.w) AS BIGINT) AS slot_idx
+  FROM prepared p, (SELECT unnest([5400, 7200, 25200])::BIGINT AS w) w, (SELECT unnest([7, 14, 21, 28])::BIGINT AS l) l
+  WHERE p.day_num <= l.l)
+SELECT zone_group_identifier AS zone_group, zone_id, window_s, slot_idx, exp_length, count(DISTINCT platform_order_code) AS order_count,
+  round_even(coalesce(sum(gfv_local), 0.0::DOUBLE) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS gfv_local,
+  round_even(avg(actual_DT) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS actual_DT
+FROM cells GROUP BY ALL""",
     "slot_per_order": f"""WITH {ALLOCATED}, tot AS (SELECT zone_group_identifier, time_zone_unit_id, variant, {_totals()},
   count(DISTINCT platform_order_code) AS order_count, {_means()} FROM allocated WHERE day_num <= 28 GROUP BY 1, 2, 3)
 SELECT zone_group_identifier, time_zone_unit_id, variant, {_ratios()}, order_count, {', '.join(LOGISTICS_KPIS)} FROM tot""",

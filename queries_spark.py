@@ -146,6 +146,14 @@ def slot_per_order(spark, sf):
     return sl.slot_per_order(sl.design_sums(_design_rows(spark, sf), DESIGN))
 
 
+def slot_totals_wide_grid(spark, sf):
+    """Totals and distinct orders per zone, window, slot and length of a grid whose masks need several words."""
+    rows = prepared(spark, sf)
+    return sl.grid_slots(sl.granule_facts(rows, fx.WIDE_GRID), sl.slot_order_counts(rows, fx.WIDE_GRID), fx.WIDE_GRID).selectExpr(
+        "zone_group", "zone_id", "window_s", "slot_idx", "exp_length", "order_count",
+        f"{sl.rounded_totals()['gfv_local']} AS gfv_local", f"{sl.logistics_mean('actual_DT')} AS actual_DT")
+
+
 def variant_moments(spark, sf):
     per_order = sl.slot_per_order(sl.design_sums(_design_rows(spark, sf), DESIGN))
     kpis = [*CUSTOMER_KPIS, "order_count", *LOGISTICS_KPIS]
@@ -492,7 +500,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     allocate_switchback, allocate_fractional, slot_assign, import_allocation, attach_variants, variant_balance,
     zone_groups, start_ts_per_group, exp_length_filter, week_bucket, export_allocation_input,
     sim_grid, run_keys,
-    slot_totals, slot_per_order, variant_moments, welch_slot_tot, welch_slot_per_order, welch_order_level,
+    slot_totals, slot_totals_wide_grid, slot_per_order, variant_moments, welch_slot_tot, welch_slot_per_order, welch_order_level,
     pval_union, aa_study, imported_slot_totals, imported_welch, v1_study,
     sig_counts, sig_share, sig_pct_grid, sig_pct_grid_order_level, sig_pct_grid_order_level_matching, overall_sig_slot, overall_sig_order,
     relabel_alpha, kpi_family, pval_histogram, pval_histogram_dense, report_parameters, pval_hist_pct, pval_hist_calcs,

@@ -165,8 +165,9 @@ def _per_length(df: DataFrame, grid: StudyGrid) -> DataFrame:
     return df.withColumn("exp_length", F.explode(lengths)).where(F.col("exp_length") >= F.col("first_length"))
 
 
-# Bits in one mask (granules times lengths), and counters in one aggregation, at most.
-_MAX_BITS = 62
+# Bits in one word, words in one mask, and counters in one aggregation, at most.
+_WORD_BITS = 62
+_MAX_WORDS = 64
 _MAX_COUNTERS = 80
 
 
@@ -180,20 +181,69 @@ def slot_order_counts(prepared: DataFrame, grid: StudyGrid) -> DataFrame:
     narrow = rows.select("zone_group", "zone_id", "granule", "first_length", "platform_order_code")
     span = math.lcm(*grid.windows_s) // grid.granule_s
     slots = sum(span * grid.granule_s // w for w in grid.windows_s)
-    if span * len(grid.exp_lengths) <= _MAX_BITS and slots * len(grid.exp_lengths) <= _MAX_COUNTERS:
+    if span * len(grid.exp_lengths) <= _WORD_BITS and slots * len(grid.exp_lengths) <= _MAX_COUNTERS:
         return _masked_order_counts(narrow, grid, span)
-    return _windowed_order_counts(narrow, grid)
+    counts = None
+    for windows in window_families(grid):
+        one = _wide_order_counts(narrow, grid, windows)
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
 
 
-def _windowed_order_counts(narrow: DataFrame, grid: StudyGrid) -> DataFrame:
-    """For any grid: every order goes once per window through a shuffle by slot and order code."""
+def window_families(grid: StudyGrid) -> list[list[int]]:
+    """Windows whose common block fits a mask together: all of them in any common grid, so that one shuffle serves all."""
+    families: list[list[int]] = []
+    for w in grid.windows_s:
+        for family in families:
+            both = [*family, w]
+            if math.lcm(*both) // math.gcd(*both) * len(grid.exp_lengths) <= _WORD_BITS * _MAX_WORDS:
+                family.append(w)
+                break
+        else:
+            families.append([w])
+    return families
+
+
+def _length_rank(lengths: Sequence[int]) -> str:
+    return "CASE first_length " + " ".join(f"WHEN {n} THEN {r}" for r, n in enumerate(lengths)) + " END"
+
+
+def _wide_order_counts(narrow: DataFrame, grid: StudyGrid, windows: Sequence[int]) -> DataFrame:
+    """One shuffle of the order codes for windows whose common block needs a mask of several words.
+
+    Bit i of a code's mask stands for granule i % span of the block and length i // span. Words combine before the
+    shuffle. Each merged code then names the slots that it touches, once per window and with the shortest length, and
+    these are counted.
+    """
+    lengths = sorted(grid.exp_lengths)
+    step = math.gcd(*windows)
+    span = math.lcm(*windows) // step
+    words = -(-span * len(lengths) // _WORD_BITS)
+    at = narrow.withColumn("step", F.floor(F.col("granule") * F.lit(grid.granule_s) / F.lit(step))).withColumn(
+        "position", F.pmod("step", F.lit(span))).withColumn("block", ((F.col("step") - F.col("position")) / span).cast("bigint"))
+    at = at.withColumn("bit", F.expr(f"CAST(position + {span} * ({_length_rank(lengths)}) AS INT)"))
+    word = [f"bit_or(IF(bit DIV {_WORD_BITS} = {w}, shiftleft(1L, bit % {_WORD_BITS}), 0L)) AS m{w}" for w in range(words)]
+    masks = at.groupBy("zone_group", "zone_id", "block", "platform_order_code").agg(
+        F.min("bit").alias("lowest"), F.max("bit").alias("highest"), *map(F.expr, word))
+    cells = ", ".join(f"struct({w} AS w, m{w} AS m)" for w in range(words))
+    # Most codes occur once; only the others look through their words.
+    spread = (
+        f"flatten(transform(filter(array({cells}), x -> x.m != 0), x -> transform(filter(sequence(0, {_WORD_BITS - 1}), "
+        f"b -> getbit(x.m, b) = 1), b -> x.w * {_WORD_BITS} + b)))")
+    bits = masks.select("zone_group", "zone_id", "block", F.expr(f"IF(lowest = highest, array(lowest), {spread})").alias("bits"))
+    touched = []
+    for w in windows:
+        per, inside = span * step // w, w // step
+        slot = f"array_sort(transform(bits, i -> struct((i % {span}) DIV {inside} AS slot, i DIV {span} AS rank)))"
+        # The first of equal slots has the shortest length.
+        touched.append(
+            f"get(transform(array({slot}), t -> transform(filter(t, (x, i) -> i = 0 OR x.slot != get(t, i - 1).slot), "
+            f"x -> struct({w}L AS window_s, block * {per}L + x.slot AS slot_idx, x.rank AS rank))), 0)")
+    each = bits.select("zone_group", "zone_id", F.expr(f"inline(concat({', '.join(touched)}))"))
     keys = ["zone_group", "zone_id", "window_s", "slot_idx"]
-    first = (
-        _per_window(narrow, grid).groupBy(*keys, "platform_order_code")
-        .agg(F.min("first_length").alias("first_length"))
-    )
-    counts = first.groupBy(*keys, "first_length").agg(F.count(F.lit(1)).alias("order_count"))
-    return _per_length(counts, grid).select(*keys, "exp_length", "order_count")
+    counts = each.groupBy(*keys, "rank").agg(F.count(F.lit(1)).alias("order_count"))
+    first = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in lengths]), F.col("rank").cast("int") + 1)
+    return _per_length(counts.withColumn("first_length", first), grid).select(*keys, "exp_length", "order_count")
 
 
 def _masked_order_counts(narrow: DataFrame, grid: StudyGrid, span: int) -> DataFrame:
@@ -205,7 +255,7 @@ def _masked_order_counts(narrow: DataFrame, grid: StudyGrid, span: int) -> DataF
     combine before the shuffle, so repeats of a code cost nothing.
     """
     lengths = sorted(grid.exp_lengths)
-    rank = "CASE first_length " + " ".join(f"WHEN {n} THEN {r}" for r, n in enumerate(lengths)) + " END"
+    rank = _length_rank(lengths)
     masks = (
         narrow.withColumn("position", F.pmod("granule", F.lit(span)))
         .withColumn("block", ((F.col("granule") - F.col("position")) / span).cast("bigint"))

@@ -50,25 +50,42 @@ def test_grid_slots_equal_the_direct_aggregation(spark):
     assert rows_of(got) == rows_of(direct_counts(prepared, GRID))
 
 
-def test_masked_and_windowed_order_counts_agree(spark):
+def test_masks_of_one_and_of_several_words_agree(spark, monkeypatch):
     prepared = zo.prepare_orders(random_orders(spark), GROUPS)
     keys = ["zone_group", "zone_id", "window_s", "slot_idx", "exp_length"]
     narrow = sl._grid_rows(prepared, GRID).where("platform_order_code IS NOT NULL").select(
         "zone_group", "zone_id", "granule", "first_length", "platform_order_code")
-    masked = sl._masked_order_counts(narrow, GRID, 12)
-    windowed = sl._windowed_order_counts(narrow, GRID).groupBy(*keys).agg(F.sum("order_count").alias("order_count"))
-    assert rows_of(masked) == rows_of(windowed)
+    masked = rows_of(sl._masked_order_counts(narrow, GRID, 12))
+    for bits in (62, 7):
+        monkeypatch.setattr(sl, "_WORD_BITS", bits)
+        wide = sl._wide_order_counts(narrow, GRID, GRID.windows_s).groupBy(*keys).agg(F.sum("order_count").alias("order_count"))
+        assert rows_of(wide) == masked
 
 
-def test_wide_grids_take_the_general_path(spark):
+@pytest.mark.parametrize("hours", [(0.7, 5, 9), (1.5, 2, 7), (1, 2, 3, 4, 5, 7)])
+def test_any_grid(spark, hours):
     prepared = zo.prepare_orders(random_orders(spark, 200), GROUPS)
-    grid = StudyGrid(window_hours=(0.7, 5, 9), num_variants=(2,), exp_lengths=(2, 4))
+    grid = StudyGrid(window_hours=hours, num_variants=(2,), exp_lengths=(2, 4))
     slots = sl.grid_slots(sl.granule_facts(prepared, grid), sl.slot_order_counts(prepared, grid), grid)
     got = slots.select("zone_group", "zone_id", "window_s", "slot_idx", "exp_length", "order_count",
                        F.round("s_gfv_local", 6).alias("gfv"), F.col("n_actual_DT").alias("n_dt"))
     assert rows_of(got) == rows_of(direct_counts(prepared, grid))
 
 
+def test_one_shuffle_of_the_codes_for_a_wide_grid(spark):
+    grid = StudyGrid(window_hours=(1.5, 2, 7), num_variants=(2,), exp_lengths=(7, 14, 21, 28))
+    assert sl.window_families(grid) == [[5400, 7200, 25200]]
+    counts = sl.slot_order_counts(zo.prepare_orders(random_orders(spark, 100), GROUPS), grid)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line and "platform_order_code" in line for line in plan.splitlines()) == 1
+
+
+def test_windows_without_a_common_block_are_apart():
+    grid = StudyGrid(window_hours=(0.7, 5, 9), num_variants=(2,), exp_lengths=(2, 4))
+    families = sl.window_families(grid)
+    assert sorted(w for f in families for w in f) == sorted(grid.windows_s) and 1 < len(families) <= 3
+
+
 def test_design_and_allocated_sums_agree(spark):
     prepared = zo.within_exp_length(zo.prepare_orders(random_orders(spark), GROUPS), 4)
     allocation = Allocation(3, 3, 7, "s")
