@@ -625,6 +625,9 @@ per_order AS (SELECT zone_group_identifier, variant, {_ratios()}, order_count, {
 all_m AS (SELECT * FROM tot_m UNION ALL SELECT * FROM po_m {_NO_ORDER_COUNT}), {_welch('all_m')} SELECT * FROM results""",
     "aa_study": f"""WITH {RUN_ORDERS}{_TOT_MOMENTS}{_PER_ORDER_MOMENTS}{_ORDER_MOMENTS},
 all_m AS (SELECT * FROM tot_m UNION ALL SELECT * FROM po_m {_NO_ORDER_COUNT} UNION ALL SELECT * FROM ol_m),
+{_welch('all_m')} SELECT * FROM results""",
+    "daily_study": f"""WITH {RUN_ORDERS}{_TOT_MOMENTS}{_PER_ORDER_MOMENTS}{_ORDER_MOMENTS},
+all_m AS (SELECT * FROM tot_m UNION ALL SELECT * FROM po_m {_NO_ORDER_COUNT} UNION ALL SELECT * FROM ol_m),
 {_welch('all_m')} SELECT * FROM results""",
     "sig_counts": f"""WITH {FX_PVALS} SELECT kpi_type, kpi, count(CASE WHEN is_sig = 'significant' THEN sim_run_id END) AS count_p_val_sig,
   count(*) AS records FROM labelled GROUP BY 1, 2""",

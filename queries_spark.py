@@ -21,6 +21,7 @@ from slotwise.operators import zones as zo
 from slotwise.operators.geodesic import zones_of_points
 from slotwise.operators.interval_join import join_intervals
 from slotwise.plans import study
+from slotwise.plans.daily import DailyStudy, stage_by_day
 from slotwise.sources import tables as tb
 from slotwise.sources.datetimes import infer_formats
 from slotwise.sources.staging import stage, staging_path
@@ -186,6 +187,17 @@ def aa_study(spark, sf):
     return study.full_study(fx.fx_orders(spark, sf), fx.GROUPS, fx.GRID)
 
 
+def daily_study(spark, sf):
+    """The full study from facts kept by day: all orders of the first days in one go, then two days more."""
+    kept = DailyStudy(spark, staging_path(spark, "daily"), fx.GROUPS, fx.GRID)
+    orders = stage_by_day(fx.fx_orders(spark, sf), "orders-by-day")
+    kept.begin(orders)
+    days = [r[0] for r in orders.select("day_num").distinct().orderBy("day_num").collect() if r[0] <= max(fx.GRID.exp_lengths)]
+    kept.add_range(orders, days[:-2])
+    kept.add_days(orders, days[-2:])
+    return kept.results()
+
+
 def _imported(spark, sf):
     """An allocation as another tool hands it over: written to CSV and read again."""
     path = staging_path(spark, "allocation")
@@ -501,7 +513,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     zone_groups, start_ts_per_group, exp_length_filter, week_bucket, export_allocation_input,
     sim_grid, run_keys,
     slot_totals, slot_totals_wide_grid, slot_per_order, variant_moments, welch_slot_tot, welch_slot_per_order, welch_order_level,
-    pval_union, aa_study, imported_slot_totals, imported_welch, v1_study,
+    pval_union, aa_study, daily_study, imported_slot_totals, imported_welch, v1_study,
     sig_counts, sig_share, sig_pct_grid, sig_pct_grid_order_level, sig_pct_grid_order_level_matching, overall_sig_slot, overall_sig_order,
     relabel_alpha, kpi_family, pval_histogram, pval_histogram_dense, report_parameters, pval_hist_pct, pval_hist_calcs,
     scan_nested, geo_zones, entity_region, semi_join_entities, order_kpis, revenue_profit, small_order_fee,

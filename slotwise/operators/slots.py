@@ -136,11 +136,14 @@ def _grid_rows(prepared: DataFrame, grid: StudyGrid) -> DataFrame:
     )
 
 
-def granule_facts(prepared: DataFrame, grid: StudyGrid, kpis: Sequence[str] = ALL_KPIS) -> DataFrame:
+def granule_facts(
+    prepared: DataFrame, grid: StudyGrid, kpis: Sequence[str] = ALL_KPIS, by: Sequence[str] = (),
+) -> DataFrame:
     """Per zone, granule and first covering length: count, exact sums of values and squares, and range of every KPI.
 
     The one pass over the KPI values; partial sums leave the scan, so a hot zone costs no
-    more shuffle than any other. Sums are whole numbers: the same whatever the order of the rows.
+    more shuffle than any other. Sums are whole numbers: the same whatever the order of the rows. `by` names
+    columns that keep the facts apart, say the day.
     """
     rows = with_numeric_kpis(_grid_rows(prepared, grid), kpis)
     measures = []
@@ -149,7 +152,7 @@ def granule_facts(prepared: DataFrame, grid: StudyGrid, kpis: Sequence[str] = AL
             f"count({k}) AS n_{k}", *exact.sums(k, f"w_{k}", f"b_{k}"), *exact.sums(f"({k} * {k})", f"qw_{k}", f"qb_{k}"),
             f"min({k}) AS lo_{k}", f"max({k}) AS hi_{k}",
         ]
-    return rows.groupBy("zone_group", "zone_id", "granule", "first_length").agg(*map(F.expr, measures))
+    return rows.groupBy(*by, "zone_group", "zone_id", "granule", "first_length").agg(*map(F.expr, measures))
 
 
 def _per_window(df: DataFrame, grid: StudyGrid) -> DataFrame:
@@ -208,23 +211,46 @@ def _length_rank(lengths: Sequence[int]) -> str:
     return "CASE first_length " + " ".join(f"WHEN {n} THEN {r}" for r, n in enumerate(lengths)) + " END"
 
 
-def _wide_order_counts(narrow: DataFrame, grid: StudyGrid, windows: Sequence[int]) -> DataFrame:
-    """One shuffle of the order codes for windows whose common block needs a mask of several words.
+_MASK_KEYS = ("zone_group", "zone_id", "block", "platform_order_code")
 
-    Bit i of a code's mask stands for granule i % span of the block and length i // span. Words combine before the
-    shuffle. Each merged code then names the slots that it touches, once per window and with the shortest length, and
-    these are counted.
-    """
-    lengths = sorted(grid.exp_lengths)
+
+def _mask_shape(grid: StudyGrid, windows: Sequence[int]) -> tuple[int, int, int]:
+    """Step of a family of windows, steps of its block, words of a mask."""
     step = math.gcd(*windows)
     span = math.lcm(*windows) // step
-    words = -(-span * len(lengths) // _WORD_BITS)
+    return step, span, -(-span * len(grid.exp_lengths) // _WORD_BITS)
+
+
+def _order_masks(narrow: DataFrame, grid: StudyGrid, windows: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """Per zone, block and order code: the steps and first covering lengths that it occurs in.
+
+    Bit i of a mask stands for step i % span of the block and length i // span. Words combine before the shuffle.
+    """
+    step, span, words = _mask_shape(grid, windows)
     at = narrow.withColumn("step", F.floor(F.col("granule") * F.lit(grid.granule_s) / F.lit(step))).withColumn(
         "position", F.pmod("step", F.lit(span))).withColumn("block", ((F.col("step") - F.col("position")) / span).cast("bigint"))
-    at = at.withColumn("bit", F.expr(f"CAST(position + {span} * ({_length_rank(lengths)}) AS INT)"))
+    at = at.withColumn("bit", F.expr(f"CAST(position + {span} * ({_length_rank(sorted(grid.exp_lengths))}) AS INT)"))
     word = [f"bit_or(IF(bit DIV {_WORD_BITS} = {w}, shiftleft(1L, bit % {_WORD_BITS}), 0L)) AS m{w}" for w in range(words)]
-    masks = at.groupBy("zone_group", "zone_id", "block", "platform_order_code").agg(
-        F.min("bit").alias("lowest"), F.max("bit").alias("highest"), *map(F.expr, word))
+    return at.groupBy(*by, *_MASK_KEYS).agg(F.min("bit").alias("lowest"), F.max("bit").alias("highest"), *map(F.expr, word))
+
+
+def order_masks(prepared: DataFrame, grid: StudyGrid, windows: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """Masks of the prepared orders that have a code, for a family of windows; `by` keeps them apart, say by day."""
+    rows = _grid_rows(prepared, grid).where(F.col("platform_order_code").isNotNull())
+    return _order_masks(rows, grid, windows, by)
+
+
+def merge_masks(masks: DataFrame) -> DataFrame:
+    """Masks of several parts of the orders as those of the whole."""
+    words = [c for c in masks.columns if c not in (*_MASK_KEYS, "lowest", "highest")]
+    return masks.groupBy(*_MASK_KEYS).agg(
+        F.min("lowest").alias("lowest"), F.max("highest").alias("highest"), *(F.bit_or(c).alias(c) for c in words))
+
+
+def mask_counts(masks: DataFrame, grid: StudyGrid, windows: Sequence[int]) -> DataFrame:
+    """Distinct orders per slot: each code names the slots that it touches, once per window and with the shortest length."""
+    lengths = sorted(grid.exp_lengths)
+    step, span, words = _mask_shape(grid, windows)
     cells = ", ".join(f"struct({w} AS w, m{w} AS m)" for w in range(words))
     # Most codes occur once; only the others look through their words.
     spread = (
@@ -246,6 +272,11 @@ def _wide_order_counts(narrow: DataFrame, grid: StudyGrid, windows: Sequence[int
     return _per_length(counts.withColumn("first_length", first), grid).select(*keys, "exp_length", "order_count")
 
 
+def _wide_order_counts(narrow: DataFrame, grid: StudyGrid, windows: Sequence[int]) -> DataFrame:
+    """One shuffle of the order codes for windows whose common block needs a mask of several words."""
+    return mask_counts(_order_masks(narrow, grid, windows), grid, windows)
+
+
 def _masked_order_counts(narrow: DataFrame, grid: StudyGrid, span: int) -> DataFrame:
     """One shuffle of the order codes for all windows.
 

@@ -98,7 +98,11 @@ def full_study(
     orders: DataFrame, groups: Sequence[ZoneGroup] = STUDY_ZONE_GROUPS, grid: StudyGrid = StudyGrid()
 ) -> DataFrame:
     """Both studies from one pass over the orders' KPI values."""
-    facts, counts = study_facts(orders, groups, grid)
+    return results_of_facts(*study_facts(orders, groups, grid), grid)
+
+
+def results_of_facts(facts: DataFrame, counts: DataFrame, grid: StudyGrid) -> DataFrame:
+    """p-values over slots and over orders from stored facts; rows of the facts with equal keys add up."""
     columns = ["zone_group", "window_s", "num_variants", "exp_length", "variant", "kpi_type", "kpi",
                "n", "mean", "variance"]
     by_slot = slot_level_moments(grid_slots(facts, counts, grid), grid).select(*columns)
