@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from slotwise.config import ALL_KPIS, CUSTOMER_KPIS, LOGISTICS_KPIS, OrderScope, StudyGrid, ZoneGroup
 
 GRID = StudyGrid(seed="42")
+# Buckets of the fixture's tables, for small data.
+BUCKETS = 8
 
 WIDE_GRID = StudyGrid(window_hours=(1.5, 2, 7), num_variants=(2, 3), exp_lengths=(7, 14, 21, 28), seed="42")
 

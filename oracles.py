@@ -682,6 +682,7 @@ JOIN (SELECT DISTINCT entity_id FROM fx_sessions) s ON e.entity_id = s.entity_id
     "semi_join_entities": f"""WITH {FX_GEO}, {FX_SESSIONS} SELECT order_id, entity_id, zone_id, created_date FROM fx_sessions
 WHERE entity_id IN (SELECT DISTINCT entity_id FROM geo)""",
     "order_kpis": f"""WITH {ORDER_KPIS} SELECT * EXCLUDE (zone_shape), len(flatten(zone_shape)) AS vertices FROM kpis""",
+    "order_kpis_bucketed": f"""WITH {ORDER_KPIS} SELECT * EXCLUDE (zone_shape), len(flatten(zone_shape)) AS vertices FROM kpis""",
     "revenue_profit": f"""WITH {ORDER_KPIS}, earned AS (
   SELECT order_id, entity_id, actual_df_paid_by_customer, commission_local, joker_vendor_fee_local, service_fee_local,
     sof_local, delivery_costs_local,

@@ -342,21 +342,35 @@ def semi_join_entities(spark, sf):
         "order_id", "entity_id", "zone_id", "created_date")
 
 
-def _order_kpis(spark, sf):
+def _order_kpis(spark, sf, sessions=None, locations=None, paid_fees=None):
     # The zones are a table of their own, made before the orders.
     return wh.order_kpis(
-        fx.fx_sessions(spark, sf), fx.fx_locations(spark, sf), fx.fx_paid_fees(spark, sf),
+        sessions or fx.fx_sessions(spark, sf), locations or fx.fx_locations(spark, sf), paid_fees or fx.fx_paid_fees(spark, sf),
         stage(_zones(spark, sf), "geo-zones"), fx.fx_entities(spark, sf), fx.SCOPE)
 
 
-def order_kpis(spark, sf):
+def _flat_kpis(rows):
     return (
-        _order_kpis(spark, sf)
-        .withColumn("lon", F.col("customer_location.lon")).withColumn("lat", F.col("customer_location.lat"))
+        rows.withColumn("lon", F.col("customer_location.lon")).withColumn("lat", F.col("customer_location.lat"))
         .withColumn("vertices", F.size(F.flatten("zone_shape")).cast("bigint"))
         .drop("customer_location", "zone_shape"))
 
 
+def order_kpis(spark, sf):
+    return _flat_kpis(_order_kpis(spark, sf))
+
+
+def order_kpis_bucketed(spark, sf):
+    """As order_kpis, from copies of the big tables that are bucketed by entity and order code."""
+    copies = (
+        (fx.fx_sessions(spark, sf), ("entity_id", "platform_order_code")),
+        (fx.fx_locations(spark, sf), ("global_entity_id", "order_id")),
+        (fx.fx_paid_fees(spark, sf), ("global_entity_id", "code")))
+    path = staging_path(spark, "bucketed")
+    tables = [tb.write_bucketed(df, f"slotwise_{i}_{path[-32:]}", keys, fx.BUCKETS, f"{path}/{i}") for i, (df, keys) in enumerate(copies)]
+    return _flat_kpis(_order_kpis(spark, sf, *tables))
+
+
 def revenue_profit(spark, sf):
     return wh.revenue_profit(_order_kpis(spark, sf)).select(
         "order_id", "entity_id", "actual_df_paid_by_customer", "commission_local", "joker_vendor_fee_local",
@@ -516,7 +530,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pval_union, aa_study, daily_study, imported_slot_totals, imported_welch, v1_study,
     sig_counts, sig_share, sig_pct_grid, sig_pct_grid_order_level, sig_pct_grid_order_level_matching, overall_sig_slot, overall_sig_order,
     relabel_alpha, kpi_family, pval_histogram, pval_histogram_dense, report_parameters, pval_hist_pct, pval_hist_calcs,
-    scan_nested, geo_zones, entity_region, semi_join_entities, order_kpis, revenue_profit, small_order_fee,
+    scan_nested, geo_zones, entity_region, semi_join_entities, order_kpis, order_kpis_bucketed, revenue_profit, small_order_fee,
     delivery_fee_paid, dow_day_num, point_in_zone, point_in_zone_geodesic,
     slot_series, equal_width_bins, slot_zone_grid, interval_join, interval_range_join, v1_slot_join,
     scan_csv_gzip, scan_csv_gzip_inferred, infer_datetime_columns, infer_datetime_formats, ctas_replace, write_results, report_csv,

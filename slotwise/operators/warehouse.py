@@ -114,7 +114,8 @@ def order_kpis(
     Every big table is filtered before it is shuffled, and shapes join last, so that they
     never travel with the orders. Locations, zones and entities must match; a paid fee may
     be missing. Duplicate matches multiply. `region` is the session's, the fee rule
-    uses the entity's. `zones` is read twice, so pass a stored or staged table. Building the frame runs no job.
+    uses the entity's. `zones` is read twice, so pass a stored or staged table. Building the frame runs no job. Sessions,
+    locations and fees from tables.write_bucketed, by entity and order code, are joined without a shuffle.
     """
     a = join_dimension(sessions_in_scope(sessions, scope), zones.select(*ZONE_KEYS).distinct(), ZONE_KEYS, "left_semi")
     located = a.join(
@@ -124,9 +125,12 @@ def order_kpis(
         ).where(F.col("customer_location").isNotNull()),
         ["entity_id", "platform_order_code"])
     fees = paid_fees.select(
-        F.col("global_entity_id").alias("entity_id"), F.col("code").alias("platform_order_code"),
-        F.col("created_date_utc").alias("created_date"), F.col("delivery_fee_local").alias("_table_fee"))
-    priced = located.join(fees, ["entity_id", "platform_order_code", "created_date"], "left")
+        F.col("global_entity_id").alias("_fee_entity"), F.col("code").alias("_fee_code"),
+        F.col("created_date_utc").alias("_fee_date"), F.col("delivery_fee_local").alias("_table_fee"))
+    # Entity and code are the join's keys, the date is a condition: the orders stay where the join before put them.
+    priced = located.join(
+        fees, (F.col("entity_id") == F.col("_fee_entity")) & (F.col("platform_order_code") == F.col("_fee_code"))
+        & (F.datediff("created_date", "_fee_date") == 0), "left").drop("_fee_entity", "_fee_code", "_fee_date")
     # An order proves by itself that its entity has sessions, so the plain entity list is enough.
     ent = entity_platforms(entities, scope).select("entity_id", F.col("region").alias("_entity_region"))
     priced = join_dimension(priced, ent, ["entity_id"])

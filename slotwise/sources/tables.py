@@ -126,6 +126,21 @@ def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFram
     return spark.table(f"`{name}`")
 
 
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """A copy of a table for joins on `keys`: bucketed and sorted by them, one file per bucket.
+
+    Copies with equal numbers of buckets join on these keys, or on them and more conditions, without a shuffle or a
+    sort. Rows in which a key is missing match nothing and are left out. Choose the buckets so that one fits a task's memory
+    well; a bucket is read by one task.
+    """
+    spark = df.sparkSession
+    known = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    # Dealt out as the buckets are, so that each task writes one file.
+    known.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").option(
+        "path", path or staging_path(spark, name)).saveAsTable(f"`{name}`")
+    return spark.table(f"`{name}`")
+
+
 def conform_results(df: DataFrame) -> DataFrame:
     """The nine result columns in their fixed order and types."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields])
