@@ -206,6 +206,13 @@ _ORDER_MOMENTS = (
     + _moments(_RUN_COLS, "ol_long", "ol_m0") + "," + _typed("order_level", "ol_m0", "ol_m"))
 _NO_ORDER_COUNT = "WHERE NOT (kpi_type = 'per_order' AND kpi = 'order_count')"
 
+def _even_chi2(x: str) -> str:
+    """The chi-square tail for k = 3, 5 or 7 variants: two, four or six degrees have a closed form."""
+    h = f"({x} / 2)"
+    return (f"round_even(exp(-{h}) * (1 + CASE WHEN k > 3 THEN {h} ELSE 0 END + CASE WHEN k > 5 THEN {h} * {h} / 2 ELSE 0 END)"
+            " * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE")
+
+
 # Sums of whole parts and billionths, as wide integers; deviations from the whole number next to the mean.
 _EXACT_MOMENTS = """
 parts AS (
@@ -580,6 +587,18 @@ FROM fx_pvals, settings GROUP BY ALL""",
 FROM fx_orders o LEFT JOIN allocated a ON o.platform_order_code = a.platform_order_code""",
     "variant_balance": f"""WITH {ALLOCATED} SELECT zone_group_identifier, variant, count(*) AS orders, count(DISTINCT time_zone_unit_id) AS slots
 FROM allocated GROUP BY 1, 2""",
+    "variant_balance_test": f"""WITH {PREPARED}, designs AS (SELECT unnest([3, 5, 7])::BIGINT AS k),
+placed AS (
+  SELECT k, zone_group_identifier AS g, zone_id || '~' || CAST(floor((ts_s - start_s) / 10800) AS BIGINT) AS unit
+  FROM prepared, designs),
+drawn AS (SELECT k, g, unit, {_hash("'v~28115~salt-a~' || unit")} % k AS variant FROM placed),
+counts AS (SELECT k, g, variant, count(*)::DOUBLE AS orders, count(DISTINCT unit)::DOUBLE AS slots FROM drawn GROUP BY ALL),
+totals AS (SELECT k, g, sum(orders) AS orders, sum(slots) AS slots, sum(orders * orders) AS qo, sum(slots * slots) AS qs FROM counts GROUP BY ALL),
+stats AS (
+  SELECT *, (k * qs - slots * slots) / slots AS slots_chi2, (k * qo - orders * orders) / orders AS orders_chi2 FROM totals)
+SELECT g AS zone_group_identifier, k AS num_variants, slots::BIGINT AS slots, orders::BIGINT AS orders, slots_chi2, orders_chi2,
+  {_even_chi2('slots_chi2')} AS slots_p, {_even_chi2('orders_chi2')} AS orders_p
+FROM stats""",
     "zone_groups": f"WITH {TAGGED} SELECT platform_order_code, entity_id, asa_id, zone_name, zone_group_identifier, gfv_local FROM tagged",
     "start_ts_per_group": f"""WITH {TAGGED} SELECT entity_id, zone_group_identifier,
   strftime(min(dps_sessionid_created_at_utc), '%Y-%m-%dT%H:%M:%SZ') AS min_dps_session_start_ts,

@@ -87,6 +87,16 @@ def variant_balance(spark, sf):
     return al.variant_balance(allocated(spark, sf))
 
 
+def variant_balance_test(spark, sf):
+    """Whether variants have equal shares of slots and orders, for designs of three, five and seven variants."""
+    rows, out = prepared(spark, sf), None
+    for n in (3, 5, 7):
+        design = Allocation(window_hours=3, num_variants=n, key=28115, salt="salt-a")
+        one = al.balance_test(al.variant_balance(al.allocate(rows, design)), n)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- zone groups and times ------------------------------------------------------------
 
 
@@ -523,7 +533,7 @@ def report_csv(spark, sf):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    allocate_switchback, allocate_fractional, slot_assign, import_allocation, attach_variants, variant_balance,
+    allocate_switchback, allocate_fractional, slot_assign, import_allocation, attach_variants, variant_balance, variant_balance_test,
     zone_groups, start_ts_per_group, exp_length_filter, week_bucket, export_allocation_input,
     sim_grid, run_keys,
     slot_totals, slot_totals_wide_grid, slot_per_order, variant_moments, welch_slot_tot, welch_slot_per_order, welch_order_level,

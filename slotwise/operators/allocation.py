@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import Allocation, StudyGrid, window_seconds
-from slotwise.functions.scalars import as_text, epoch_seconds, from_epoch_seconds, hash_number, hash_text, iso_timestamp
+from slotwise.functions.chi2 import chi2_survival
+from slotwise.functions.scalars import (
+    as_text, epoch_seconds, from_epoch_seconds, half_even, hash_number, hash_text, iso_timestamp,
+)
 from slotwise.operators.zones import GROUP, SESSION_TS
 
 
@@ -147,3 +150,23 @@ def simulation_grid(starts: DataFrame, grid: StudyGrid) -> DataFrame:
         .withColumn("sb_window_size", window_label(grid, F.col("window_s")))
     )
     return add_runs(runs, grid)
+
+
+def balance_test(balance: DataFrame, num_variants: int) -> DataFrame:
+    """Chi-square test per zone group that all variants get the same share, of slots and of orders.
+
+    `balance` is variant_balance's result. A variant without any slot has no row there; it counts as zero. Slots are what
+    is drawn, so their test judges the allocation; orders come in slots and spread more than the test expects. Orders
+    without a variant are left out. One variant has nothing to compare: its p-values are NULL.
+    """
+    counts = ("slots", "orders")
+    sums = balance.where(F.col("variant").isNotNull()).groupBy(GROUP).agg(*[F.expr(e) for c in counts for e in (
+        f"sum({c}) AS {c}", f"sum(CAST({c} AS DECIMAL(38, 0)) * {c}) AS q_{c}")])
+    # Whole numbers up to the one division.
+    degrees = f"CAST({num_variants - 1} AS DOUBLE)"
+    statistics = [
+        f"CAST({num_variants} * q_{c} - CAST({c} AS DECIMAL(38, 0)) * {c} AS DOUBLE) / CAST({c} AS DOUBLE) AS {c}_chi2" for c in counts]
+    tested = sums.selectExpr(GROUP, *counts, *statistics)
+    return tested.select(GROUP, F.lit(num_variants).cast("bigint").alias("num_variants"), *counts, *[f"{c}_chi2" for c in counts], *[
+        chi2_survival(f"{c}_chi2", degrees).alias(f"{c}_p") for c in counts]).withColumns({
+        f"{c}_p": F.expr(half_even(f"{c}_p", 4)) for c in counts})

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from high_precision import D, f_tail
 from slotwise.functions import geo
 from slotwise.functions.fdist import f_survival
 from slotwise.operators.warehouse import points_in_zones
@@ -64,6 +65,19 @@ def test_f_survival_closed_forms(spark):
         assert got == pytest.approx(expected, abs=2e-6 if case[2] == 1e7 else 1e-9), case
 
 
+def test_f_survival_has_ten_digits_for_any_degrees(spark):
+    degrees = (1.0, 1.5, 2.0, 3.7, 10.0, 100.0, 1e4, 1e6, 1e9, 1e12)
+    cases = [(f, d1, d2) for d1 in (1.0, 2.0, 3.0, 6.0, 20.0, 101.0, 1e4) for d2 in degrees
+             for f in (1e-6, 0.01, 0.2, 0.9, 0.999, 1.0, 1.001, 1.1, 1.7, 4.0, 25.0)]
+    checked = 0
+    for case, got in zip(cases, survival(spark, cases)):
+        want = f_tail(*case)
+        if want > D("1e-30"):
+            assert abs(D(got) / want - 1) < D("1e-10"), case
+            checked += 1
+    assert checked > 600
+
+
 def test_f_survival_limits(spark):
     got = survival(spark, [(0.0, 3.0, 5.0), (None, 3.0, 5.0), (2.0, None, 5.0), (1e9, 3.0, 50.0)])
     assert got[:3] == [1.0, None, None]
