@@ -617,6 +617,9 @@ SELECT platform_order_code, zone_group_identifier, dps_session_created_date,
        WHEN d BETWEEN 21 AND 27 THEN 'week_4' ELSE '0' END AS week_num FROM dated""",
     "export_allocation_input": f"""WITH {PREPARED} SELECT platform_order_code, zone_id,
   strftime(dps_sessionid_created_at_utc, '%Y-%m-%dT%H:%M:%SZ') AS session_ts_iso FROM prepared""",
+    "export_allocation_order": f"""WITH {PREPARED} SELECT count(*) AS orders,
+  strftime(min(dps_sessionid_created_at_utc), '%Y-%m-%dT%H:%M:%SZ') AS first_time,
+  strftime(max(dps_sessionid_created_at_utc), '%Y-%m-%dT%H:%M:%SZ') AS last_time, 0::BIGINT AS out_of_order FROM prepared""",
     "sim_grid": f"WITH {PREPARED}{RUNS} SELECT {_RUN_COLS} FROM runs",
     "run_keys": f"WITH {PREPARED}{RUNS} SELECT sim_run_id, run_key, run_salt FROM runs",
     "slot_totals": f"""WITH {ALLOCATED} SELECT zone_group_identifier, time_zone_unit_id, variant, {_totals()},

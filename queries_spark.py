@@ -130,6 +130,13 @@ def export_allocation_input(spark, sf):
         "platform_order_code string, zone_id bigint, session_ts_iso string").csv(path)
 
 
+def export_allocation_order(spark, sf):
+    """The allocator's input is written in the order of time: read back and checked line by line."""
+    path = staging_path(spark, "allocation-input")
+    tb.write_allocation_input(al.allocation_input(prepared(spark, sf)), path)
+    return tb.allocation_input_order(spark, path)
+
+
 # --- grid -----------------------------------------------------------------------------
 
 
@@ -534,7 +541,7 @@ def report_csv(spark, sf):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     allocate_switchback, allocate_fractional, slot_assign, import_allocation, attach_variants, variant_balance, variant_balance_test,
-    zone_groups, start_ts_per_group, exp_length_filter, week_bucket, export_allocation_input,
+    zone_groups, start_ts_per_group, exp_length_filter, week_bucket, export_allocation_input, export_allocation_order,
     sim_grid, run_keys,
     slot_totals, slot_totals_wide_grid, slot_per_order, variant_moments, welch_slot_tot, welch_slot_per_order, welch_order_level,
     pval_union, aa_study, daily_study, imported_slot_totals, imported_welch, v1_study,

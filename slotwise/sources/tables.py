@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from slotwise.config import ZoneGroup
 from slotwise.sources.datetimes import parsed as parsed_as
@@ -110,6 +111,25 @@ def write_allocation_input(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").options(header=False, **CSV_OPTIONS).csv(path)
 
 
+def allocation_input_order(spark: SparkSession, path: str) -> DataFrame:
+    """One row about a written allocation input: orders, first and last time, and how many lines are earlier than the
+    line before them, in their file or at the end of the file before it.
+
+    Each part of a file is checked on its own; only one row per part goes through one task.
+    """
+    lines = spark.read.options(header=False, **CSV_OPTIONS).schema("code string, zone_id bigint, at string").csv(path).select(
+        "at", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"))
+    in_part = Window.partitionBy("file", "block").orderBy("line")
+    parts = lines.withColumn("before", F.lag("at").over(in_part)).groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("orders"), F.min_by("at", "line").alias("first"), F.max_by("at", "line").alias("last"),
+        F.count_if(F.col("at") < F.col("before")).alias("unsorted"))
+    over_parts = Window.partitionBy(F.lit(1)).orderBy("file", "block")
+    return parts.withColumn("late", (F.col("first") < F.lag("last").over(over_parts)).cast("long")).agg(
+        F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"), F.min("first").alias("first_time"), F.max("last").alias("last_time"),
+        (F.coalesce(F.sum("unsorted"), F.lit(0)) + F.coalesce(F.sum("late"), F.lit(0))).alias("out_of_order"))
+
+
 def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """CREATE OR REPLACE TABLE name AS df; `path` keeps the files outside the staging folder.
 

@@ -2,6 +2,7 @@ import glob
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows_of
 from slotwise.sources import staging
@@ -79,3 +80,20 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         staging.staging_root(Session())
+
+
+def test_order_of_an_export_is_checked(spark, tmp_path):
+    times = [f"2023-01-01T00:{m:02d}:00Z" for m in range(40)]
+    df = spark.createDataFrame([(f"o{i}", 1, t) for i, t in enumerate(times)], "code string, zone_id bigint, at string")
+    tb.write_allocation_input(df.repartitionByRange(3, "at").sortWithinPartitions("at"), str(tmp_path / "sorted"))
+    got = tb.allocation_input_order(spark, str(tmp_path / "sorted")).first()
+    assert (got.orders, got.first_time, got.last_time, got.out_of_order) == (40, times[0], times[-1], 0)
+    assert len(glob.glob(str(tmp_path / "sorted" / "*.csv"))) > 1
+    turned = df.coalesce(1).orderBy(F.desc("at")).coalesce(1)
+    tb.write_allocation_input(turned, str(tmp_path / "turned"))
+    assert tb.allocation_input_order(spark, str(tmp_path / "turned")).first().out_of_order == 39
+    by_file = df.repartitionByRange(3, F.desc("at")).sortWithinPartitions("at")
+    tb.write_allocation_input(by_file, str(tmp_path / "files"))
+    assert tb.allocation_input_order(spark, str(tmp_path / "files")).first().out_of_order == 2
+    tb.write_allocation_input(df.limit(0), str(tmp_path / "none"))
+    assert tb.allocation_input_order(spark, str(tmp_path / "none")).first().orders == 0
