@@ -51,11 +51,27 @@ def test_large_groups_are_cut_as_little_as_quotas_allow(spark, texts):
     sizes = Counter(texts)
     for text, n in sizes.items():
         parts = own[len(text) + 1, zlib.crc32(text.encode())]
-        assert len(parts) <= -(-n // quota) + 4
+        assert len(parts) <= -(-n // quota) + 1
     cut = sum(len(p) > 1 for p in own.values())
     assert cut <= 8 + sum(n > quota for n in sizes.values()), cut
 
 
+@pytest.mark.parametrize("most_rounds", [0, 12])
+def test_partitions_change_nothing(spark, most_rounds):
+    frame = _frame(spark, [f"group {i % 7}" for i in range(163)] + ["only"] * 40 + [f"lone {i}" for i in range(20)])
+    found = [sorted(map(str, sharding.balanced_shards(frame.repartition(n), 8, most_rounds).collect())) for n in (1, 2, 4, 5, 8)]
+    assert all(f == found[0] for f in found)
+
+
+def test_rounds_join_what_the_borders_cut(spark):
+    # Groups of 7 rows do not fit the shares of 52.5 linked rows, but 37 other rows leave room to move.
+    texts = [f"group {i // 7}" for i in range(420)] + [f"lone {i}" for i in range(300)]
+    before = spread(sharding.balanced_shards(_frame(spark, texts), 8, 0).collect())
+    after = spread(sharding.balanced_shards(_frame(spark, texts), 8).collect())
+    assert sum(len(s) > 1 for s in before.values()) >= 4
+    assert all(len(s) == 1 for s in after.values())
+
+
 def test_edges(edge_docs, no_docs):
     check(sharding.balanced_shards(edge_docs, 4).collect(), [(r.doc_id, r.text) for r in edge_docs.collect()], 4)
     assert sharding.balanced_shards(no_docs, 4).count() == 0
