@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import wraps
 from pathlib import Path
@@ -51,6 +51,26 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def sheltered(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """doc_id, text and one column with all others, so that no column of an operator clashes with them; and what
+    gives a frame made from these rows the columns of `docs` again."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    inside = F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others))) if others else F.lit(None)
+    inner = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), inside.alias("others"))
+
+    def restore(rows: DataFrame) -> DataFrame:
+        place = {c: F.col(f"others.c{i}").alias(c) for i, c in enumerate(others)}
+        return rows.select(*(place.get(c, F.col(c)) for c in docs.columns))
+
+    return inner, restore
+
+
+def without(docs: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The frame without the columns that an operator is about to add."""
+    new = {n.lower() for n in names}
+    return docs.drop(*(c for c in docs.columns if c.lower() in new))
+
+
 def id_field(docs: DataFrame) -> str:
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
 

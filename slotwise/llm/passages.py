@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from slotwise.llm.common import labelled_sample
+from slotwise.llm.common import labelled_sample, without
 
 PASSAGE_WORDS = 100
 #: Bytes and texts that are described at a time; a longer text is cut into pieces of at most so many bytes.
@@ -273,23 +273,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Attention:
     return train(labelled_sample(docs, labels, "quality", TRAINING_DOCS, TRAINING_DOCS, TRAINING_CHARS))
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """The name, with underscores before it until no column of the frame has it."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def score(docs: DataFrame, net: Attention, name: str = "quality_score") -> DataFrame:
     """The rows of `docs`, all columns kept, with a score from 0 to 1 in the column `name`.
 
     Whole texts, every passage; only the text is an input. Null, empty and wordless texts have 0; repeated rows
-    and null ids are scored like any other; an empty table gives no rows. A column that already has the name is an
-    error (see free_name). No shuffle; the network's size is fixed.
+    and null ids are scored like any other; an empty table gives no rows. A column that has the name already is
+    replaced. No shuffle; the network's size is fixed.
     """
-    if free_name(docs, name) != name:
-        raise ValueError(f"the column {name} is taken")
+    docs = without(docs, [name])
     weights = docs.sparkSession.sparkContext.broadcast(net.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from slotwise.llm.common import sheltered
 from slotwise.sources.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -256,9 +257,10 @@ def find(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns and `p_spans`: array of (kind number, start, end, f.base, ...) by kind and start, or null.
 
     Positions are code points, the end is exclusive. Whole texts; a null or empty text has no spans; rows
-    with null ids and repeated rows are judged like any other; an empty table trains nothing.
+    with null ids and repeated rows are judged like any other; an empty table trains nothing. A column p_spans that is
+    there already is replaced.
     """
-    proposed = propose(docs, columns)
+    proposed = propose(docs, [c for c in columns if c.lower() != "p_spans"])
     return accept(proposed, train(proposed))
 
 
@@ -281,12 +283,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """The documents with every found span replaced by its kind in angle brackets; other columns as they were.
+    """The documents with every found span replaced by its kind in angle brackets; other columns as they were, whatever
+    their names. An empty table gives no rows.
 
     Where spans overlap, the one that starts first (then the longer one) is replaced and the others go
     with it, each character at most once.
     """
-    found = find(docs, docs.columns)
+    inner, restore = sheltered(docs)
+    found = find(inner, inner.columns)
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
     ordered = F.array_sort(F.transform("p_spans", lambda s: F.struct(
         s["start"].alias("start"), (-s["end"]).alias("negative_end"), s["kind"].alias("kind"))))
@@ -301,4 +305,4 @@ def mask(docs: DataFrame) -> DataFrame:
     masked = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda d: F.concat(
         d["out"], F.substring(F.col("text"), d["at"] + 1, F.length(F.col("text")) - d["at"])))
     text = F.when(F.size("p_spans") > 0, masked).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    return restore(found.withColumn("text", text))

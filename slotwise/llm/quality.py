@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from slotwise.llm.common import labelled_sample, text_slices
+from slotwise.llm.common import labelled_sample, text_slices, without
 
 #: Most labelled documents of each label that the field is trained on.
 TRAINING_DOCS = 1_000
@@ -197,9 +197,11 @@ def judge(docs: DataFrame, field: LineField) -> DataFrame:
 
     q_n_words, q_word_chars, q_n_symbols, q_n_dup_lines, q_n_repeat_words (long), q_base_failed (boolean),
     q_content_share (double), q_kept (boolean). A null, empty or blank text has no words, fails and does
-    not stay; repeated rows and null ids are judged like any other. No shuffle.
+    not stay; repeated rows and null ids are judged like any other. Columns that have these names already are
+    replaced; an empty table gives no rows. No shuffle.
     """
     counted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    docs = without(docs, [f"q_{c}" for c in (*counted, "base_failed", "content_share", "kept")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):

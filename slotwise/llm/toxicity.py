@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from slotwise.llm.common import labelled_sample, text_slices
+from slotwise.llm.common import labelled_sample, text_slices, without
 
 WINDOW, STRIDE = 32, 16
 #: Most characters of a word, and those of each piece of a longer run: near a word's, so that its n-grams are not averaged away.
@@ -344,8 +344,10 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     """The rows of `docs`, all columns kept, with `t_score` from 0 to 1.
 
     Whole texts, every window, long runs of word characters in pieces. Null, empty and wordless texts have 0; repeated rows and null ids are
-    scored like any other. Only the text is an input. No shuffle; the network's size is fixed.
+    scored like any other. Only the text is an input. A column t_score that is there already is replaced; an empty table
+    gives no rows. No shuffle; the network's size is fixed.
     """
+    docs = without(docs, ["t_score"])
     weights = docs.sparkSession.sparkContext.broadcast(net.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

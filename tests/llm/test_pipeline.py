@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -16,7 +17,7 @@ from tests.llm.test_tokens import check_packing
 
 def test_registered():
     names = [n for n in queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert queries()["pipeline"].__wrapped__ is corpus_pipeline.run and "pipeline" not in oracle_sql()
 
 
@@ -55,10 +56,15 @@ def test_stages(spark, sf_dir, docs):
 @pytest.mark.parametrize("empty", [False, True])
 def test_awkward_input_passes_every_stage(spark, edge_docs, no_docs, tmp_path, empty):
     frame = no_docs if empty else edge_docs
+    # Names that operators use for their own columns.
+    for i, name in enumerate(("q_kept", "Q_n_words", "t_score", "p_spans", "__row", "__fingerprint", "fingerprint", "row", "others",
+                              "label", "quality", "toxic", "stays", "first", "kept", "c0")):
+        frame = frame.withColumn(name, F.lit(i))
     labels = pa.table({"doc_id": pa.array([0, 1, None], pa.int64()), "quality": pa.array([1, 0, 1], pa.int32()),
                        "toxic": pa.array([0, 1, None], pa.int32())})
     spark.createDataFrame(labels).write.parquet(f"{tmp_path}/labels.parquet")
     for name, apply in corpus_pipeline.STAGES:
         after = stage(apply(spark, frame, str(tmp_path)), "test-awkward")
         assert name == "packing" or after.dtypes == frame.dtypes
+        assert name == "packing" or after.where("t_score <> 2 or c0 <> 15 or __row <> 4").count() == 0
         frame = after

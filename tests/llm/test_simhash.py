@@ -1,5 +1,6 @@
 """SimHash groups against brute force."""
 
+import itertools
 import random
 
 import numpy as np
@@ -75,8 +76,7 @@ def _frame(spark, marks):
     return spark.createDataFrame(pa.table({"fingerprint": pa.array(np.array(marks, np.uint64).view(np.int64))}))
 
 
-@pytest.mark.parametrize("long_posting", [2, 64])
-@pytest.mark.parametrize("max_bits", [0, 2])
+@pytest.mark.parametrize(("long_posting", "max_bits"), [(2, 2), (5, 2), (64, 2), (2, 0), (2, 1), (64, 3), (64, 4)])
 def test_links_connect_as_all_pairs_do(spark, monkeypatch, long_posting, max_bits):
     monkeypatch.setattr(simhash, "LONG_POSTING", long_posting)
     rnd = random.Random(7)
@@ -95,7 +95,32 @@ def test_links_connect_as_all_pairs_do(spark, monkeypatch, long_posting, max_bit
         by_want.setdefault(w, set()).add(m)
     assert sorted(map(sorted, by_got.values())) == sorted(map(sorted, by_want.values()))
     with pytest.raises(ValueError):
-        simhash.fingerprint_links(_frame(spark, marks), 3)
+        simhash.fingerprint_links(_frame(spark, marks), 5)
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 3])
+def test_the_minimum_of_shared_places_holds_and_is_met(bits):
+    masks, least = simhash.index_places(bits)
+    assert len(masks) == 14 and all(m.bit_count() == 32 for m in masks)
+    shared = []
+    for bad in itertools.combinations(range(8), bits):
+        gone = sum(0xFF << 8 * i for i in bad)
+        shared.append(sum(not m & gone for m in masks))
+    assert min(shared) == least
+    # A part of a place survives as well.
+    for m in masks:
+        parts = simhash._parts_of_place(m, bits)
+        for bad in itertools.combinations([i for i in range(8) if not m >> 8 * i & 1], bits):
+            assert any(not p & sum(0xFF << 8 * i for i in bad) for p in parts)
+
+
+def test_pairs_of_one_shared_place_are_no_links(spark):
+    rnd = random.Random(9)
+    base = rnd.getrandbits(64)
+    # Four equal bytes only: one shared place.
+    marks = sorted({(base & 0xFFFFFFFF) | rnd.getrandbits(32) << 32 for _ in range(20)} | {base, base ^ 3})
+    got = {(r.src % 2**64, r.dst % 2**64) for r in simhash.fingerprint_links(_frame(spark, marks), 2).collect()}
+    assert {frozenset(p) for p in got} == {frozenset((base, base ^ 3))}
 
 
 def test_components(spark):
