@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage reads what the one before it wrote. Stages but the last return the columns of `documents`; models are
-trained on the stage's own input with the labels of the folder.
+trained on the stage's own input with the labels of the folder. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slotwise.llm import packing, pii, quality, simhash, toxicity
-from slotwise.llm.common import documents, table
+from slotwise.llm.common import documents, sheltered, table
 from slotwise.llm.defaults import (
     BYTE_TOKENIZER, MOST_BITS, PACK_END_ID, SEQUENCE_TOKENS, SHINGLE_WORDS, TOXIC_FROM, held_out,
 )
@@ -18,14 +18,16 @@ from slotwise.sources.staging import stage
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or have too little content go."""
-    field = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, field).where("q_kept").select(*docs.columns)
+    inner, restore = sheltered(docs)
+    field = quality.fit(inner, table(spark, sf_dir, "labels"))
+    return restore(quality.judge(inner, field).where("q_kept"))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window that scores as toxic go."""
-    net = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return toxicity.score(docs, net).where(F.col("t_score") < TOXIC_FROM).select(*docs.columns)
+    inner, restore = sheltered(docs)
+    net = toxicity.fit(inner, table(spark, sf_dir, "labels").where(~held_out()))
+    return restore(toxicity.score(inner, net).where(F.col("t_score") < TOXIC_FROM))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
