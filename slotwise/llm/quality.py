@@ -1,9 +1,11 @@
 """Quality rules: Viterbi decoding of a linear-chain CRF marks lines as content or boilerplate.
 
 The share of a document's word characters in content lines decides whether it stays. The conditional random
-field is trained here, by numpy, on a bounded sample of documents with a quality label: the lines
-of a good document are taken as content and those of a bad one as boilerplate, which is a noisy label, so
-weights are regularised and features describe single lines, not whole documents.
+field is trained here, by numpy, on a bounded sample of documents with a quality label. A line's own label is not
+known: it starts as its document's and is estimated anew between rounds of training by forward and backward sums,
+under the constraint that most lines of a good document are content and most of a bad one are not. Documents
+are of one kind from end to end, so moves between the kinds are learned from mixtures: lines of bad documents
+planted in good ones and the other way round.
 """
 
 from __future__ import annotations
@@ -82,26 +84,122 @@ class LineField:
         return emit, move
 
 
-def train(examples: list[tuple[np.ndarray, int]], rounds: int = 30, step: float = 0.3, shrink: float = 1e-3) -> LineField:
-    """Fit the field to (line features, label of all lines) by gradient ascent, each document weighing the same.
+@dataclass(frozen=True)
+class Sequences:
+    """Documents' lines laid end to end: features, document and place of each line."""
+
+    features: np.ndarray
+    document: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, documents: list[np.ndarray]) -> Sequences:
+        sizes = np.array([len(d) for d in documents])
+        document = np.repeat(np.arange(len(sizes)), sizes)
+        return cls(np.concatenate(documents), document, np.arange(len(document)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+
+    def sums(self, field: LineField, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each line's labels, and the expected moves weighted by document, of all documents at once."""
+        n, longest = int(self.document[-1]) + 1, int(self.place.max()) + 1
+        scores, there = np.zeros((longest, n, 2)), np.zeros((longest, n), bool)
+        scores[self.place, self.document], there[self.place, self.document] = self.features @ field.emit, True
+        ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
+        ahead[0] = scores[0]
+        for i in range(1, longest):
+            step = scores[i] + np.logaddexp(ahead[i - 1, :, :1] + field.move[0], ahead[i - 1, :, 1:] + field.move[1])
+            ahead[i] = np.where(there[i, :, None], step, ahead[i - 1])
+        for i in range(longest - 2, -1, -1):
+            x = scores[i + 1] + behind[i + 1]
+            step = np.logaddexp(field.move[:, 0] + x[:, :1], field.move[:, 1] + x[:, 1:])
+            behind[i] = np.where(there[i + 1, :, None], step, 0)
+        total = np.logaddexp(ahead[-1, :, 0], ahead[-1, :, 1])
+        share = np.exp(ahead + behind - total[:, None])
+        moves = np.zeros((2, 2))
+        if longest > 1:
+            x = scores[1:] + behind[1:]
+            for a in (0, 1):
+                for b in (0, 1):
+                    pair = np.exp(ahead[:-1, :, a] + field.move[a, b] + x[:, :, b] - total)
+                    moves[a, b] = (np.where(there[1:], pair, 0) @ weight).sum()
+        return share[self.place, self.document], moves
+
+    def fit(self, field: LineField, labels: np.ndarray, weight: np.ndarray, rounds: int, step: float, shrink: float) -> LineField:
+        """Gradient ascent of the labels' likelihood from a field on; `weight` is the documents'."""
+        own = np.eye(2)[labels]
+        per_line = (weight / np.bincount(self.document))[self.document]
+        per_document = weight / np.bincount(self.document)
+        inside = self.document[1:] == self.document[:-1]
+        seen = (own[:-1][inside] * per_line[1:][inside, None]).T @ own[1:][inside]
+        emit, move = field.emit, field.move
+        speed_e, speed_m = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
+        for _ in range(rounds):
+            share, moves = self.sums(LineField(emit, move), per_document)
+            grad_e = self.features.T @ ((own - share) * per_line[:, None]) - shrink * emit
+            grad_m = seen - moves - shrink * move
+            speed_e, speed_m = speed_e + grad_e**2, speed_m + grad_m**2
+            emit, move = emit + step * grad_e / np.sqrt(speed_e), move + step * grad_m / np.sqrt(speed_m)
+        return LineField(emit, move)
+
+
+def relabelled(labels: list[np.ndarray], of_document: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
+    """Each line's likelier label, as long as more than half of the document's lines keep the document's label."""
+    out, start = [], 0
+    for own, label in zip(labels, of_document.tolist()):
+        other = share[start:start + len(own), 1 - label]
+        start += len(own)
+        new = np.full(len(own), label)
+        most = (len(own) - 1) // 2
+        likely = np.argsort(-other, kind="stable")[:most]
+        new[likely[other[likely] > 0.5]] = 1 - label
+        out.append(new)
+    return out
+
+
+def _mixture(host: np.ndarray, guest: np.ndarray, rnd: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A document's lines with one to three neighbouring lines of another in them, and which lines are guests."""
+    size = int(rnd.integers(1, min(3, len(guest)) + 1))
+    first, at = int(rnd.integers(0, len(guest) - size + 1)), int(rnd.integers(0, len(host) + 1))
+    guests = np.zeros(len(host) + size, bool)
+    guests[at:at + size] = True
+    return np.concatenate([host[:at], guest[first:first + size], host[at:]]), guests
+
+
+def train(examples: list[tuple[np.ndarray, int]], rounds: int = 30, step: float = 0.3, shrink: float = 1e-3,
+          estimates: int = 3, seed: int = 13) -> LineField:
+    """Fit the field to (line features, label of the document), each document weighing the same.
 
-    The labels' shares are evened out. Without examples of both labels every line is content.
+    Between `estimates` fits the lines get labels of their own. The documents' labels' shares are evened out. Without
+    examples of both labels every line is content.
     """
     emit, move = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
-    if len({label for _, label in examples}) < 2:
+    of_document = np.array([label for _, label in examples], np.int64)
+    if len(set(of_document.tolist())) < 2:
         emit[0, 1] = 1.0
         return LineField(emit, move)
-    count = np.bincount([label for _, label in examples], minlength=2)
-    speed_e, speed_m = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
-    for _ in range(rounds):
-        grad_e, grad_m, field = -shrink * emit, -shrink * move, LineField(emit, move)
-        for features, label in examples:
-            weight = 0.5 / count[label] / len(features)
-            e, m = field.gradient(features, np.full(len(features), label))
-            grad_e, grad_m = grad_e + weight * e, grad_m + weight * m
-        speed_e, speed_m = speed_e + grad_e**2, speed_m + grad_m**2
-        emit, move = emit + step * grad_e / np.sqrt(speed_e), move + step * grad_m / np.sqrt(speed_m)
-    return LineField(emit, move)
+    documents, rnd = [features for features, _ in examples], np.random.default_rng(seed)
+    labels = [np.full(len(features), label) for features, label in examples]
+    weight = 0.5 / np.bincount(of_document)[of_document]
+    field = LineField(emit, move)
+    for _ in range(estimates):
+        # Guests are lines of the other kind that have kept its label.
+        sources = {label: [d[own == label] for d, own, kind in zip(documents, labels, of_document) if kind == label]
+                   for label in (0, 1)}
+        sources = {label: [d for d in own if len(d)] for label, own in sources.items()}
+        mixed, mixed_labels = [], []
+        for features, own, label in zip(documents, labels, of_document):
+            guest = sources[1 - label][int(rnd.integers(0, len(sources[1 - label])))]
+            lines, guests = _mixture(features, guest, rnd)
+            mixed_own = np.full(len(lines), 1 - label)
+            mixed_own[~guests] = own
+            mixed.append(lines)
+            mixed_labels.append(mixed_own)
+        sequences = Sequences.of(documents + mixed)
+        # From the last estimate's field on.
+        field = sequences.fit(field, np.concatenate(labels + mixed_labels), np.concatenate([weight, weight]) / 2,
+                              rounds, step, shrink)
+        share, _ = Sequences.of(documents).sums(field, weight)
+        labels = relabelled(labels, of_document, share)
+    return field
 
 
 def _windows_found_twice(words: list[bytes], length: int = 5) -> int:

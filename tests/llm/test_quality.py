@@ -97,3 +97,45 @@ def test_sample_is_of_usable_documents(spark):
     got = labelled_sample(docs, labels, "quality", 8, 6, 20)
     assert got == [("fine", 0)] * 8 + [("fine", 1)] * 6
     assert len(labelled_sample(docs, labels, "quality", 50, 50, 20)) == 20
+
+
+def test_sums_of_all_documents_are_those_of_each():
+    rnd = np.random.default_rng(4)
+    documents = [rnd.normal(size=(n, len(quality.FEATURES))) for n in (1, 4, 2, 7)]
+    labels = [rnd.integers(0, 2, len(d)) for d in documents]
+    field = quality.LineField(rnd.normal(size=(len(quality.FEATURES), 2)), rnd.normal(size=(2, 2)))
+    weight = rnd.random(4)
+    together = quality.Sequences.of(documents)
+    share, moves = together.sums(field, weight)
+    own = np.eye(2)[np.concatenate(labels)]
+    emit = together.features.T @ ((own - share) * weight[together.document][:, None])
+    want_emit = sum(w * field.gradient(d, y)[0] for d, y, w in zip(documents, labels, weight))
+    want_moves = sum(w * (np.eye(2)[y][:-1].T @ np.eye(2)[y][1:] - field.gradient(d, y)[1]) for d, y, w in zip(documents, labels, weight))
+    assert np.allclose(emit, want_emit) and np.allclose(moves, want_moves)
+
+
+def test_lines_keep_their_documents_label_for_the_most_part():
+    share = np.array([[0.1, 0.9]] * 5 + [[0.9, 0.1], [0.2, 0.8], [0.7, 0.3]])
+    labels = quality.relabelled([np.zeros(5, int), np.ones(3, int)], np.array([0, 1]), share)
+    assert labels[0].sum() == 2 and labels[1].tolist() == [0, 1, 1]
+
+
+def test_planted_boilerplate_is_marked_line_by_line(spark):
+    """Lines of bad documents in good ones: most of them are marked and hardly any other line."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").orderBy("doc_id").collect()
+    good = [r.text.split("\n") for r in rows if r.quality == 1 and r.text.count("\n") >= 4]
+    noisy = [line for r in rows if r.quality == 0 for line in r.text.split("\n") if any(c in line for c in "#*$%&|<>!")]
+    rnd = np.random.default_rng(3)
+    marked = others = lines = 0
+    for i, text in enumerate(good):
+        at = int(rnd.integers(0, len(text) + 1))
+        planted = [*text[:at], noisy[i % len(noisy)], *text[at:]]
+        kinds = field.viterbi(quality.describe("\n".join(planted))[1])
+        full = [k for k, line in enumerate(planted) if line.split()]
+        marked += sum(kind == 0 for k, kind in zip(full, kinds) if k == at)
+        others += sum(kind == 0 for k, kind in zip(full, kinds) if k != at)
+        lines += len(full) - 1
+    assert len(good) > 50 and marked >= 0.7 * len(good) and others <= 0.02 * lines
