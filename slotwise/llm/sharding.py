@@ -17,8 +17,8 @@ from slotwise.llm.common import spread_cumsum
 from slotwise.operators.joins import salted_join
 from slotwise.sources.staging import stage
 
-#: Rows per bucket of a running count; the number of buckets grows with the table.
-BUCKET_ROWS = 50_000
+#: Rows per bucket of a running count, and the fewest buckets; their number grows with the table.
+BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
 
 
 def _parts(counts: Column, tie: Column) -> Column:
@@ -103,7 +103,7 @@ def balanced_shards(docs: DataFrame, shards: int = 16, most_rounds: int = 12) ->
         F.crc32(text).alias("text_crc32"), F.md5(text).alias("key"),
     ).withColumn("row", F.monotonically_increasing_id()).withColumn("mark", F.xxhash64("key", "doc_id")), "rows")
     total = rows.count()
-    buckets = max(16, total // BUCKET_ROWS)
+    buckets = max(LEAST_BUCKETS, total // BUCKET_ROWS)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     order, by_mark = ["mark", "row"], F.xxhash64("mark")
 
