@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
@@ -87,6 +88,14 @@ def without_cycle_search() -> Iterator[None]:
             gc.enable()
 
 
+def give_back_memory() -> None:
+    """What a task no longer uses goes back to the system: the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim is not None:
+        trim(0)
+
+
 def batch_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of Arrow batches with at most SLICE_CHARS characters of text each, or one longer text."""
     for batch in batches:
@@ -101,6 +110,7 @@ def batch_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Ite
             taken += size
         if start < len(sizes):
             yield batch.slice(start)
+    give_back_memory()
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:

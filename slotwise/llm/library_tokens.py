@@ -21,7 +21,9 @@ from slotwise.llm.bpe import joined
 from slotwise.llm.common import without_cycle_search
 
 #: Pieces that a worker remembers; beyond it (but for the slice at hand) it forgets the later half.
-MEMO_ENTRIES = 3_000_000
+MEMO_ENTRIES = 1_500_000
+#: Pieces that the library encodes at a time.
+CALL_PIECES = 8_192
 
 # Control characters and spaces that programs may class differently, and the mark of exact pieces; the names of
 # special tokens begin with "<|" and are ids of their own wherever they stand.
@@ -136,7 +138,8 @@ class LibraryTokens:
             plain = [p[1:] if p[0] == _EXACT else p if p[0] == "\n" else " " + p for p in pieces]
         else:
             plain = [p[1:] if p[0] == _EXACT else p for p in pieces]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+        return [e.ids for i in range(0, len(plain), CALL_PIECES)
+                for e in self.tokenizer.encode_batch_fast(plain[i:i + CALL_PIECES], add_special_tokens=False)]
 
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Pieces of the even texts, how many each has, and which texts are even.

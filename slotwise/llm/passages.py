@@ -1,8 +1,8 @@
 """Quality by attention-based multiple-instance learning: a document is a bag of passages with one label.
 
 Every PASSAGE_WORDS words of a text are a passage. A passage's input is its profile of byte pairs (bytes in
-classes: letters, digits, single marks, parts of other characters) and a few shares: repeated words, repeated word pairs, capitals and so on. A dense layer
-encodes each passage; gated attention, tanh(V h) * sigmoid(U h) weighted by w, gives every passage its share
+classes: letters, digits, single marks, parts of other characters) and a few shares: repeated words, repeated word
+pairs, capitals and so on. A dense layer encodes each passage; gated attention, tanh(V h) * sigmoid(U h) weighted by w, gives every passage its share
 of the document, and the weighted sum of the encoded passages is scored. Labels are those of documents only;
 encoder, gates and scorer are trained together, by numpy, on a bounded sample of labelled documents.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from slotwise.llm.common import labelled_sample, without
+from slotwise.llm.common import give_back_memory, labelled_sample, without
 
 PASSAGE_WORDS = 100
 #: Bytes and texts that are described at a time; a longer text is cut into pieces of at most so many bytes.
@@ -292,5 +292,6 @@ def score(docs: DataFrame, net: Attention, name: str = "quality_score") -> DataF
             data = np.frombuffer(content, np.uint8) if content is not None else np.zeros(0, np.uint8)
             found = score_batch(own, data, offsets) if len(texts) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
+        give_back_memory()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
