@@ -32,8 +32,9 @@ _UNEVEN = r"[\t\r\f\v]|[ \n][ \n]"
 _RUN = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 # A piece with this mark is encoded as it stands; any other one follows a space or starts with a line end.
 _EXACT = "\x00"
-# A comma or full stop after anything but a plain letter or digit might belong to the mark before it.
-_AFTER_MARK = "[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,][ \n]"
+# A comma or full stop after anything but a plain letter or digit might belong to the mark before it (the dotted capital
+# I becomes a letter and a mark in lower case).
+_AFTER_MARK = "[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,][ \n]"
 
 
 def pieces_of_runs(text: str) -> list[str]:
