@@ -116,3 +116,25 @@ def test_a_zone_has_few_cells(spark):
     cover = gd.zone_cover(zones, "shape").groupBy("zone").agg(F.count("*").alias("cells"), F.max("__level").alias("level"))
     cells = {r.zone: (r.cells, r.level) for r in cover.collect()}
     assert all(n <= 30 for n, _ in cells.values()) and cells["small"][1] >= 18 and cells["long edges"][1] <= 4
+
+
+def test_squares_away_from_edges_need_no_test(spark, monkeypatch):
+    rnd = random.Random(5)
+    stars = {f"star {i}": [[(c + rnd.uniform(-w, w), rnd.uniform(-w, w) / 2 + s) for _ in range(n)]] for i, (c, s, w, n) in enumerate(
+        [(0, 0, 40, 7), (175, 60, 20, 9), (-60, -70, 1, 12), (20, 10, 0.001, 5), (90, 72, 30, 6)])}
+    zones = ZONES | stars
+    points = some_points(11) + [(9000 + i, c + rnd.uniform(-1, 1) * w, s + rnd.uniform(-1, 1) * w / 2) for c, s, w in [
+        (0, 0, 40), (175, 60, 20), (-60, -70, 1), (20, 10, 0.001), (90, 72, 30)] for i in range(200)]
+    fast = found(spark, points, zones)
+    bits = gd.zone_cover(frames(spark, [], zones)[1], "shape").selectExpr(
+        "bit_count(__rim) AS rim", "bit_count(__inside) AS inside", "bit_count(__rim & __inside) AS both").agg(
+        F.sum("rim").alias("rim"), F.sum("inside").alias("inside"), F.sum("both").alias("both")).first()
+    assert bits.both == 0 and bits.rim < bits.inside
+    # Every square taken as near an edge: all points are tested.
+    monkeypatch.setattr(gd, "_masks", lambda: "struct(-1L AS rim, 0L AS odd)")
+    assert found(spark, points, zones) == fast
+
+
+def test_the_cover_is_planned_without_copies_of_its_expressions(spark):
+    plan = gd.zone_cover(frames(spark, [])[1], "shape")._jdf.queryExecution().executedPlan().toString()
+    assert max(map(len, plan.splitlines())) < 20_000
