@@ -11,8 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from slotwise.config import ZoneGroup
-from slotwise.sources.datetimes import parsed as parsed_as
-from slotwise.sources.datetimes import vote
+from slotwise.sources.datetimes import vote, with_times
 from slotwise.sources.staging import staging_path
 from slotwise.sources.versions import VersionedTable
 
@@ -84,8 +83,7 @@ def infer_datetime_columns(df: DataFrame) -> DataFrame:
     ]).first()
     plain = [name for i, name in enumerate(texts) if seen[i][0] > 0 and seen[i][0] == seen[i][1]]
     others = vote(df, [name for i, name in enumerate(texts) if name not in plain and seen[i][0] > 0])
-    return df.withColumns({name: parsed(name) for name in plain} | {
-        name: parsed_as(name, reading) for name, reading in others.items()})
+    return with_times(df.withColumns({name: parsed(name) for name in plain}), others)
 
 
 def read_allocation(spark: SparkSession, path: str) -> DataFrame:

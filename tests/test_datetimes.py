@@ -70,3 +70,21 @@ def test_a_csv_is_read_with_its_formats(spark, tmp_path):
     df.write.options(header=True, compression="gzip", **tb.CSV_OPTIONS).csv(path)
     rows = sorted(tuple(r) for r in tb.read_csv_gzip(spark, path, partitions=1).collect())
     assert rows == [(T(2023, 1, 31, 10), "x", T(2023, 1, 5)), (T(2023, 2, 1, 11, 30), "2023-01-01", None)]
+
+
+def test_a_text_is_searched_twice_only(spark):
+    df = spark.createDataFrame([("31/01/2023 10:00", "5 Jan 2023")], "a string, b string")
+    plan = tm.infer_formats(df)._jdf.queryExecution().executedPlan().toString().lower()
+    # White space, then the one pattern; no order of a date is tried by itself.
+    assert plan.count("regexp_replace(") == 4 and "rlike" not in plan and "regexp_extract" not in plan
+
+
+def test_impossible_times_and_odd_texts(spark):
+    bad = ["29 Feb 1900", "31/4/2023", "2023-01-05 10:00:59.9999996", "2023-01-05 10:00 -24:00", "|||", "0|1", "mon", "00/10/2023", "2023-01-05 0:00 pm"]
+    types, _ = many(spark, [["2023-01-05", text] for text in bad])
+    assert types == ["string"] * len(bad)
+    good = [("29 Feb 2000", T(2000, 2, 29)), ("2023-01-05 10:00:59.9999994", T(2023, 1, 5, 10, 0, 59, 999999)), ("Mon,  5\tjan 2023", T(2023, 1, 5)),
+            ("2023-01-05 00:10 -2359", T(2023, 1, 6, 0, 9)), ("31/12/70t1:02", T(1970, 12, 31, 1, 2)), ("2/3/04 12 : 00", None)]
+    types, values = many(spark, [[text] for text, _ in good])
+    for (text, want), kind, own in zip(good, types, values):
+        assert (kind, own) == (("timestamp_ntz", (want,)) if want else ("string", (text,))), text
